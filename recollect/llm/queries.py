@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, substring_dedup
+from . import ann, bpe, exact_dedup, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_kmeans_tree": ann.op9_kmeans_tree,
 }
 
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
