@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, packing, pii, substring_dedup
+from . import ann, bpe, exact_dedup, jaccard_join, packing, pii, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_kmeans_tree": ann.op9_kmeans_tree,
