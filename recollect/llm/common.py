@@ -99,11 +99,11 @@ _RUNS = {0: Poly(37), 1: Poly(53)}
 _BLOCK = 1 << 20
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = WORD_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of each word of the texts ``data[offsets[i]:offsets[i+1]]``; words never span texts."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~WORD_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     first, last = inside.copy(), inside.copy()
