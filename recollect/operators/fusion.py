@@ -115,12 +115,27 @@ def rerank_window(k: int) -> int:
     return min(max(2 * k, 10), 32)
 
 
-def search_score(query: Column, preview: Column, score: Column, by_vector: Column) -> Column:
+def with_features(results: DataFrame) -> DataFrame:
+    """Columns ``_..`` that both reranking scores read, computed once for each row from query and preview."""
+    query, preview = F.col("query"), F.coalesce("preview", F.lit(""))
+    asked = {f"_{k}": c for k, c in intents(query).items()}
+    first = results.withColumns({"_text": collapsed(preview), "_quoted": quoted_phrases(query), **asked})
+    text = F.col("_text")
+    return first.withColumns({
+        "_low": F.lower(text), "_q_terms": F.array_distinct(terms(query)), "_p_terms": F.array_distinct(terms(text)), "_q_names": entity_terms(query), "_p_names": entity_terms(text),
+        "_q_years": year_terms(query), "_p_years": year_terms(text), "_q_days": date_keys(query), "_p_days": date_keys(text), "_dates": date_literals(text), "_flat": F.array_join(scores.words(text), " "),
+        "_raw": F.transform("_quoted", F.lower), "_keys": F.filter(F.transform("_quoted", phrase_key), lambda p: p != ""),
+    })
+
+
+def without_features(results: DataFrame) -> DataFrame:
+    return results.drop(*[c for c in results.columns if c.startswith("_")])
+
+
+def search_score(score: Column, by_vector: Column) -> Column:
     """What intent-aware reranking orders by: names, years, days, phrases and what is asked for."""
-    text = collapsed(preview)
-    low, ask = F.lower(text), intents(query)
-    q_terms, p_terms = F.array_distinct(terms(query)), F.array_distinct(terms(text))
-    q_names, p_names = entity_terms(query), entity_terms(text)
+    text, low = F.col("_text"), F.col("_low")
+    q_terms, p_terms, q_names, p_names = F.col("_q_terms"), F.col("_p_terms"), F.col("_q_names"), F.col("_p_names")
     with_digit, plain = (lambda x: F.filter(x, lambda t: t.rlike(r"\p{N}"))), (lambda x: F.filter(x, letters_only))
     recall, precision = scores.overlap(q_terms, p_terms)
     out = score + _if((F.size(q_terms) > 0) & (F.size(p_terms) > 0), recall * 0.55 + precision * 0.25)
@@ -133,62 +148,59 @@ def search_score(query: Column, preview: Column, score: Column, by_vector: Colum
     named -= _if(hits == 0, F.when(F.size(q_numbered) > 0, 0.85).otherwise(0.45) + _if(numbers > 0, 0.75))
     named -= _if((F.size(q_plain) > 0) & (_coverage(q_plain, p_plain)[0] == 0) & (F.size(p_plain) > 0), 0.40)
     out += _if(F.size(q_names) > 0, named)
-    for q, p, gain, loss in ((year_terms(query), year_terms(text), 1.25, 1.10), (date_keys(query), date_keys(text), 1.15, 0.95)):
+    for q, p, gain, loss in ((F.col("_q_years"), F.col("_p_years"), 1.25, 1.10), (F.col("_q_days"), F.col("_p_days"), 1.15, 0.95)):
         hits, share = _coverage(q, p)
         out += _if(F.size(q) > 0, share * gain - _if((hits == 0) & (F.size(p) > 0), loss))
 
-    raw = F.transform(quoted_phrases(query), F.lower)
+    raw = F.col("_raw")
     strict = F.filter(raw, lambda p: p.contains("-") | (F.size(F.split(p, r"\s+")) >= 2))
     exact = F.size(F.filter(raw, lambda p: low.contains(p)))
     exact_strict = F.size(F.filter(strict, lambda p: low.contains(p)))
     has_strict = F.size(strict) > 0
     quoted = F.when(exact > 0, exact * F.when(has_strict, 2.10).otherwise(1.20)).otherwise(F.when(has_strict, -1.40).otherwise(-0.35)) - (F.size(strict) - exact_strict) * 0.85
     out += _if(F.size(raw) > 0, quoted)
-    keys = F.filter(F.transform(quoted_phrases(query), phrase_key), lambda p: p != "")
-    flat = F.array_join(scores.words(text), " ")
+    keys, flat = F.col("_keys"), F.col("_flat")
     found = F.size(F.filter(keys, lambda p: flat.contains(p)))
     missed = has_strict & (exact_strict == 0)
     out += _if(F.size(keys) > 0, found / F.greatest(F.size(keys), F.lit(1)) * F.when(missed, 0.20).otherwise(0.75) - _if(missed, 0.55) - _if(found == 0, F.when(missed, 0.45).otherwise(0.20)))
 
     place = F.when(text.rlike(r"\b[Mm]oved? to [A-Z]"), 1.60).when(contains_any(low, ["moved to", "move to"]), 0.45).when(low.contains("city"), 0.10).otherwise(0.0)
     place -= _if(contains_any(low, ["without a destination", "city move", "retrospective"]), 0.75) + _if(contains_any(low, ["allergic", "health", "peanut"]), 1.10) + _if(low.contains("prefer"), 0.55)
-    out += _if(ask["asks_location"], place)
+    out += _if(F.col("_asks_location"), place)
     open_date = contains_any(low, TENTATIVE)
-    date = F.when(low.contains("public launch is") & ~open_date, 1.70).when(low.contains("public launch") | (F.size(date_literals(text)) > 0), 1.20).otherwise(0.0)
+    date = F.when(low.contains("public launch is") & ~open_date, 1.70).when(low.contains("public launch") | (F.size("_dates") > 0), 1.20).otherwise(0.0)
     date -= _if(open_date, F.greatest(F.when(by_vector, 2.90).otherwise(2.45), score * F.when(by_vector, 1.60).otherwise(1.40)))
     date -= _if(low.contains("draft memo"), F.when(by_vector, 1.45).otherwise(1.20)) + _if(contains_any(low, [" owns ", "owner", "deployment readiness"]), 0.40)
-    out += _if(ask["asks_date"], date)
-    out += _if(ask["asks_ownership"], _if(contains_any(low, [" owns ", "owner", "owns deployment readiness"]), 1.10) - _if(low.contains("public launch") & ~low.contains(" owns "), 0.35))
+    out += _if(F.col("_asks_date"), date)
+    out += _if(F.col("_asks_ownership"), _if(contains_any(low, [" owns ", "owner", "owns deployment readiness"]), 1.10) - _if(low.contains("public launch") & ~low.contains(" owns "), 0.35))
     out -= _if(contains_any(low, SEARCH_DISTRACTORS), 0.40)
-    return F.when(F.coalesce(preview, F.lit("")) == "", score).otherwise(F.round(out, 9))
+    return F.when(F.coalesce("preview", F.lit("")) == "", score).otherwise(F.round(out, 9))
 
 
-def rerank_applies(query: Column) -> Column:
+def rerank_applies() -> Column:
     """Only where a place, date or owner is asked for and the query names something."""
-    ask = intents(query)
-    signal = (F.size(entity_terms(query)) > 0) | (F.size(year_terms(query)) > 0) | (F.size(date_keys(query)) > 0) | (F.size(quoted_phrases(query)) > 0)
-    return (ask["asks_location"] | ask["asks_date"] | ask["asks_ownership"]) & signal
+    signal = (F.size("_q_names") > 0) | (F.size("_q_years") > 0) | (F.size("_q_days") > 0) | (F.size("_raw") > 0)
+    return (F.col("_asks_location") | F.col("_asks_date") | F.col("_asks_ownership")) & signal
 
 
-def answer_score(query: Column, preview: Column, score: Column, by_vector: bool = True, penalty: float = 0.30) -> Column:
+def answer_score(score: Column, by_vector: bool = True, penalty: float = 0.30) -> Column:
     """What reranking for answers orders by."""
-    low, ask = F.lower(preview), intents(query)
-    q_terms, p_terms = F.array_distinct(terms(query)), F.array_distinct(terms(preview))
-    recall, precision = scores.overlap(q_terms, p_terms)
-    out = score + _if((F.size(q_terms) > 0) & (F.size(p_terms) > 0), recall * 0.80 + precision * 0.40)
-    names = entity_terms(query)
-    hits, share = _coverage(names, entity_terms(preview))
+    low, ask = F.col("_low"), {k: F.col(f"_{k}") for k in ("asks_location", "asks_date", "asks_ownership")}
+    recall, precision = scores.overlap(F.col("_q_terms"), F.col("_p_terms"))
+    out = score + _if((F.size("_q_terms") > 0) & (F.size("_p_terms") > 0), recall * 0.80 + precision * 0.40)
+    names = F.col("_q_names")
+    hits, share = _coverage(names, F.col("_p_names"))
     out += _if(F.size(names) > 0, share * (1.25 if by_vector else 0.90) - _if(hits == 0, 0.65 if by_vector else 0.35))
-    for q, p, gain, loss in ((year_terms(query), year_terms(preview), 1.35, 1.35 if by_vector else 1.05), (date_keys(query), date_keys(preview), 1.15, 1.15 if by_vector else 0.90)):
+    for q, p, gain, loss in ((F.col("_q_years"), F.col("_p_years"), 1.35, 1.35 if by_vector else 1.05), (F.col("_q_days"), F.col("_p_days"), 1.15, 1.15 if by_vector else 0.90)):
         hits, share = _coverage(q, p)
         out += _if(F.size(q) > 0, share * gain - _if((hits == 0) & (F.size(p) > 0), loss))
-    dated = F.size(date_literals(preview)) > 0
+    dated = F.size("_dates") > 0
     out += _if(ask["asks_location"] & low.contains("moved to"), 0.45)
     out += _if(ask["asks_date"] & (contains_any(low, ["public launch", "launch is"]) | dated), 0.45)
     out -= _if(ask["asks_date"] & contains_any(low, TENTATIVE), penalty * (2.8 if by_vector else 1.8))
     out += _if(ask["asks_ownership"] & low.contains(" owns "), 0.45)
     out -= _if(contains_any(low, ANSWER_DISTRACTORS), penalty * (2.2 if by_vector else 1.0) + _if(ask["asks_date"] & ~dated, 0.35 if by_vector else 0.0))
-    return F.when(F.coalesce(preview, F.lit("")) == "", score).otherwise(F.round(out, 9))
+    return F.when(F.coalesce("preview", F.lit("")) == "", score).otherwise(F.round(out, 9))
 
 
 def reranked(results: DataFrame, composite: Column, window: int) -> DataFrame:
