@@ -127,7 +127,7 @@ def sentences(text: Column) -> Column:
 def segments(text: Column) -> Column:
     """Sentences that keep their delimiter (. ! ? ; or line end), after white space is collapsed."""
     flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
-    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"[^.!?;]*[.!?;]|[^.!?;]+$"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"[^.!?;]*[.!?;]|[^.!?;]+$"), F.lit(0)), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def first_lines(text: Column, n: int) -> Column:

@@ -121,7 +121,7 @@ def typed_value(text: Column) -> dict[str, Column]:
     entity, time, blob = (F.get_json_object(text, f"$.{k}") for k in ("entity", "time_ms", "base64"))
     kind = F.when(entity.isNotNull(), 7).when(time.isNotNull(), 6).when(blob.isNotNull(), 5).when(text.rlike(r"^\s*(true|false)\s*$"), 4).when(text.rlike(r"^\s*-?\d+\s*$"), 2).when(text.rlike(r"^\s*-?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"), 3).otherwise(1)
     real = F.when(kind == 3, text.try_cast("double") + F.lit(0.0))
-    return {"object_kind": kind, "object_text": F.when(kind == 1, F.coalesce(F.regexp_extract(text, r'^\s*"(.*)"\s*$', 1), text)), "object_int": F.when(kind == 2, F.trim(text).try_cast("long")), "object_real": real, "object_bool": F.when(kind == 4, F.trim(text).try_cast("boolean")), "object_blob": F.when(kind == 5, F.unbase64(blob)), "object_time_ms": F.when(kind == 6, time.try_cast("long")), "object_entity": entity}
+    return {"object_kind": kind, "object_text": F.when(kind == 1, F.when(text.rlike(r'^\s*".*"\s*$'), F.regexp_extract(text, r'^\s*"(.*)"\s*$', 1)).otherwise(text)), "object_int": F.when(kind == 2, F.trim(text).try_cast("long")), "object_real": real, "object_bool": F.when(kind == 4, F.trim(text).try_cast("boolean")), "object_blob": F.when(kind == 5, F.unbase64(blob)), "object_time_ms": F.when(kind == 6, time.try_cast("long")), "object_entity": entity}
 
 
 def neighbours(facts: DataFrame, spans: DataFrame, **at) -> DataFrame:

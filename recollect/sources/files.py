@@ -81,7 +81,7 @@ def new_commits(log: DataFrame, known: str | None) -> DataFrame:
 # ------------------------------------------------------------------ photos
 def keywords(value: Column) -> Column:
     """Split on commas and semicolons, trimmed, without repeats (case apart); the first spelling stays."""
-    parts = F.filter(F.transform(F.split(value, "[,;]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(value, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     low = F.transform(parts, F.lower)
     return F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 
