@@ -4,8 +4,9 @@
 sample of ``FIT_SAMPLE`` vectors, chosen by a hash of their ids; leaves hold about ``LEAF_VECTORS``
 vectors of the whole table, so their number follows the table up to the sample's bound.
 *Index.*  Every vector descends to its leaf (only the tree is broadcast: at most
-``FIT_SAMPLE / 4`` centres).  A leaf with many vectors is cut into blocks, so that one common vector
-can't fill a task.
+``FIT_SAMPLE / 4`` leaves).  Neighbouring leaves make a bundle, the unit of a task; a leaf with more
+vectors than a bundle is dealt over several, so that one common vector can't fill a task.  A query goes
+once to each bundle that holds leaves it visits, and comes back with one list.
 *Search.*  For each query a priority queue over tree nodes yields leaves in order of the distance to
 their centres.  ``visits`` leaves are searched; the number is calibrated: starting from
 ``FIRST_VISITS`` it is widened until ``CALIBRATION`` sample queries, searched against *all* vectors
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 BRANCH = 8
-FIT_SAMPLE = 65_536
+FIT_SAMPLE = 16_384
 LEAF_VECTORS = 256
+#: Rows of one block of a brute-force search.
 BLOCK = 2_048
+#: Vectors of one bundle: a 256th of the table, within these bounds.
+BUNDLE = (1_024, 65_536)
 CALIBRATION = 64
 FIRST_VISITS = 4
 TARGET_RECALL = 0.96
@@ -122,10 +126,13 @@ class Tree:
         return out
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k nearest among x, its own id left out; exact, ties to the smaller id."""
+def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, rough: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query, id, distance) of each query's k nearest among x, its own id left out; exact, ties to the smaller id.
+
+    ``rough``: squared distances up to rounding, infinite where a row isn't to be looked at.
+    """
     out = []
-    rough = squared(queries, x)
+    rough = squared(queries, x) if rough is None else rough
     scale = 1e-9 * (1.0 + (x * x).sum(1).max() + (queries * queries).sum(1).max())
     for i, q in enumerate(query_ids.tolist()):
         d = rough[i]
@@ -140,11 +147,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     return out
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-
-def found_table(rows: list[tuple[int, int, float]]) -> pa.Table:
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[], [], []], FOUND, strict=True)], schema=FOUND)
+LISTS = "query_id long, list array<struct<score:double,vec_id:long>>"
 
 
 def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -156,14 +159,17 @@ def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                yield from found_table(nearest(q, ids, matrix(part.column(1)), part.column(0).to_numpy(), k)).to_batches()
+                rows: dict[int, list[dict]] = {}
+                for query, vec, score in nearest(q, ids, matrix(part.column(1)), part.column(0).to_numpy(), k):
+                    rows.setdefault(query, []).append({"score": score, "vec_id": vec})
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))], names=["query_id", "list"])
 
-    return best(vectors.select("vec_id", "vec").mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    return best(vectors.select("vec_id", "vec").mapInArrow(run, LISTS), k)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query over what the blocks found: merged by sorted lists of bounded length."""
-    packed = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("list"))
+    packed = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("list"))), 1, k).alias("list"))
     return packed.select("query_id", F.posexplode("list").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
@@ -179,9 +185,15 @@ class Index:
             return
         share = min(1.0, fit_sample / n)
         drawn = F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
-        sample = vectors.filter(drawn).limit(2 * fit_sample).toPandas() if share < 1 else vectors.limit(fit_sample).toPandas()
-        sample = sample.sort_values("vec_id")
-        points = np.stack(sample["vec"].to_numpy()) if len(sample) else np.zeros((1, 1))
+        drawn_rows = (vectors.filter(drawn) if share < 1 else vectors).limit(2 * fit_sample)
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in matrix(batch.column(1))], pa.binary())], names=["vec_id", "raw"])
+
+        sample = sorted((r.vec_id, bytes(r.raw)) for r in drawn_rows.select("vec_id", "vec").mapInArrow(packed, "vec_id long, raw binary").collect())
+        points = np.stack([np.frombuffer(v, dtype=np.float64) for _, v in sample]) if sample else np.zeros((1, 1))
         self.tree = Tree(points, leaves=max(1, min(n // leaf_vectors, len(points) // 4)))
         shared = self.spark.sparkContext.broadcast(self.tree)
         self.shared = shared
@@ -192,9 +204,20 @@ class Index:
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), batch.column(1)], names=["leaf", "vec_id", "vec"])
 
         assigned = staged(vectors.select("vec_id", "vec").mapInArrow(run, "leaf long, vec_id long, vec array<double>"))
-        sizes = assigned.groupBy("leaf").count()  # as many rows as the tree has leaves
-        self.blocks = sizes.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        self.table = assigned.join(F.broadcast(self.blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        # As many rows as the tree has leaves; numbered depth first, so that neighbours share a bundle.
+        sizes = {r.leaf: r["count"] for r in assigned.groupBy("leaf").count().collect()}
+        most = min(max(n // 256, BUNDLE[0]), BUNDLE[1])
+        places, bundle, held = [], 0, 0
+        for leaf in range(self.tree.leaves):
+            count = sizes.get(leaf, 0)
+            if held and held + count > most:
+                bundle, held = bundle + 1, 0
+            blocks = max(1, -(-count // most))
+            places.append((leaf, bundle, blocks))
+            bundle, held = (bundle + blocks, 0) if blocks > 1 else (bundle, held + count)
+        self.places = self.spark.sparkContext.broadcast({leaf: (b, k) for leaf, b, k in places})
+        where = self.spark.createDataFrame(places, "leaf long, first long, blocks int")
+        self.table = assigned.join(F.broadcast(where), "leaf").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("first", "blocks")
         self.visits = self.calibrate(vectors, target)
 
     def calibrate(self, vectors: DataFrame, target: float) -> int:
@@ -213,32 +236,42 @@ class Index:
         """query_id, rank, vec_id, score for queries (vec_id, vec)."""
         if self.empty:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        shared, visits, k = self.shared, self.visits, self.k
+        shared, places, visits, k = self.shared, self.places, self.visits, self.k
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q = matrix(batch.column(1))
-                leaves = [shared.value.best_bins(v, visits) for v in q]
-                row = np.repeat(np.arange(len(q)), [len(x) for x in leaves])
-                picked = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves), pa.int64()), picked.column(0), picked.column(1)], names=["leaf", "query_id", "q"])
-
-        routed = queries.select("vec_id", "vec").mapInArrow(route, "leaf long, query_id long, q array<double>")
-        routed = routed.join(F.broadcast(self.blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                row, bundles, leaves = [], [], []
+                for i, v in enumerate(matrix(batch.column(1)) if batch.num_rows else []):
+                    wanted: dict[int, list[int]] = {}
+                    for leaf in shared.value.best_bins(v, visits):
+                        first, blocks = places.value[leaf]
+                        for b in range(first, first + blocks):
+                            wanted.setdefault(b, []).append(leaf)
+                    for b, own in wanted.items():
+                        row.append(i)
+                        bundles.append(b)
+                        leaves.append(own)
+                picked = batch.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), picked.column(0), picked.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["bundle", "query_id", "q", "leaves"])
+
+        routed = queries.select("vec_id", "vec").mapInArrow(route, "bundle long, query_id long, q array<double>, leaves array<long>")
 
         def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return found_table([])
-            x, ids = matrix(right.column("vec")), right.column("vec_id").to_numpy()
-            q, own = matrix(left.column("q")), left.column("query_id").to_numpy()
-            rows = []
-            for at in range(0, len(q), 512):
-                rows += nearest(q[at : at + 512], own[at : at + 512], x, ids, k)
-            return found_table(rows)
-
-        hits = routed.select("leaf", "block", "query_id", "q").groupBy("leaf", "block").cogroup(self.table.select("leaf", "block", "vec_id", "vec").groupBy("leaf", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+            rows: dict[int, list[tuple[float, int]]] = {}
+            if left.num_rows and right.num_rows:
+                x, ids, leaf = matrix(right.column("vec")), right.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
+                q, own, visited = matrix(left.column("q")), left.column("query_id").to_numpy(), left.column("leaves").to_pylist()
+                step = max(1, (1 << 22) // len(x))
+                for at in range(0, len(q), step):
+                    rough = squared(q[at : at + step], x)
+                    for i, wanted in enumerate(visited[at : at + step]):
+                        rough[i, ~np.isin(leaf, wanted)] = np.inf
+                    for query, vec, score in nearest(q[at : at + step], own[at : at + step], x, ids, k, rough):
+                        rows.setdefault(query, []).append((score, vec))
+            lists = [[{"score": s, "vec_id": v} for s, v in r] for r in rows.values()]
+            return pa.table({"query_id": pa.array(list(rows), pa.int64()), "list": pa.array(lists, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
+
+        hits = routed.groupBy("bundle").cogroup(self.table.select("bundle", "leaf", "vec_id", "vec").groupBy("bundle")).applyInArrow(scan, LISTS)
         return best(hits, k)
 
 
