@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, documents_of, pack_sorted, run_hashes, staged, table, text_buffer, unpack_sorted, word_bounds, word_hashes
+from .common import U64, documents_of, mix, pack_sorted, run_hashes, staged, table, text_buffer, unpack_sorted, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 80
 #: A shingle is frequent when this share of the documents has it.
@@ -47,6 +47,7 @@ SHARD_POSTINGS = 1 << 19
 #: Pairs up to this number (24 bytes each) are broadcast for the lookup of their texts.
 BROADCAST_PAIRS = 300_000
 LEAF, FAN = 16, 8
+BITS_PER_TOKEN = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -79,8 +80,12 @@ def prefix_length(n: int, threshold: int) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each token, by its lowest bits; as many bits as the next power of two from the set's size on, 64 at least."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    """A bit for each token, by its lowest bits; ``BITS_PER_TOKEN`` times the set's size or up to twice that, 64 at least.
+
+    At a load of an eighth to a quarter, the tokens that a set lacks show nearly all, so that little but
+    links outlives the trees.
+    """
+    bits = max(64, 1 << (BITS_PER_TOKEN * len(tokens) - 1).bit_length()) if len(tokens) else 64
     flags = np.zeros(bits, dtype=bool)
     flags[(tokens & U64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
@@ -171,6 +176,9 @@ def postings(docs: DataFrame, shingle: int, threshold: int, hot: np.ndarray, sha
     return docs.mapInArrow(run, "shard long, tokens binary, rest binary")
 
 
+SHARED = "shard long, token long, doc long, n long, g0 long, g1 long"
+
+
 def shared_postings(group: pa.Table) -> pa.Table:
     """Of a shard, the postings of shingles that at least two classes have; one for each class."""
     tokens = [unpack_sorted(x) for x in group.column("tokens").to_pylist()]
@@ -185,7 +193,11 @@ def shared_postings(group: pa.Table) -> pa.Table:
     first = np.concatenate(([True], t[1:] != t[:-1]))
     group_of = np.cumsum(first) - 1
     many = np.bincount(group_of)[group_of] > 1
-    return pa.table({"shard": pa.array(np.full(int(many.sum()), group.column("shard")[0].as_py()), pa.int64()), "token": pa.array(t[many].view(np.int64), pa.int64()), "doc": pa.array(ids[many], pa.int64()), "n": pa.array(n[many], pa.int64())})
+    # A group's signature: two sums of hashes of its documents, the same for all shingles that the same documents have.
+    mixed = mix(ids.view(U64) ^ U64(0x9E3779B97F4A7C15))
+    sums = [np.add.reduceat(x, np.flatnonzero(first))[group_of].view(np.int64) for x in (mixed, mix(mixed))] if len(t) else [ids, ids]
+    columns = {"token": t.view(np.int64), "doc": ids, "n": n, "g0": sums[0], "g1": sums[1]}
+    return pa.table({"shard": pa.array(np.full(int(many.sum()), group.column("shard")[0].as_py()), pa.int64())} | {k: pa.array(v[many], pa.int64()) for k, v in columns.items()})
 
 
 # ------------------------------------------------------------- star round
@@ -379,12 +391,14 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     moved = size.shingles * (100 - threshold) / 100 + size.docs
     shard_bits = max(0, int(np.ceil(np.log2(max(1.0, moved / SHARD_POSTINGS)))) + 2)
 
-    shared = staged(postings(docs, shingle, threshold, hot, shard_bits).groupBy("shard").applyInArrow(shared_postings, "shard long, token long, doc long, n long"))
+    shared = staged(postings(docs, shingle, threshold, hot, shard_bits).groupBy("shard").applyInArrow(shared_postings, SHARED))
     star = staged(best_leaders(shared, threshold))
     links = verified(star.select(F.col("leader").alias("a"), F.col("doc").alias("b")), docs, shingle, threshold)
     label = roots(links.select(F.col("a").alias("leader"), F.col("b").alias("doc")))
 
-    joined = shared.join(label, "doc", "left").select("shard", "token", "doc", "n", F.coalesce("root", "doc").alias("component"))
+    # Of shingles that the same documents have, one is enough for the trees.
+    one = shared.groupBy("g0", "g1").agg(F.min("token").alias("token")).select("token")
+    joined = shared.drop("g0", "g1").join(one, "token", "left_semi").join(label, "doc", "left").select("shard", "token", "doc", "n", F.coalesce("root", "doc").alias("component"))
     over = Window.partitionBy("token")
     mixed = joined.withColumn("lo", F.min("component").over(over)).withColumn("hi", F.max("component").over(over)).filter("lo < hi").drop("lo", "hi")
     bits = own.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(F.first("bits").alias("bits"))
