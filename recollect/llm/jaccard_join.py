@@ -163,7 +163,7 @@ def postings(docs: DataFrame, shingle: int, threshold: int, hot: np.ndarray, sha
                     digest.append(np.full(need, int.from_bytes(d, "little", signed=True), dtype=np.int64))
             if not tokens:
                 continue
-            t = np.concatenate(tokens)
+            t = mix(np.concatenate(tokens))  # a prefix holds the smallest hashes; mixed again, they fill all shards alike
             order = np.argsort(t, kind="stable")
             t = t[order]
             rest = np.stack([np.concatenate(x)[order] for x in (ids, sizes, digest)])
@@ -179,8 +179,12 @@ def postings(docs: DataFrame, shingle: int, threshold: int, hot: np.ndarray, sha
 SHARED = "shard long, token long, doc long, n long, g0 long, g1 long"
 
 
-def shared_postings(group: pa.Table) -> pa.Table:
-    """Of a shard, the postings of shingles that at least two classes have; one for each class."""
+def shared_postings(threshold: int):
+    """Of a shard, the postings of shingles that at least two classes of matching sizes have; one for each class."""
+    return lambda group: _shared_postings(group, threshold)
+
+
+def _shared_postings(group: pa.Table, threshold: int) -> pa.Table:
     tokens = [unpack_sorted(x) for x in group.column("tokens").to_pylist()]
     rest = [np.frombuffer(pa.decompress(x, decompressed_size=24 * len(t), codec="zstd", asbytes=True), np.int64).reshape(3, -1) for x, t in zip(group.column("rest").to_pylist(), tokens, strict=True)]
     t = np.concatenate(tokens)
@@ -190,7 +194,11 @@ def shared_postings(group: pa.Table) -> pa.Table:
     new = np.ones(len(t), dtype=bool)
     new[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (digest[1:] != digest[:-1])
     t, ids, n = t[new], ids[new], n[new]
-    first = np.concatenate(([True], t[1:] != t[:-1]))
+    # Within a shingle's documents by size, one that neither neighbour matches in size has no match at all.
+    fits = (t[1:] == t[:-1]) & (100 * n[:-1] >= threshold * n[1:])
+    kept = np.concatenate((fits, [False])) | np.concatenate(([False], fits)) if len(t) else np.zeros(0, bool)
+    t, ids, n = t[kept], ids[kept], n[kept]
+    first = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
     group_of = np.cumsum(first) - 1
     many = np.bincount(group_of)[group_of] > 1
     # A group's signature: two sums of hashes of its documents, the same for all shingles that the same documents have.
@@ -316,6 +324,23 @@ class SignatureTree:
         return i + x.lo, j + y.lo
 
 
+def refined(words: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs the documents' own bitmaps still admit, at the resolution of the smaller one of each pair."""
+    length = np.array([len(w) for w in words])
+    keep = np.zeros(len(i), dtype=bool)
+    shape = length[i] * (1 << 32) + length[j]
+    for kind in np.unique(shape).tolist():
+        size = min(kind >> 32, kind & 0xFFFFFFFF)
+        own = np.flatnonzero(shape == kind)
+        for at in range(0, len(own), max(1, (1 << 20) // size)):
+            part = own[at : at + max(1, (1 << 20) // size)]
+            x, y = (np.stack([folded(words[k], size) for k in side[part].tolist()]) for side in (i, j))
+            m, o = n[i[part]], n[j[part]]
+            overlap = np.minimum(m - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), o - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            keep[part] = (100 + threshold) * overlap >= threshold * (m + o)
+    return keep
+
+
 def tree_pairs(threshold: int):
     """Pairs of different components in a shard that the trees can't exclude."""
 
@@ -338,9 +363,12 @@ def tree_pairs(threshold: int):
                     words = [np.frombuffer(raw[i], "<u8") for i in part]
                     least = min(map(len, words))
                     tree = SignatureTree(np.stack([folded(w, least) for w in words]), n[part], component[part], threshold)
-                    for i, j in tree.pairs():
-                        a.append(doc[part[i]])
-                        b.append(doc[part[j]])
+                    found = tree.pairs()
+                    if found:
+                        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                        fine = refined(words, n[part], i, j, threshold)
+                        a.append(doc[part[i[fine]]])
+                        b.append(doc[part[j[fine]]])
         x, y = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
@@ -391,7 +419,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     moved = size.shingles * (100 - threshold) / 100 + size.docs
     shard_bits = max(0, int(np.ceil(np.log2(max(1.0, moved / SHARD_POSTINGS)))) + 2)
 
-    shared = staged(postings(docs, shingle, threshold, hot, shard_bits).groupBy("shard").applyInArrow(shared_postings, SHARED))
+    shared = staged(postings(docs, shingle, threshold, hot, shard_bits).groupBy("shard").applyInArrow(shared_postings(threshold), SHARED))
     star = staged(best_leaders(shared, threshold))
     links = verified(star.select(F.col("leader").alias("a"), F.col("doc").alias("b")), docs, shingle, threshold)
     label = roots(links.select(F.col("a").alias("leader"), F.col("b").alias("doc")))
