@@ -70,7 +70,7 @@ def prefix_budget(items: DataFrame, budget: int, *, by: str = "query_id", order:
 def greedy_budget(items: DataFrame, budget: int, most: int, *, by: str = "query_id", order: str = "position") -> DataFrame:
     """Items in order, each only if it fits what is left; those that don't are skipped.
 
-    A query's candidates are a bounded list (its result limit), folded in one expression.
+    All candidates of a query are one list, folded in one expression.
     """
     listed = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("position"), "frame_id", "tokens"))).alias("items"))
     kind = "struct<left:bigint,taken:array<struct<position:bigint,frame_id:bigint,tokens:bigint>>>"

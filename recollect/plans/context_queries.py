@@ -33,12 +33,13 @@ _WINDOWS = """WITH o AS (SELECT o_orderkey, trunc(o_totalprice)::int % 5000 AS n
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of orders as items: the customer is the query, the quantity the cost."""
+    """All lines of orders as items: the customer is the query, the quantity the cost."""
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     order = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return lines.select(F.col("o_custkey").alias("query_id"), F.row_number().over(order).cast("long").alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"), F.col("l_quantity").cast("long").alias("tokens")).filter("position <= 50")
+    return lines.select(F.col("o_custkey").alias("query_id"), F.row_number().over(order).cast("long").alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"), F.col("l_quantity").cast("long").alias("tokens"))
 
 
+#: Holds the first 50 lines of a customer only, unlike :func:`_items`: greedy budgets of longer lists can differ from it.
 _ITEMS = """items AS (SELECT * FROM (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS position, l_orderkey * 10 + l_linenumber AS frame_id, l_quantity::bigint AS tokens FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE position <= 50)"""
 
 

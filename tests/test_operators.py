@@ -182,3 +182,25 @@ def test_small_functions(spark):
         h = ((h ^ b) * 0x100000001B3) % 2**64
     assert one(spark, text.fnv1a(F.lit("héllo"))) % 2**64 == h
     assert one(spark, maintenance.drift(F.lit(100.0), F.lit(110.0))) == pytest.approx(10.0)
+
+
+def test_budget_queries_walk_all_lines_of_a_customer(spark, tmp_path):
+    """Lines after the fiftieth count: a small one is taken after many that don't fit."""
+    from recollect.plans.context_queries import budget_greedy, token_budget_prefix
+
+    quantity = {1: [60, *[50] * 59, 30, 10, 5], 2: [3] * 70, 3: [0] * 60}
+    lines = [(100 * c + i // 7, i % 7 + 1, i, float(n), c) for c, own in quantity.items() for i, n in enumerate(own)]
+    spark.createDataFrame([x[:4] for x in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(sorted({(x[0], x[4]) for x in lines}), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    greedy, prefix = set(), set()
+    for c, own in quantity.items():
+        left, taken, used = 100, 0, 0
+        for i, n in enumerate(own, 1):
+            used += n
+            if used <= 200:
+                prefix.add((c, i, used))
+            if n <= left and taken < 8:
+                left, taken = left - n, taken + 1
+                greedy.add((c, i, n))
+    assert {(r.query_id, r.position, r.tokens) for r in budget_greedy(spark, str(tmp_path)).collect()} == greedy
+    assert {(r.query_id, r.position, r.used) for r in token_budget_prefix(spark, str(tmp_path)).collect()} == prefix
