@@ -9,7 +9,7 @@ piece costs one vector operation of at most ``capacity`` steps, whatever the num
 
 The waste of a group is a few bins: on the test tables the sequences are within 1 % of total / capacity.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed again; pieces of
+Defined cases: null and empty texts are the end id alone; an added token of the vocabulary file that a text holds literally is its one id; repeated rows are packed again; pieces of
 equal length are taken by ``doc_id`` and piece; an empty table gives no sequences; further columns are
 ignored.
 """
@@ -46,19 +46,42 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-_READY: dict[int, object] = {}
+_READY: dict[int, Coder] = {}
 
 
-def tokenizer_for(vocabulary: bytes, pattern: str):
-    """The tokenizer file's own vocabulary in the faster of the two public libraries; same ids."""
-    key = zlib.crc32(vocabulary)
-    if key not in _READY:
+class Coder:
+    """Ids as ``tokenizers`` gives them with the file as it is (``add_special_tokens=False``).
+
+    A text that holds one of the file's added tokens goes to that library; any other one to the faster
+    ``tiktoken`` with the same vocabulary, which gives the same ids there.
+    """
+
+    def __init__(self, vocabulary: bytes, pattern: str):
         import tiktoken
 
         spec, letters = json.loads(vocabulary), byte_letters()
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _READY[key] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in set(self.added)}
+        self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.vocabulary, self.whole = vocabulary, None
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit numbers."""
+        if not any(t in text for t in self.added):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.vocabulary.decode())
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def tokenizer_for(vocabulary: bytes, pattern: str) -> Coder:
+    key = zlib.crc32(vocabulary)
+    if key not in _READY:
+        _READY[key] = Coder(vocabulary, pattern)
     return _READY[key]
 
 
@@ -125,7 +148,7 @@ def cut_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", cap
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
                 for doc, text_ in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = coder.encode_to_numpy(text_, disallowed_special=()).astype("<u4", copy=False).tobytes() + end
+                    raw = coder.encode(text_) + end
                     for i, (start, length) in enumerate(piece_bounds(len(raw) // 4, capacity)):
                         own = raw[4 * start : 4 * (start + length)]
                         rows.append((doc, i, start, length, zlib.crc32(own), own)[: len(schema)])

@@ -112,3 +112,19 @@ def test_sum_of_squares_rule():
         options = [after(g) for g in range(size, 20) if before[g]] + [after(20)]
         bins.place(size)
         assert int((bins.count[1:20] ** 2).sum()) == min(options)
+
+
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    """The reference is the tokenizer as loaded."""
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f" x {end}  {end} y", f"{end[:-1]} {end}", end[:-1], "é " * 700 + end + " z" * 700, "plain", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = Tokenizer.from_file(P.path(packing.VOCABULARY_FILE))
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    got = {}
+    for p in packing.cut_documents(df, capacity=512, with_ids=True).collect():
+        assert p.length * 4 == len(p.ids)
+        assert p.ids_crc32 == zlib.crc32(p.ids)
+        got.setdefault(p.doc_id, []).append((p.start, list(struct.unpack(f"<{p.length}I", p.ids))))
+    for d, x in enumerate(texts):
+        assert [i for _, own in sorted(got[d]) for i in own] == [*t.encode(x or "", add_special_tokens=False).ids, 0]
