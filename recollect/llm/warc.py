@@ -42,6 +42,7 @@ NAMESPACE = uuid.UUID("5d7f0a52-6b1f-5c0e-9a54-2f3d9b6f8c11")
 #: Date of responses whose source has none.
 DEFAULT_DATE = "2024-01-01T00:00:00Z"
 _HIDDEN = {"script", "style", "noscript", "template"}
+_CLOSING = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in _HIDDEN}
 _BLOCK = {"address", "article", "aside", "blockquote", "br", "div", "dd", "dl", "dt", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "title", "td", "th", "tr", "ul"}
 _NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9-]*)")
 
@@ -96,7 +97,6 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def visible_text(source: str) -> tuple[str, str]:
     """Text and title of a page, in one pass over its tags."""
     out, title, at, inside = [], [], 0, False
-    low = source.lower()
     while at < len(source):
         tag = source.find("<", at)
         if tag < 0:
@@ -120,8 +120,8 @@ def visible_text(source: str) -> tuple[str, str]:
         if name == "title":
             inside = not closing
         if name in _HIDDEN and not closing:
-            end = low.find(f"</{name}", at)
-            end = -1 if end < 0 else low.find(">", end)
+            close = _CLOSING[name].search(source, at)
+            end = source.find(">", close.start()) if close else -1
             at = len(source) if end < 0 else end + 1
         if name in _BLOCK:
             out.append("\n")

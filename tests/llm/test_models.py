@@ -207,3 +207,10 @@ def test_warc_round_trip_and_links(spark, tmp_path):
     again = {(r.type, r.record_id, bytes(r.record)) for r in warc.derive_records(warc.read_records(spark, folder)).collect()}
     assert again == {(r.type, r.record_id, bytes(r.record)) for r in built.collect() if r.type != "response"}
     assert warc.build(df.limit(0)).collect() == []
+
+
+def test_warc_text_after_hidden_elements_is_whole():
+    """U+0130 is two characters in lower case; places must be those of the source."""
+    page = "<title>İİİ</title><p>İİİİ İstanbul</p><STYLE>p { }</Style>İzmir<script>x < 1</SCRIPT ><p>abcdef</p>"
+    assert warc.visible_text(page) == ("İİİİ İstanbul\nİzmir\nabcdef", "İİİ")
+    assert warc.visible_text("İ<script>x</\u017fcript>y</script>z") == ("İz", "")
