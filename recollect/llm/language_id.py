@@ -8,13 +8,15 @@ The posterior of a language is proportional to
 * P(address suffix | language),
 * the host's prior: its own counts smoothed by those of its domain, which are smoothed by the corpus.
 
-The trigram model is fitted on a bounded sample of ``TRAIN_DOCS`` rows with a declared language; its
-size is fixed.  The other tables are grouped aggregates over all rows, by the language that the text alone
-suggests.  One more class, ``und``, has all trigrams of ``UNKNOWN_ALPHABET`` letters alike; a row is
+The trigram model tells every declared language apart.  It is fitted on a bounded sample of each: all its
+rows up to ``TRAIN_DOCS``, about as many of a more frequent one, whatever the size of the table.  It is held
+as the trigrams seen in each language; time and the row of scores grow with the number of languages.  The
+other tables are grouped aggregates over all rows, by the language that the text alone suggests.  One more class, ``und``, has all trigrams of ``UNKNOWN_ALPHABET`` letters alike; a row is
 rejected when it wins or when no language reaches ``LEAST_POSTERIOR``.
 
-Texts are read once.  The host table is broadcast only when it has at most ``BROADCAST_HOSTS`` rows;
-otherwise it is joined by shuffle, where adaptive execution splits a hot host.
+The texts are read for the sample and once more for the scores.  The tables of hosts, declared languages and
+suffixes are broadcast only when they have at most ``BROADCAST_HOSTS`` rows and ``BROADCAST_VALUES`` numbers;
+otherwise they are joined by shuffle, where adaptive execution splits a hot key.
 
 Defined cases: missing evidence (null or empty text, declaration, address or host) leaves the
 posterior to what there is; declared languages are compared by their primary subtag in lower case;
@@ -35,15 +37,13 @@ from pyspark.sql import functions as F
 from .common import U64, mix, staged, table, text_buffer
 
 BITS = 16
-#: Bound on the rows that the trigram model is fitted on.
+#: Rows of each declared language that the trigram model is fitted on.
 TRAIN_DOCS = 5_000
-#: Bound on the languages told apart: the most often declared.
-LANGUAGES = 32
 TEMPER = 100.0
 UNKNOWN_ALPHABET = 40
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 5.0
 LEAST_POSTERIOR = 0.5
-BROADCAST_HOSTS = 100_000
+BROADCAST_HOSTS, BROADCAST_VALUES = 100_000, 3_300_000
 UND = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,46 +71,57 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trigrams:
-    """Log-probabilities by language, the last row for the unknown."""
+    """Log-probabilities by language, the last row for the unknown.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    Counts come as ``at`` (language and trigram, ascending) and ``n``; what a language doesn't have is smoothed.
+    """
+
+    def __init__(self, languages: list[str], at: np.ndarray, n: np.ndarray):
         self.languages = [*languages, UND]
-        smooth = counts + 0.05
-        self.log = np.concatenate((np.log(smooth / smooth.sum(1, keepdims=True)), np.full((1, 1 << BITS), -3 * math.log(UNKNOWN_ALPHABET)))) if len(languages) else np.full((1, 1 << BITS), -3 * math.log(UNKNOWN_ALPHABET))
+        cuts = np.searchsorted(at, np.arange(len(languages) + 1, dtype=np.int64) << BITS)
+        self.seen = []
+        for i in range(len(languages)):
+            own = slice(cuts[i], cuts[i + 1])
+            smooth = n[own] + 0.05
+            total = smooth.sum() + 0.05 * ((1 << BITS) - len(smooth))
+            self.seen.append(((at[own] & ((1 << BITS) - 1)).astype(np.uint16), np.log(smooth / total), math.log(0.05 / total)))
+
+    def rows(self) -> Iterator[np.ndarray]:
+        """Log-probabilities of all trigrams, a language at a time."""
+        for code, log, other in self.seen:
+            row = np.full(1 << BITS, other)
+            row[code] = log
+            yield row
+        yield np.full(1 << BITS, -3 * math.log(UNKNOWN_ALPHABET))
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of trigrams and log-likelihoods of each text."""
         code, owner = trigrams(column)
         n = np.bincount(owner, minlength=len(column))
-        return n, np.stack([np.bincount(owner, weights=row[code], minlength=len(column)) for row in self.log], axis=1)
+        return n, np.stack([np.bincount(owner, weights=row[code], minlength=len(column)) for row in self.rows()], axis=1)
 
 
 def train(rows: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Trigrams:
     """Fit on rows (id, text, declared) that declare a language."""
     known = rows.filter(F.col("declared") != "")
-    often = known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
-    languages = sorted(r.declared for r in often)
-    total = sum(r["count"] for r in often)
-    if not total:
-        return Trigrams([], np.zeros((0, 1 << BITS)))
-    share = int(min(1.0, train_docs / total) * (1 << 30))
+    often = {r.declared: r["count"] for r in known.groupBy("declared").count().collect()}
+    languages = sorted(often)
+    if not languages:
+        return Trigrams([], np.zeros(0, np.int64), np.zeros(0))
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << BITS), dtype=np.int64)
         for batch in batches:
             which = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for at in range(0, batch.num_rows, 512):
                 code, owner = trigrams(batch.column(0).slice(at, 512))
-                np.add.at(counts.reshape(-1), which[at : at + 512][owner] << BITS | code, 1)
-        at = np.flatnonzero(counts.reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.reshape(-1)[at])], names=["at", "n"])
+                keys, n = np.unique(which[at : at + 512][owner] << BITS | code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["at", "n"])
 
-    sample = known.filter(F.col("declared").isin(languages) & (F.pmod(F.xxhash64("id", F.lit(61)), F.lit(1 << 30)) < share)).select("text", "declared")
-    counts = np.zeros(len(languages) << BITS)
-    for r in sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most LANGUAGES * 2^BITS
-        counts[r["at"]] = r.n
-    return Trigrams(languages, counts.reshape(len(languages), -1))
+    shares = known.sparkSession.createDataFrame([(x, int(min(1.0, train_docs / often[x]) * (1 << 30))) for x in languages], "declared string, share long")
+    sample = known.join(F.broadcast(shares), "declared").filter(F.pmod(F.xxhash64("id", F.lit(61)), F.lit(1 << 30)) < F.col("share")).select("text", "declared")
+    counts = sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().sort_by("at")  # the trigrams seen in each language
+    return Trigrams(languages, counts.column("at").to_numpy(), counts.column("n").to_numpy())
 
 
 def evidence(df: DataFrame, *, key: str, text: str, declared: str | None = None, url: str | None = None, host: str | None = None) -> DataFrame:
@@ -143,37 +154,54 @@ def identify(df: DataFrame, *, key: str = "doc_id", text: str = "text", declared
 
     seen = staged(rows.mapInArrow(run, "id long, declared string, host string, suffix string, domain string, n long, log array<double>, guess int"))
 
-    def counts() -> list[Column]:
-        return [F.sum(F.when(F.col("guess") == i, 1).otherwise(0)).cast("double").alias(f"c{i}") for i in range(k)]
+    def numbers(values: list[float]) -> Column:
+        return F.array(*[F.lit(float(x)) for x in values])
+
+    def by_language(each: DataFrame, *columns: str) -> DataFrame:
+        """columns, of: counts by guess as an array over the languages."""
+        of = each.groupBy(*columns).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("of"))
+        return of.withColumn("of", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0.0))))
+
+    def guesses(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.groupBy(*columns, "guess").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+    def totals(each: DataFrame) -> list[float]:
+        of = {r.guess: r.n for r in each.groupBy("guess").agg(F.sum("n").alias("n")).collect()}
+        return [of.get(i, 0.0) for i in range(k)]
+
+    def added(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x + y)
+
+    def held(df: DataFrame) -> DataFrame:
+        df = staged(df)
+        n = df.count()
+        return F.broadcast(df) if n <= BROADCAST_HOSTS and n * k <= BROADCAST_VALUES else df
 
-    total = seen.agg(*counts()).first()
-    overall = [((total[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in total) + k) for i in range(k)]
+    total = totals(guesses(seen))
+    overall = [(x + 1.0) / (sum(total) + k) for x in total]
 
     def likelihoods(column: str) -> DataFrame:
-        """column, log P(column | language) by language: counts smoothed by one half; at most a row for each short code."""
-        by = seen.filter(F.col(column) != "").groupBy(column).agg(*counts())
-        sums = by.agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)], F.count(F.lit(1)).alias("values")).first()
-        logs = [F.log((F.col(f"c{i}") + 0.5) / F.lit(float((sums[f"s{i}"] or 0.0) + 0.5 * (sums["values"] + 1)))) for i in range(k)]
-        return by.orderBy(F.desc(sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))), column).limit(5000).select(column, F.array(*logs).alias(f"log_{column}"))
-
-    hosts = seen.filter(F.col("host") != "").groupBy("host", "domain").agg(*counts())
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(k)])
-    n_host, n_domain = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0)), sum((F.col(f"d{i}") for i in range(k)), F.lit(0.0))
-    prior = []
-    for i in range(k):
-        of_domain = (F.col(f"d{i}") + DOMAIN_WEIGHT * overall[i]) / (n_domain + DOMAIN_WEIGHT)
-        prior.append(F.log((F.col(f"c{i}") + HOST_WEIGHT * of_domain) / (n_host + HOST_WEIGHT)))
-    by_host = staged(hosts.join(domains, "domain").select("host", F.array(*prior).alias("log_host")))
-    if by_host.count() <= BROADCAST_HOSTS:
-        by_host = F.broadcast(by_host)
-
-    def added(column: str) -> Column:
-        return F.coalesce(F.col(column), F.array(*[F.lit(0.0)] * k))
-
-    fused = seen.join(by_host, "host", "left").join(F.broadcast(likelihoods("declared")), "declared", "left").join(F.broadcast(likelihoods("suffix")), "suffix", "left")
-    base = F.coalesce(F.col("log_host"), F.array(*[F.lit(math.log(x)) for x in overall]))
-    parts = [F.col("log"), base, added("log_declared"), added("log_suffix")]
-    whole = F.array(*[sum((p[i] for p in parts[1:]), parts[0][i]) for i in range(k)])
+        """column, log P(column | language) by language: counts smoothed by one half."""
+        each = staged(guesses(seen.filter(F.col(column) != ""), column))
+        by = by_language(each, column)
+        values = each.select(column).distinct().count()
+        log = F.zip_with("of", numbers([x + 0.5 * (values + 1) for x in totals(each)]), lambda c, s: F.log((c + 0.5) / s))
+        return held(by.select(column, log.alias(f"log_{column}")))
+
+    each = staged(guesses(seen.filter(F.col("host") != ""), "host", "domain"))
+    domains = by_language(each.groupBy("domain", "guess").agg(F.sum("n").alias("n")), "domain").withColumnRenamed("of", "of_domain")
+
+    def size(of: str) -> Column:
+        return F.aggregate(of, F.lit(0.0), lambda a, x: a + x)
+
+    hosts = by_language(each, "host", "domain").join(domains, "domain").select("host", "of", "of_domain", size("of").alias("n_host"), size("of_domain").alias("n_domain"))
+    of_domain = F.zip_with("of_domain", numbers(overall), lambda d, p: (d + DOMAIN_WEIGHT * p) / (F.col("n_domain") + DOMAIN_WEIGHT))
+    by_host = held(hosts.select("host", F.zip_with("of", of_domain, lambda c, p: F.log((c + HOST_WEIGHT * p) / (F.col("n_host") + HOST_WEIGHT))).alias("log_host")))
+
+    fused = seen.join(by_host, "host", "left").join(likelihoods("declared"), "declared", "left").join(likelihoods("suffix"), "suffix", "left")
+    whole = added(F.col("log"), F.coalesce(F.col("log_host"), numbers([math.log(x) for x in overall])))
+    for column in ("log_declared", "log_suffix"):
+        whole = F.when(F.col(column).isNull(), whole).otherwise(added(whole, F.col(column)))
     fused = fused.select("id", "n", whole.alias("whole")).withColumn("top", F.array_max("whole"))
     fused = fused.select("id", "n", (F.array_position("whole", F.col("top")) - 1).cast("int").alias("best"), (1 / F.aggregate("whole", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("posterior"))
     language = F.array(*map(F.lit, names))[F.col("best")]

@@ -214,3 +214,29 @@ def test_warc_text_after_hidden_elements_is_whole():
     page = "<title>İİİ</title><p>İİİİ İstanbul</p><STYLE>p { }</Style>İzmir<script>x < 1</SCRIPT ><p>abcdef</p>"
     assert warc.visible_text(page) == ("İİİİ İstanbul\nİzmir\nabcdef", "İİİ")
     assert warc.visible_text("İ<script>x</\u017fcript>y</script>z") == ("İz", "")
+
+
+def test_every_declared_language_is_told(spark):
+    """Fifty languages of as many alphabets, one far more frequent than the sample of each."""
+    r = random.Random(8)
+    names = [a + b for a in "abcde" for b in "klmnopqrst"]
+    letters = {x: [chr(0x3400 + 40 * i + j) for j in range(12)] for i, x in enumerate(names)}
+
+    def text(x):
+        return " ".join("".join(r.choice(letters[x]) for _ in range(3)) for _ in range(12))
+
+    rows = [(i, text(names[0]), names[0], "h") for i in range(6000)]
+    rows += [(10_000 + 10 * i + j, text(x), x, f"h{i}") for i, x in enumerate(names[1:]) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.id: (x.language, x.kept) for x in language_id.identify(df).collect()}
+    assert all(got[i] == (lang, True) for i, _, lang, _ in rows)
+
+
+def test_a_rare_language_keeps_its_rows_in_a_large_table(spark, monkeypatch):
+    """The rows that a language is fitted on don't shrink as others grow; tables beyond the broadcast bound are shuffled."""
+    monkeypatch.setattr(language_id, "BROADCAST_HOSTS", 1)
+    rows = [(i, "der und nicht über", "de", "h1") for i in range(20_000)] + [(30_000, "les été dans que leçon", "fr", "h2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.id: (x.language, x.kept) for x in language_id.identify(df).collect()}
+    assert got[30_000] == ("fr", True)
+    assert set(got.values()) == {("fr", True), ("de", True)}
