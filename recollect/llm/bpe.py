@@ -6,7 +6,7 @@ pairs over doubly linked bytes: the lowest rank, then the leftmost pair, is take
 
 Texts are cut at single spaces between non-space characters before the pre-tokenizer runs: its
 pattern always starts a pre-token there, so the pieces encode independently and can be memoised in a
-bounded table of each Python worker.  There is no shuffle.
+table of each Python worker, bounded in bytes; long pieces aren't memoised.  There is no shuffle.
 
 Defined cases: null and empty texts have no ids; lone surrogates can't occur (Arrow strings are
 UTF-8); rows that repeat are encoded again; further columns are ignored.
@@ -31,13 +31,25 @@ from .common import U64, Poly, documents_of, mix, table
 #: White space as Unicode's White_Space property has it (fixed values).
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: Pieces that one Python worker remembers.
-MEMO_ENTRIES = 1_000_000
+#: Letters and numbers of newer Unicode tables than those of the library (fixed values: code points, in hexadecimal).
+NEWER_LETTERS = "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11df1-11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+NEWER_NUMBERS = "11de0-11de9 1246f-1246f 12475-1247f 12550-12686 16ff4-16ff6"
+#: About the bytes that one Python worker remembers, and the letters of the longest piece or pre-token among them.
+MEMO_BYTES, MEMO_LENGTH = 128 << 20, 200
+#: What an entry takes besides its letters and ids.
+ENTRY_BYTES = 200
 #: Texts with any of these, or with space beside space, are cut by the slower, general rule.
 _OTHER_SPACE = re.compile(f"[{SPACE.replace(chr(92) + 'x20', '').replace(chr(92) + 'x09-' + chr(92) + 'x0d', chr(92) + 'x09' + chr(92) + 'x0b-' + chr(92) + 'x0d')}]")
 _CUT = regex.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 
+def _class(ranges: str) -> str:
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges.split())
+
+
+_NEWER = re.compile(f"[{_class(NEWER_LETTERS)}{_class(NEWER_NUMBERS)}]")
+
+
 def default_ranks() -> bytes:
     import public_tokenizers
 
@@ -128,8 +140,11 @@ class Encoder:
         n = self.base = len(self.tokens)
         self.pairs = {rank[t[:k]] * n + rank[t[k:]]: i for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}", f"[^{SPACE}\\p{{L}}").replace(r"\s+(?!\S)|\s+", f"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"))
+        older = self.pattern.pattern.replace(r"\p{L}", f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]").replace(r"\p{N}", f"[\\p{{N}}--[{_class(NEWER_NUMBERS)}]]")
+        self.older = regex.compile(older, regex.V1)  # for pieces that hold what the library doesn't know yet
         self.memo: dict[str, bytes] = {}  # of pieces
         self.known: dict[str, bytes] = {}  # of pre-tokens
+        self.held = 0
 
     def merge(self, word: bytes) -> list[int]:
         """Heap over linked bytes; for pre-tokens that aren't tokens."""
@@ -166,19 +181,35 @@ class Encoder:
                     heappush(heap, s << shift | k)
         return [i for i in ids if i >= 0]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Put pieces into the memo: one batched hash lookup for all their pre-tokens, the heap for what misses."""
-        if len(self.known) > MEMO_ENTRIES:
-            self.known.clear()
-        known, find = self.known, self.pattern.findall
-        split = [find(p) for p in pieces]
+    def split(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece."""
+        return (self.pattern if piece.isascii() or not _NEWER.search(piece) else self.older).findall(piece)
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Put pieces into the memo: one batched hash lookup for all their pre-tokens, the heap for what misses.
+
+        What is too long for the memo is returned.
+        """
+        known, long, once = self.known, {}, {}
+        split = [self.split(p) for p in pieces]
         new = [t for t in {t for s in split for t in s} if t not in known]
         if new:
             raw = [t.encode() for t in new]
             for t, b, i in zip(new, raw, self.hash.lookup(raw), strict=True):
-                known[t] = pack("<I", i) if i >= 0 else pack(f"<{len(ids := self.merge(b))}I", *ids)
+                ids = pack("<I", i) if i >= 0 else pack(f"<{len(ids := self.merge(b))}I", *ids)
+                if len(t) > MEMO_LENGTH:
+                    long[t] = ids
+                else:
+                    known[t] = ids
+                    self.held += ENTRY_BYTES + len(t) + len(ids)
         for p, s in zip(pieces, split, strict=True):
-            self.memo[p] = b"".join([known[t] for t in s]) if len(s) > 1 else known[s[0]]
+            ids = b"".join([known[t] if t in known else long[t] for t in s])
+            if len(p) > MEMO_LENGTH:
+                once[p] = ids
+            else:
+                self.memo[p] = ids
+                self.held += ENTRY_BYTES + len(p) + len(ids)
+        return once
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -190,14 +221,15 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; what is new is learnt for all texts at once."""
-        if len(self.memo) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.known.clear()
+            self.held = 0
         parts = [self.pieces(t) if t else [] for t in texts]
         memo = self.memo
         new = list({p for ps in parts for p in ps if p not in memo})
-        if new:
-            self.learn(new)
-        get = memo.__getitem__
+        once = self.learn(new) if new else {}
+        get = (lambda p: once[p] if p in once else memo[p]) if once else memo.__getitem__
         return [b"".join(map(get, ps)) for ps in parts]
 
     def encode(self, text: str) -> list[int]:

@@ -5,13 +5,17 @@
 * word hashing over whole Arrow buffers with NumPy: a word is a maximal run of bytes outside
   ``{0x20, 0x09-0x0D}``; no per-word Python object is made.
 * a packed wire format for sorted integer lists.
+* :func:`numbered_rows` / :func:`without_rows`: a decision on some rows of a table, by a number of each row,
+  so that nulls and repeats in its own keys don't matter and the rows that stay aren't moved.
 """
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,11 @@ WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 # ----------------------------------------------------------------- staging
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset, on a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
@@ -47,6 +53,44 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Row numbers up to this count (8 bytes each) are broadcast to drop rows; beyond it both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def numbered_rows(df: DataFrame, *more, name: str = "_row") -> DataFrame:
+    """A staged copy of ``df`` as ``row`` (a struct of its columns), a number that no other row has, and further columns.
+
+    The number is fixed by being written, whatever a later scan or a task that runs again does.
+    """
+    return staged(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias(name), *more))
+
+
+def without_rows(numbered: DataFrame, lost: DataFrame, name: str = "_row") -> DataFrame:
+    """The rows of :func:`numbered_rows` whose number isn't in ``lost``, as they were."""
+    small = lost.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = numbered.join(F.broadcast(lost) if small else lost, name, "left_anti")
+    return kept.select(*[F.col("row").getField(f.name).alias(f.name) for f in numbered.schema["row"].dataType.fields])
+
+
+def give_back() -> None:
+    """Return what this worker no longer uses to the system: workers stay when a stage ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving memory back at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

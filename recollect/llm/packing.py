@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-_READY: dict[int, Coder] = {}
+_READY: dict[str, Coder] = {}
 
 
 class Coder:
@@ -79,7 +80,7 @@ class Coder:
 
 
 def tokenizer_for(vocabulary: bytes, pattern: str) -> Coder:
-    key = zlib.crc32(vocabulary)
+    key = hashlib.sha256(vocabulary + pattern.encode()).hexdigest()
     if key not in _READY:
         _READY[key] = Coder(vocabulary, pattern)
     return _READY[key]
@@ -172,7 +173,9 @@ def pack_documents(df: DataFrame, *, capacity: int = CAPACITY, group: int = GROU
         return table_.select(columns).append_column("sequence_id", pa.array(which)).append_column("offset", pa.array(offset))
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    dealt = partial.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    # The number of a row in the staged table, so that rows that repeat are dealt apart too.
+    row = F.monotonically_increasing_id()
+    dealt = partial.withColumn("_row", row).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(groups)).cast("long")).drop("_row")
     packed = dealt.groupBy("_group").applyInArrow(run, kinds)
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full)

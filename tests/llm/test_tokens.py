@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 
 from recollect.llm import bpe, packing
 
-LETTERS = "ab'stTé 中　\n\t \x1c\x85\xa0  12３.,!?'re'll😀 ñ́-"
+NEWER = "\u088f\u0c5c\ua7ce\U00018d88\U00018e9a\U0001915a\U000190f6\U000323b5\U00011de3\U0001246f"
+LETTERS = NEWER + "ab'stTé 中　\n\t \x1c\x85\xa0  12３.,!?'re'll😀 ñ́-"
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,19 @@ def test_encoder_matches_the_library_and_decodes(encoder, reference):
         assert encoder.decode(ids) == t.encode()
 
 
+def test_memo_is_bounded_in_bytes(encoder, reference, monkeypatch):
+    """Long pieces aren't remembered, and a full memo is emptied; the ids stay the library's."""
+    own = bpe.Encoder(bpe.default_ranks(), bpe.default_pattern())
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    r = random.Random(6)
+    for _ in range(40):
+        texts = ["".join(r.choice("abcdef中文") for _ in range(r.choice([5, 3000]))) + " " + "xy" * r.randrange(200) for _ in range(5)]
+        for t, got in zip(texts, own.encode_batch(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == reference.encode_ordinary(t)
+        assert max(map(len, [*own.memo, *own.known])) <= bpe.MEMO_LENGTH
+        assert own.held < 20_000 + 5 * 4 * (bpe.ENTRY_BYTES + 5 * bpe.MEMO_LENGTH)
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers(encoder):
     h = encoder.hash
     assert sorted(h.ids.tolist()) == list(range(h.n))
@@ -69,7 +83,6 @@ def test_packing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS piece", "'q' AS sequence_id")
     got = packing.pack_documents(df, capacity=512).collect()
     t = Tokenizer.from_file(P.path(packing.VOCABULARY_FILE))
-    t.encode_special_tokens = True
     ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in rows}
     pieces, sequences = {}, {}
     for p in got:
