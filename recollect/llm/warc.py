@@ -14,7 +14,8 @@ makes the same records.
 A record is one gzip member (with a fixed time stamp); members that follow each other are a WARC file.
 :func:`read_records` and :func:`parse` read them back, :func:`save` writes files.
 
-Defined cases: a null URL leaves ``WARC-Target-URI`` out; null or empty HTML gives an empty payload and an
+Defined cases: line ends in a URL become ``%0D`` and ``%0A``, in other header values a space, so that no value can
+end its line; a null URL leaves ``WARC-Target-URI`` out; null or empty HTML gives an empty payload and an
 empty conversion; headers may be absent; ill-formed HTML is read as browsers do roughly (an open tag
 or script runs to the end); repeated rows give equal records again; further columns are ignored.
 """
@@ -30,6 +31,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,19 +57,37 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(0).join(map(str, parts)))}>"
 
 
+_LINE_ENDS = re.compile(r"[\r\n]+")
+
+
+def one_line(value: str) -> str:
+    """A header's value without line ends."""
+    return _LINE_ENDS.sub(" ", value)
+
+
+def address(url: str) -> str:
+    """A URL without line ends."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def write_record(headers: list[tuple[str, str]], block: bytes, compressed: bool = True) -> bytes:
     """One record; Content-Length is added."""
-    head = b"".join(f"{k}: {v}".encode() + CRLF for k, v in [*headers, ("Content-Length", str(len(block)))])
+    head = b"".join(f"{k}: {one_line(v)}".encode() + CRLF for k, v in [*headers, ("Content-Length", str(len(block)))])
     raw = b"WARC/1.1" + CRLF + head + CRLF + block + CRLF + CRLF
     return gzip.compress(raw, mtime=0) if compressed else raw
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, opened one after the other."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of a file, opened one after the other; it is read by small steps, so that none is read again."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):
+            part = view[at : at + step]
+            parts.append(d.decompress(part))
+            at += len(part)
+        at -= len(d.unused_data)
+        yield b"".join(parts) + d.flush()
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,7 +168,7 @@ def response_of(page_id: int | None, url: str | None, source: str | None, date:
     payload = (source or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page_id, url, sha1(payload))), ("WARC-Date", date)]
-    headers += [("WARC-Target-URI", url)] if url else []
+    headers += [("WARC-Target-URI", address(url))] if url else []
     return [*headers, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", sha1(payload)), ("WARC-Block-Digest", sha1(block))], block
 
 
@@ -166,7 +186,7 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     fields = [("http-status", status), *[(f"source-{k.lower()}", v) for k, v in http], ("source-payload-digest", digest)]
     fields += [("source-block-digest", headers["warc-block-digest"])] if headers.get("warc-block-digest") else []
     fields += [("title", title), ("conversion-record-id", own["conversion"]), ("conversion-length", str(len(plain)))]
-    about = b"".join(f"{k}: {v}".encode() + CRLF for k, v in fields)
+    about = b"".join(f"{k}: {one_line(v)}".encode() + CRLF for k, v in fields)
     out = []
     for kind, mime, body in (("conversion", "text/plain; charset=utf-8", plain), ("metadata", "application/warc-fields", about)):
         linked = [("WARC-Concurrent-To", own["metadata" if kind == "conversion" else "conversion"])]
@@ -194,8 +214,8 @@ def build(df: DataFrame, *, key: str = "page_id", url: str = "url", html_: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for page, address, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    headers, block = response_of(page, address, source)
+                for page, place, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    headers, block = response_of(page, place, source)
                     if responses:
                         rows.append(row_of(page, headers, block, with_records))
                     rows += [row_of(page, h, b, with_records) for h, b in derive({k.lower(): v for k, v in headers}, block)]
@@ -205,13 +225,18 @@ def build(df: DataFrame, *, key: str = "page_id", url: str = "url", html_: str =
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: file, headers (names in lower case) and block."""
+    """Records of WARC files: file, headers (names in lower case) and block.
+
+    A file is read whole by one task, so it may have 2 GB at most (the format advises 1 GB); its records
+    are passed on a few at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(parse(content))
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())], names=["file", "headers", "block"])
+                records = parse(content)
+                while found := list(islice(records, 256)):
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())], names=["file", "headers", "block"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, headers map<string,string>, block binary")
 
@@ -227,7 +252,10 @@ def derive_records(records: DataFrame) -> DataFrame:
 
 
 def save(records: DataFrame, folder: str) -> None:
-    """One ``.warc.gz`` file for each partition in a folder that all executors mount; a retried task replaces its own."""
+    """One ``.warc.gz`` file for each partition in a folder that all executors mount; a retried task replaces its own.
+
+    Spark has no sink for raw bytes: for an object store, keep the rows of :func:`build` as a table instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -236,14 +264,16 @@ def save(records: DataFrame, folder: str) -> None:
         name = f"{folder}/part-{task.partitionId():05d}.warc.gz"
         temporary = f"{name}.{task.taskAttemptId()}"
         n = 0
-        with open(temporary, "wb") as f:
-            for batch in batches:
-                for record in batch.column(0).to_pylist():
-                    n += f.write(record)
-        if n:
-            os.replace(temporary, name)
-        else:
-            os.remove(temporary)
+        try:
+            with open(temporary, "wb") as f:
+                for batch in batches:
+                    for record in batch.column(0).to_pylist():
+                        n += f.write(record)
+            if n:
+                os.replace(temporary, name)
+        finally:
+            if os.path.exists(temporary):
+                os.remove(temporary)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["bytes"])
 
     os.makedirs(folder, exist_ok=True)
