@@ -8,10 +8,10 @@ checksum, a gazetteer, the words before, and the characters at its edges.
 expectation-maximisation estimates each labeler's reliability and each pattern's posterior without
 any labels.
 *Classifier.*  A logistic regression over hashed span features is trained on these posteriors, from a
-bounded sample of candidates (``TRAIN_SPANS``), and decides on every candidate of the further kinds.
+bounded sample of candidates (about ``TRAIN_SPANS``, drawn by a hash of document, kind and place), and decides on every candidate of the further kinds.
 Base spans stay whatever it says.
 
-The texts are read once; what is kept of them are spans and votes.
+The texts are read once; what is kept of them are spans and votes (:func:`redact` reads them again to mask them).
 
 Defined cases: null and empty texts hold nothing; offsets are code points, ends exclusive; spans of
 one kind don't overlap, and a further span that touches a base span is dropped; repeated rows are
@@ -139,7 +139,7 @@ def further_spans(text: str, base: dict[str, list[tuple[int, int]]], failed: lis
     for kind, a, b in found:  # both lists go by start; base spans of different kinds may overlap each other
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if not any(x < b and a < y for x, y in taken[i : i + 8]):
+        if i == len(taken) or taken[i][0] >= b:  # the first that ends behind a tells: later ones start no earlier
             out.append((kind, a, b))
     return out
 
@@ -282,7 +282,11 @@ class Model:
             votes = np.array([votes_from(v) for v, _ in own], dtype=np.int64).reshape(-1, len(VOTERS))
             _, self.reliability[kind], post = reliabilities(votes, np.array([n for _, n in own], dtype=float))
             self.posterior |= {(kind, v): float(p) for (v, _), p in zip(own, post, strict=True)}
-        sample = each.select("kind", "votes", "features", F.xxhash64("doc_id", "kind", "start").alias("h")).orderBy("h", "kind", "votes").limit(train_spans).collect()
+        # A share of all candidates, so that no partition sends more than its part; the limit is for rows that repeat.
+        share = min(1.0, train_spans / max(1, sum(r["count"] for r in patterns)))
+        drawn = F.pmod(F.xxhash64("doc_id", "kind", "start"), F.lit(1 << 30)) < int(share * (1 << 30))
+        found = each.select("kind", "votes", "features", F.xxhash64("doc_id", "kind", "start", "stop").alias("h")).filter(drawn if share < 1 else F.lit(True)).limit(2 * train_spans).collect()
+        sample = sorted(found, key=lambda r: (r.h, r.kind, r.votes))
         self.weights = fit_classifier([r.features for r in sample], np.array([self.posterior[r.kind, r.votes] for r in sample]))
 
     def probability(self, features: list[int]) -> float:
