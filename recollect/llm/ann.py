@@ -8,12 +8,14 @@ vectors of the whole table, so their number follows the table up to the sample's
 vectors than a bundle is dealt over several, so that one common vector can't fill a task.  A query goes
 once to each bundle that holds leaves it visits, and comes back with one list.
 *Search.*  For each query a priority queue over tree nodes yields leaves in order of the distance to
-their centres.  ``visits`` leaves are searched; the number is calibrated: starting from
+their centres.  ``visits`` leaves are searched, and more where these hold too few vectors; the number is calibrated: starting from
 ``FIRST_VISITS`` it is widened until ``CALIBRATION`` sample queries, searched against *all* vectors
 by brute force in blocks, find ``TARGET_RECALL`` of their true neighbours in the leaves visited.
 
 Scores are Euclidean distances of the original vectors in double precision; ties go to the smaller
-id.  Defined cases: null vectors, zero vectors, vectors with null or non-finite components and
+id.  Vectors that hardly cluster need many leaves: ``Index.share`` is the part of them that calibration chose.
+
+Defined cases: null vectors, zero vectors, vectors with null or non-finite components and
 vectors of another length than the most common one take no part; a repeated row is a candidate of
 its own (a query skips every row of its own id); null ids take no part; empty tables give an empty
 result; further columns are ignored.
@@ -32,15 +34,17 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 BRANCH = 8
-FIT_SAMPLE = 16_384
-LEAF_VECTORS = 256
+FIT_SAMPLE = 32_768
+LEAF_VECTORS = 16
 #: Rows of one block of a brute-force search.
 BLOCK = 2_048
 #: Vectors of one bundle: a 256th of the table, within these bounds.
 BUNDLE = (1_024, 65_536)
-CALIBRATION = 64
+CALIBRATION = 128
 FIRST_VISITS = 4
-TARGET_RECALL = 0.96
+TARGET_RECALL = 0.94
+#: Queries that meet one bundle in one task, about.
+QUERY_BLOCK = 16_384
 K = 10
 
 
@@ -110,19 +114,26 @@ class Tree:
             todo += [(kid, part) for i, kid in enumerate(kids) if len(part := own[nearest == i])]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves by best-bin-first: the nearest open node next."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to each node's centre."""
+        return squared(q, self.points)
+
+    def best_bins(self, distance: list[float], visits: int, sizes: list[int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves by best-bin-first, the nearest open node next: ``visits`` of them, and on until they hold ``least`` vectors.
+
+        ``distance`` is that of the query to each node.
+        """
+        queue, out, held, children, leaf = [(0.0, 0)], [], 0, self.children, self.leaf
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
-            while kids := self.children[node]:
-                d = ((self.points[kids] - q) ** 2).sum(1)
-                near = int(d.argmin())
-                for i, kid in enumerate(kids):
-                    if i != near:
-                        heapq.heappush(queue, (float(d[i]), kid))
-                node = kids[near]
-            out.append(self.leaf[node])
+            while kids := children[node]:
+                near = min(kids, key=distance.__getitem__)
+                for kid in kids:
+                    if kid != near:
+                        heapq.heappush(queue, (distance[kid], kid))
+                node = near
+            out.append(leaf[node])
+            held += sizes[leaf[node]] if sizes else 0
         return out
 
 
@@ -216,19 +227,22 @@ class Index:
             places.append((leaf, bundle, blocks))
             bundle, held = (bundle + blocks, 0) if blocks > 1 else (bundle, held + count)
         self.places = self.spark.sparkContext.broadcast({leaf: (b, k) for leaf, b, k in places})
+        self.sizes = self.spark.sparkContext.broadcast([sizes.get(leaf, 0) for leaf in range(self.tree.leaves)])
         where = self.spark.createDataFrame(places, "leaf long, first long, blocks int")
         self.table = assigned.join(F.broadcast(where), "leaf").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("first", "blocks")
         self.visits = self.calibrate(vectors, target)
+        self.share = self.visits / self.tree.leaves
 
     def calibrate(self, vectors: DataFrame, target: float) -> int:
         probe = vectors.orderBy(F.xxhash64("vec_id", F.lit(29)), "vec_id").limit(CALIBRATION).collect()
-        ranked = {r.vec_id: self.tree.best_bins(np.array(r.vec), self.tree.leaves) for r in probe}
+        distance = self.tree.distances(np.array([r.vec for r in probe])).tolist()
+        ranked = {r.vec_id: {leaf: i for i, leaf in enumerate(self.tree.best_bins(d, self.tree.leaves))} for r, d in zip(probe, distance, strict=True)}
         visits = min(FIRST_VISITS, self.tree.leaves)
         # The leaf of each true neighbour is asked for once; widening then needs no further job.
         near = brute_force(vectors, [(r.vec_id, r.vec) for r in probe], self.k).join(self.table.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
-        place = [ranked[r.query_id].index(r.leaf) for r in near]
+        place = [ranked[r.query_id][r.leaf] for r in near]
         while place and visits < self.tree.leaves and sum(p < visits for p in place) < target * len(place):
-            visits = min(self.tree.leaves, visits + max(1, visits // 4))
+            visits = min(self.tree.leaves, visits + max(1, visits // 16))
         self.measured = sum(p < visits for p in place) / len(place) if place else 1.0
         return visits
 
@@ -236,25 +250,31 @@ class Index:
         """query_id, rank, vec_id, score for queries (vec_id, vec)."""
         if self.empty:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        shared, places, visits, k = self.shared, self.places, self.visits, self.k
+        shared, places, sizes, visits, k, leaf_count = self.shared, self.places, self.sizes, self.visits, self.k, self.tree.leaves
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = shared.value
             for batch in batches:
-                row, bundles, leaves = [], [], []
-                for i, v in enumerate(matrix(batch.column(1)) if batch.num_rows else []):
-                    wanted: dict[int, list[int]] = {}
-                    for leaf in shared.value.best_bins(v, visits):
-                        first, blocks = places.value[leaf]
-                        for b in range(first, first + blocks):
-                            wanted.setdefault(b, []).append(leaf)
-                    for b, own in wanted.items():
-                        row.append(i)
-                        bundles.append(b)
-                        leaves.append(own)
-                picked = batch.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), picked.column(0), picked.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["bundle", "query_id", "q", "leaves"])
-
-        routed = queries.select("vec_id", "vec").mapInArrow(route, "bundle long, query_id long, q array<double>, leaves array<long>")
+                for lo in range(0, batch.num_rows, 128):
+                    part = batch.slice(lo, 128)
+                    row, bundles, leaves = [], [], []
+                    for i, d in enumerate(tree.distances(matrix(part.column(1))).tolist()):
+                        wanted: dict[int, list[int]] = {}
+                        for leaf in tree.best_bins(d, visits, sizes.value, k + 1):
+                            first, blocks = places.value[leaf]
+                            for b in range(first, first + blocks):
+                                wanted.setdefault(b, []).append(leaf)
+                        row += [i] * len(wanted)
+                        bundles += wanted
+                        leaves += wanted.values()
+                    picked = part.take(pa.array(row, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), picked.column(0), picked.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["bundle", "query_id", "q", "leaves"])
+
+        # Many queries go in blocks, each with its own copy of the bundles, so that a task holds a bounded number of either.
+        parts = max(1, -(-queries.count() // QUERY_BLOCK))
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
+        routed = queries.select("vec_id", "vec").mapInArrow(route, "bundle long, query_id long, q array<double>, leaves array<long>").select("*", part)
+        rows = self.table.select("bundle", "leaf", "vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 
         def scan(left: pa.Table, right: pa.Table) -> pa.Table:
             rows: dict[int, list[tuple[float, int]]] = {}
@@ -265,13 +285,15 @@ class Index:
                 for at in range(0, len(q), step):
                     rough = squared(q[at : at + step], x)
                     for i, wanted in enumerate(visited[at : at + step]):
-                        rough[i, ~np.isin(leaf, wanted)] = np.inf
+                        other = np.ones(leaf_count, dtype=bool)
+                        other[wanted] = False
+                        rough[i, other[leaf]] = np.inf
                     for query, vec, score in nearest(q[at : at + step], own[at : at + step], x, ids, k, rough):
                         rows.setdefault(query, []).append((score, vec))
             lists = [[{"score": s, "vec_id": v} for s, v in r] for r in rows.values()]
             return pa.table({"query_id": pa.array(list(rows), pa.int64()), "list": pa.array(lists, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
 
-        hits = routed.groupBy("bundle").cogroup(self.table.select("bundle", "leaf", "vec_id", "vec").groupBy("bundle")).applyInArrow(scan, LISTS)
+        hits = routed.groupBy("bundle", "part").cogroup(rows.groupBy("bundle", "part")).applyInArrow(scan, LISTS)
         return best(hits, k)
 
 
