@@ -12,9 +12,11 @@ A document's set is that of its distinct word shingles.  Two documents link when
    shares most of its prefix with others.  Each document's best leader is verified, which turns a
    large group of near copies into a star instead of all its pairs.
 4. Signature trees: what the star round has not joined is searched exactly.  Every group becomes a
-   tree over documents in order of size, whose nodes hold OR- and AND-combined token bitmaps and a
-   size range; a dual traversal drops pairs of nodes that lie in one component, whose sizes can't
+   tree over its documents, alike ones side by side, whose nodes hold OR- and AND-combined token bitmaps
+   and a size range; a dual traversal drops pairs of nodes that lie in one component, whose sizes can't
    match, or whose largest possible overlap is too small.  Pairs that are left are verified on the texts.
+   A group of more than ``BLOCK`` documents is cut into blocks, and each pair of blocks whose sizes may
+   match is a task's unit of its own, so that a shingle that many documents have doesn't fill one task.
 
 Every pair that the prefix filter admits is either in one component already or reaches step 4, so no
 link is lost; there is no cap on groups, partners or candidates.  The driver holds counts and the
@@ -22,21 +24,24 @@ frequent shingles (at most ``mean set size / HOT_SHARE`` of them).
 
 Defined cases: null or empty texts, and texts without words, have empty sets and link with nothing;
 texts with fewer words than a shingle have their whole sequence as the one element; repeated rows and
-equal sets are in one component; rows with a null id take no part in choosing it; an empty table
-gives an empty result; further columns are ignored.
+equal sets are in one component; rows with a null id take no part in choosing it; rows that share an id
+are one document with the links of all its texts; an empty table gives an empty result; further columns
+are ignored.  :func:`keep_one_of_each` leaves one row of each component, nulls and repeats in the ids
+notwithstanding, and all rows with empty sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, documents_of, mix, pack_sorted, run_hashes, staged, table, text_buffer, unpack_sorted, word_bounds, word_hashes
+from .common import U64, documents_of, give_back, lean, mix, numbered_rows, pack_sorted, run_hashes, staged, table, text_buffer, unpack_sorted, without_rows, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 80
 #: A shingle is frequent when this share of the documents has it.
@@ -46,7 +51,10 @@ HOT_LIMIT = 1_000_000
 SHARD_POSTINGS = 1 << 19
 #: Pairs up to this number (24 bytes each) are broadcast for the lookup of their texts.
 BROADCAST_PAIRS = 300_000
+#: Documents of a leaf (up to four times as many where bitmaps are small), and nodes of a parent.
 LEAF, FAN = 16, 8
+#: Documents of a group that one task compares; larger groups are cut.
+BLOCK = 4_096
 BITS_PER_TOKEN = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,12 +91,21 @@ def bitmap(tokens: np.ndarray) -> bytes:
     """A bit for each token, by its lowest bits; ``BITS_PER_TOKEN`` times the set's size or up to twice that, 64 at least.
 
     At a load of an eighth to a quarter, the tokens that a set lacks show nearly all, so that little but
-    links outlives the trees.
+    links outlives the trees.  Such bitmaps compress by a quarter to nearly a half, and every group that a
+    document is in gets its own copy.
     """
     bits = max(64, 1 << (BITS_PER_TOKEN * len(tokens) - 1).bit_length()) if len(tokens) else 64
     flags = np.zeros(bits, dtype=bool)
     flags[(tokens & U64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes()
+    raw = np.packbits(flags, bitorder="little").tobytes()
+    small = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 64 else raw
+    return bytes([len(raw).bit_length()]) + small if len(small) < len(raw) else b"\0" + raw
+
+
+def bitmap_words(blob: bytes) -> np.ndarray:
+    """A bitmap as 64-bit words; its first byte tells the size of a compressed one."""
+    raw = blob[1:] if not blob[0] else pa.decompress(blob[1:], decompressed_size=1 << (blob[0] - 1), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, "<u8")
 
 
 def folded(words: np.ndarray, size: int) -> np.ndarray:
@@ -108,10 +125,15 @@ def profile(docs: DataFrame, shingle: int) -> DataFrame:
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
-            many = times >= max(4, HOT_SHARE * len(held))
+            docs = len(held)
+            tokens = np.concatenate(held) if held else np.zeros(0, U64)
+            held.clear()
+            tokens.sort()
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(tokens)))
+            many = times >= max(4, HOT_SHARE * docs)
             n = int(many.sum())
-            return rows(1, [None] * n, times[many], tokens[many].view(np.int64), [0] * n, [None] * n)
+            return rows(1, [None] * n, times[many], tokens[first[many]].view(np.int64), [0] * n, [None] * n)
 
         def rows(kind, ids, n, d0, d1, bits) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "doc_id", "n", "d0", "d1", "bits"])
@@ -126,10 +148,10 @@ def profile(docs: DataFrame, shingle: int) -> DataFrame:
                 size += sum(map(len, sets))
                 if size > 4_000_000:
                     yield frequent()
-                    held, size = [], 0
+                    size = 0
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, d0 long, d1 long, bits binary")
+    return docs.mapInArrow(lean(run), "kind int, doc_id long, n long, d0 long, d1 long, bits binary")
 
 
 # --------------------------------------------------------------- postings
@@ -149,7 +171,7 @@ def postings(docs: DataFrame, shingle: int, threshold: int, hot: np.ndarray, sha
                     n = len(s)
                     if not n:
                         continue
-                    d = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]
                     if (doc, d) in seen:
                         continue
                     seen.add((doc, d))
@@ -173,10 +195,12 @@ def postings(docs: DataFrame, shingle: int, threshold: int, hot: np.ndarray, sha
             packed = [pa.compress(np.ascontiguousarray(rest[:, cut[s] : cut[s + 1]]).tobytes(), codec="zstd", asbytes=True) for s in filled]
             yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([pack_sorted(t[cut[s] : cut[s + 1]]) for s in filled], pa.binary()), pa.array(packed, pa.binary())], names=["shard", "tokens", "rest"])
 
-    return docs.mapInArrow(run, "shard long, tokens binary, rest binary")
+    return docs.mapInArrow(lean(run), "shard long, tokens binary, rest binary")
 
 
-SHARED = "shard long, token long, doc long, n long, g0 long, g1 long"
+#: tag: 31 bits of the set's digest; with the size they tell the texts of one id apart.
+SHARED = "shard long, token long, doc long, n long, tag int, g0 long, g1 long"
+TAG_BITS = (1 << 31) - 1
 
 
 def shared_postings(threshold: int):
@@ -193,19 +217,22 @@ def _shared_postings(group: pa.Table, threshold: int) -> pa.Table:
     t, ids, n, digest = t[order], ids[order], n[order], digest[order]
     new = np.ones(len(t), dtype=bool)
     new[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (digest[1:] != digest[:-1])
-    t, ids, n = t[new], ids[new], n[new]
+    t, ids, n, digest = t[new], ids[new], n[new], digest[new]
     # Within a shingle's documents by size, one that neither neighbour matches in size has no match at all.
     fits = (t[1:] == t[:-1]) & (100 * n[:-1] >= threshold * n[1:])
     kept = np.concatenate((fits, [False])) | np.concatenate(([False], fits)) if len(t) else np.zeros(0, bool)
-    t, ids, n = t[kept], ids[kept], n[kept]
+    t, ids, n, digest = t[kept], ids[kept], n[kept], digest[kept]
     first = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
     group_of = np.cumsum(first) - 1
     many = np.bincount(group_of)[group_of] > 1
     # A group's signature: two sums of hashes of its documents, the same for all shingles that the same documents have.
-    mixed = mix(ids.view(U64) ^ U64(0x9E3779B97F4A7C15))
+    mixed = mix(ids.view(U64) ^ mix(digest.view(U64)))
     sums = [np.add.reduceat(x, np.flatnonzero(first))[group_of].view(np.int64) for x in (mixed, mix(mixed))] if len(t) else [ids, ids]
-    columns = {"token": t.view(np.int64), "doc": ids, "n": n, "g0": sums[0], "g1": sums[1]}
-    return pa.table({"shard": pa.array(np.full(int(many.sum()), group.column("shard")[0].as_py()), pa.int64())} | {k: pa.array(v[many], pa.int64()) for k, v in columns.items()})
+    columns = {"token": t.view(np.int64), "doc": ids, "n": n, "tag": (digest & TAG_BITS).astype(np.int32), "g0": sums[0], "g1": sums[1]}
+    out = pa.table({"shard": pa.array(np.full(int(many.sum()), group.column("shard")[0].as_py()), pa.int64())} | {k: pa.array(v[many]) for k, v in columns.items()})
+    del t, ids, n, digest, tokens, rest, columns
+    give_back()
+    return out
 
 
 # ------------------------------------------------------------- star round
@@ -253,12 +280,12 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int) ->
                             b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 # -------------------------------------------------------- signature trees
 class Node:
-    """Documents lo..hi of a group: OR and AND of their bitmaps, size range, component if there is but one."""
+    """Documents lo..hi of a tree: OR and AND of their bitmaps, size range, component if there is but one."""
 
     __slots__ = ("all", "any", "hi", "kids", "largest", "lo", "one", "smallest")
 
@@ -267,61 +294,83 @@ class Node:
         self.smallest, self.largest, self.one = smallest, largest, one
 
 
+def first_bits(bits: np.ndarray) -> np.ndarray:
+    """Place of the lowest bit that is set in each row; equal for most rows that are much alike."""
+    word = (bits != 0).argmax(1)
+    value = bits[np.arange(len(bits)), word]
+    low = value & (~value + U64(1))
+    return word * 64 + np.log2(np.maximum(low, U64(1)).astype(float)).astype(np.int64)
+
+
 class SignatureTree:
-    """Bitmaps of a group in order of size, at the resolution of its smallest member's class."""
+    """Bitmaps of a group, all at one resolution; what is alike is brought together, so that OR and AND of a node say much.
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, component: np.ndarray, threshold: int):
-        self.bits, self.sizes, self.component, self.threshold = bits, sizes, component, threshold
-        level = [self.leaf(lo, min(len(sizes), lo + LEAF)) for lo in range(0, len(sizes), LEAF)]
+    Documents of one component come together, then those that agree in their first and last token outside of
+    what all have, then those of like size.
+    """
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, component: np.ndarray):
+        own = bits & ~np.bitwise_and.reduce(bits)
+        self.order = np.lexsort((sizes, first_bits(own[:, ::-1]), first_bits(own), component))
+        self.bits, self.sizes, self.component = bits[self.order], sizes[self.order], component[self.order]
+        size = LEAF * (4 if bits.shape[1] <= 64 else 2 if bits.shape[1] <= 256 else 1)
+        level = [self.leaf(lo, min(len(sizes), lo + size)) for lo in range(0, len(sizes), size)]
         while len(level) > 1:
             level = [self.parent(level[i : i + FAN]) for i in range(0, len(level), FAN)]
         self.root = level[0]
 
     def leaf(self, lo: int, hi: int) -> Node:
-        own = self.component[lo:hi]
+        own, sizes = self.component[lo:hi], self.sizes[lo:hi]
         one = int(own[0]) if (own == own[0]).all() else None
-        return Node(lo, hi, None, np.bitwise_or.reduce(self.bits[lo:hi]), np.bitwise_and.reduce(self.bits[lo:hi]), int(self.sizes[lo]), int(self.sizes[hi - 1]), one)
+        return Node(lo, hi, None, np.bitwise_or.reduce(self.bits[lo:hi]), np.bitwise_and.reduce(self.bits[lo:hi]), int(sizes.min()), int(sizes.max()), one)
 
     def parent(self, kids: list[Node]) -> Node:
         one = kids[0].one if all(k.one == kids[0].one for k in kids) else None
-        return Node(kids[0].lo, kids[-1].hi, kids, np.bitwise_or.reduce([k.any for k in kids]), np.bitwise_and.reduce([k.all for k in kids]), kids[0].smallest, kids[-1].largest, one)
-
-    def hopeless(self, x: Node, y: Node) -> bool:
-        """No pair of a document of x and one of y can link anew."""
-        if x.one is not None and x.one == y.one:
-            return True
-        if 100 * x.largest < self.threshold * y.smallest or 100 * y.largest < self.threshold * x.smallest:
-            return True
-        overlap = min(x.largest - int(np.bitwise_count(x.all & ~y.any).sum()), y.largest - int(np.bitwise_count(y.all & ~x.any).sum()))
-        return (100 + self.threshold) * overlap < self.threshold * (x.smallest + y.smallest)
-
-    def pairs(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        out, todo = [], [(self.root, self.root)]
-        while todo:
-            x, y = todo.pop()
-            if self.hopeless(x, y):
-                continue
-            if x.kids is None and y.kids is None:
-                out.append(self.compare(x, y))
-            elif x is y:
-                todo += [(a, b) for i, a in enumerate(x.kids) for b in x.kids[i:]]
-            elif y.kids is None or (x.kids is not None and x.hi - x.lo >= y.hi - y.lo):
-                todo += [(k, y) for k in x.kids]
-            else:
-                todo += [(x, k) for k in y.kids]
-        return out
-
-    def compare(self, x: Node, y: Node) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.bits[x.lo : x.hi], self.bits[y.lo : y.hi]
-        m, n = self.sizes[x.lo : x.hi, None], self.sizes[None, y.lo : y.hi]
-        lone_a = np.bitwise_count(a[:, None] & ~b[None]).sum(2, dtype=np.int64)
-        lone_b = np.bitwise_count(b[None] & ~a[:, None]).sum(2, dtype=np.int64)
-        overlap = np.minimum(m - lone_a, n - lone_b)
-        good = ((100 + self.threshold) * overlap >= self.threshold * (m + n)) & (self.component[x.lo : x.hi, None] != self.component[None, y.lo : y.hi])
-        if x is y:
-            good &= np.tri(len(a), k=-1, dtype=bool)
-        i, j = np.nonzero(good)
-        return i + x.lo, j + y.lo
+        return Node(kids[0].lo, kids[-1].hi, kids, np.bitwise_or.reduce([k.any for k in kids]), np.bitwise_and.reduce([k.all for k in kids]), min(k.smallest for k in kids), max(k.largest for k in kids), one)
+
+
+def hopeless(x: Node, y: Node, threshold: int) -> bool:
+    """No pair of a document of x and one of y can link anew."""
+    if x.one is not None and x.one == y.one:
+        return True
+    if 100 * x.largest < threshold * y.smallest or 100 * y.largest < threshold * x.smallest:
+        return True
+    overlap = min(x.largest - int(np.bitwise_count(x.all & ~y.any).sum()), y.largest - int(np.bitwise_count(y.all & ~x.any).sum()))
+    return (100 + threshold) * overlap < threshold * (x.smallest + y.smallest)
+
+
+def dual_traversal(left: SignatureTree, right: SignatureTree, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left and right as given) of the pairs that the nodes and bitmaps admit; within one tree, each pair once."""
+    first, second, todo = [], [], [(left.root, right.root)]
+    same = left is right
+    while todo:
+        x, y = todo.pop()
+        if hopeless(x, y, threshold):
+            continue
+        if x.kids is None and y.kids is None:
+            i, j = compare(left, x, right, y, threshold)
+            first.append(left.order[i])
+            second.append(right.order[j])
+        elif same and x is y:
+            todo += [(a, b) for i, a in enumerate(x.kids) for b in x.kids[i:]]
+        elif y.kids is None or (x.kids is not None and x.hi - x.lo >= y.hi - y.lo):
+            todo += [(k, y) for k in x.kids]
+        else:
+            todo += [(x, k) for k in y.kids]
+    return tuple(np.concatenate(p) if p else np.zeros(0, np.int64) for p in (first, second))
+
+
+def compare(left: SignatureTree, x: Node, right: SignatureTree, y: Node, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = left.bits[x.lo : x.hi], right.bits[y.lo : y.hi]
+    m, n = left.sizes[x.lo : x.hi, None], right.sizes[None, y.lo : y.hi]
+    lone_a = np.bitwise_count(a[:, None] & ~b[None]).sum(2, dtype=np.int64)
+    lone_b = np.bitwise_count(b[None] & ~a[:, None]).sum(2, dtype=np.int64)
+    overlap = np.minimum(m - lone_a, n - lone_b)
+    good = ((100 + threshold) * overlap >= threshold * (m + n)) & (left.component[x.lo : x.hi, None] != right.component[None, y.lo : y.hi])
+    if left is right and x is y:
+        good &= np.tri(len(a), k=-1, dtype=bool)
+    i, j = np.nonzero(good)
+    return i + x.lo, j + y.lo
 
 
 def refined(words: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
@@ -341,36 +390,75 @@ def refined(words: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray
     return keep
 
 
+def units(mixed: DataFrame, threshold: int) -> DataFrame:
+    """``mixed`` with the unit (shard, hot, cell, i, j) in which each document is compared, and the side it is on.
+
+    Groups of up to ``BLOCK`` documents go by shards.  A larger one is cut into cells: sizes are classed by the
+    logarithm, so that links lie within a class or between neighbours, and a class is dealt into blocks by a
+    hash.  Every pair of blocks that may hold a link is a unit of its own.
+    """
+    small = mixed.filter(F.col("docs") <= BLOCK).select("shard", F.lit(0).cast("long").alias("hot"), F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "token", "doc", "n", "tag", "component")
+    # A little wider than the ratio, so that rounding can't put linked sizes two classes apart.
+    width = 1.0001 * math.log(100 / threshold) if threshold < 100 else 1e-9
+    blocks = F.ceil(F.col("docs") / F.lit(BLOCK)).cast("long")
+    large = mixed.filter(F.col("docs") > BLOCK).withColumn("own", F.pmod(F.xxhash64("doc", "tag"), blocks)).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long"))
+
+    def place(cell, i, j, side):
+        return F.struct(cell.alias("cell"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    others, own, at = F.sequence(F.lit(0).cast("long"), blocks - 1), F.col("own"), F.col("class")
+    within = F.transform(others, lambda j: place(2 * at, F.least(own, j), F.greatest(own, j), own > j))
+    lower = F.transform(others, lambda j: place(2 * at + 1, own, j, F.lit(False)))
+    upper = F.transform(others, lambda j: place(2 * at - 1, j, own, F.lit(True)))
+    each = large.withColumn("at", F.explode(F.concat(within, lower, upper)))
+    return small.unionByName(each.select("shard", F.col("token").alias("hot"), "at.*", "token", "doc", "n", "tag", "component"))
+
+
 def tree_pairs(threshold: int):
-    """Pairs of different components in a shard that the trees can't exclude."""
+    """Pairs of different components in a unit that the trees can't exclude."""
 
     def run(group: pa.Table) -> pa.Table:
-        token, doc = group.column("token").to_numpy(), group.column("doc").to_numpy()
-        n, component = group.column("n").to_numpy(), group.column("component").to_numpy()
+        token, doc, tag = (group.column(c).to_numpy() for c in ("token", "doc", "tag"))
+        n, component, side = (group.column(c).to_numpy() for c in ("n", "component", "side"))
+        cell = group.column("cell")[0].as_py()
         raw = group.column("bits").to_pylist()
-        order = np.lexsort((doc, n, token))
+        order = np.lexsort((tag, doc, n, side, token))
         cut = np.flatnonzero(np.concatenate(([True], np.diff(token[order]) != 0, [True])))
         a, b, done = [], [], set()
+
+        def search(left: np.ndarray, right: np.ndarray | None) -> None:
+            both = left if right is None else np.concatenate((left, right))
+            if len(both) < 2 or (component[both] == component[both[0]]).all():
+                return
+            words = [bitmap_words(raw[i]) for i in both]
+            least = min(map(len, words))
+            bits = np.stack([folded(w, least) for w in words])
+            k = len(left)
+            x = SignatureTree(bits[:k], n[left], component[left])
+            i, j = dual_traversal(x, x if right is None else SignatureTree(bits[k:], n[right], component[right]), threshold)
+            if right is not None:
+                j = j + k
+            fine = refined(words, n[both], i, j, threshold)
+            a.append(doc[both[i[fine]]])
+            b.append(doc[both[j[fine]]])
+
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             own = order[lo:hi]
-            if (name := doc[own].tobytes()) in done:
+            if (name := doc[own].tobytes() + tag[own].tobytes()) in done:
                 continue
             done.add(name)
-            # Sizes that can't match part a group: no pair lies across such a gap.
-            gaps = np.flatnonzero(100 * n[own][:-1] < threshold * n[own][1:]) + 1
-            for part in np.split(own, gaps):
-                if len(part) > 1 and (component[part] != component[part[0]]).any():
-                    words = [np.frombuffer(raw[i], "<u8") for i in part]
-                    least = min(map(len, words))
-                    tree = SignatureTree(np.stack([folded(w, least) for w in words]), n[part], component[part], threshold)
-                    found = tree.pairs()
-                    if found:
-                        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                        fine = refined(words, n[part], i, j, threshold)
-                        a.append(doc[part[i[fine]]])
-                        b.append(doc[part[j[fine]]])
+            middle = int(np.searchsorted(side[own], 1))
+            if middle < len(own):
+                if middle:
+                    search(own[:middle], own[middle:])
+            elif cell < 0 or cell % 2 == 0:  # of two neighbouring classes, one alone has nothing to be held against
+                # Sizes that can't match part a group: no pair lies across such a gap.
+                gaps = np.flatnonzero(100 * n[own][:-1] < threshold * n[own][1:]) + 1
+                for part in np.split(own, gaps):
+                    search(part, None)
         x, y = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        give_back()
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     return run
@@ -426,26 +514,43 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
 
     # Of shingles that the same documents have, one is enough for the trees.
     one = shared.groupBy("g0", "g1").agg(F.min("token").alias("token")).select("token")
-    joined = shared.drop("g0", "g1").join(one, "token", "left_semi").join(label, "doc", "left").select("shard", "token", "doc", "n", F.coalesce("root", "doc").alias("component"))
-    over = Window.partitionBy("token")
-    mixed = joined.withColumn("lo", F.min("component").over(over)).withColumn("hi", F.max("component").over(over)).filter("lo < hi").drop("lo", "hi")
-    bits = own.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(F.first("bits").alias("bits"))
-    asked = mixed.join(bits, "doc").groupBy("shard").applyInArrow(tree_pairs(threshold), "a long, b long")
+    joined = staged(shared.drop("g0", "g1").join(one, "token", "left_semi").join(label, "doc", "left").select("shard", "token", "doc", "n", "tag", F.coalesce("root", "doc").alias("component")))
+    several = joined.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo < hi").select("token", "docs")
+    tag = F.col("d0").bitwiseAND(TAG_BITS).cast("int")
+    bits = own.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("doc"), "n", tag.alias("tag")).agg(F.first("bits").alias("bits"))
+    asked = units(joined.join(several, "token"), threshold).join(bits, ["doc", "n", "tag"]).groupBy("shard", "hot", "cell", "i", "j").applyInArrow(tree_pairs(threshold), "a long, b long")
     rest = verified(staged(asked.distinct()), docs, shingle, threshold)
 
-    # Links of both rounds as one graph: the stars of the first, and what the trees add between them.
-    graph = label.select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(rest)
-    linked = components(graph)
+    # Links of both rounds as one graph: the stars of the first, and what the trees add between them.  A class of
+    # equal sets is known by its smallest id, so an id with several texts is tied to the classes of all of them.
     classes = staged(own.filter("n > 0").groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"))
     named = own.select("doc_id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    texts = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).filter("lo < hi").select("doc_id")
+    tied = named.join(texts, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = components(label.select(F.col("doc").alias("a"), F.col("root").alias("b")).unionByName(rest).unionByName(tied))
     return named.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that stand for their component, the smallest id of each."""
-    stay = near_duplicates(df, key=key, text=text, shingle=shingle, threshold=threshold).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    return df.join(stay, df[key] == F.col("_stay"), "left_semi")
+    """One row of ``df`` for each component, that with the smallest id (a null one only where there is no other)."""
+    rows = numbered_rows(df, F.col(key).cast("long").alias("doc_id"))
+    found = near_duplicates(rows.select("_row", F.col("row").getField(text).alias("text")), key="_row", shingle=shingle, threshold=threshold)
+    ids = staged(found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    groups = ids.groupBy("component_id").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    lost = staged(ids.join(groups, "component_id").filter(F.col("_row") != F.col("best")["_row"]).select("_row"))
+    return without_rows(rows.select("row", "_row"), lost)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=85)
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+ each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(least_b, doc_id)) AS component_id FROM sets LEFT JOIN (SELECT a, min(b) AS least_b FROM reach GROUP BY 1) ON a = doc_id
+"""

@@ -11,17 +11,20 @@ The posterior of a language is proportional to
 The trigram model tells every declared language apart.  It is fitted on a bounded sample of each: all its
 rows up to ``TRAIN_DOCS``, about as many of a more frequent one, whatever the size of the table.  It is held
 as the trigrams seen in each language; time and the row of scores grow with the number of languages.  The
-other tables are grouped aggregates over all rows, by the language that the text alone suggests.  One more class, ``und``, has all trigrams of ``UNKNOWN_ALPHABET`` letters alike; a row is
-rejected when it wins or when no language reaches ``LEAST_POSTERIOR``.
+other tables are grouped aggregates over all rows, by the language that the text alone suggests.  One more
+class, ``und``, has all trigrams of ``UNKNOWN_ALPHABET`` letters alike; a row is rejected when it wins or when
+no language reaches ``LEAST_POSTERIOR``.
 
-The texts are read for the sample and once more for the scores.  The tables of hosts, declared languages and
+The texts are read for the sample and once more for the scores; :func:`keep_known` carries the rows along with
+their scores, so that no text is moved between tasks.  The tables of hosts, declared languages and
 suffixes are broadcast only when they have at most ``BROADCAST_HOSTS`` rows and ``BROADCAST_VALUES`` numbers;
 otherwise they are joined by shuffle, where adaptive execution splits a hot key.
 
 Defined cases: missing evidence (null or empty text, declaration, address or host) leaves the
 posterior to what there is; declared languages are compared by their primary subtag in lower case;
 repeated rows count as often as they occur; an empty table, or one that declares no language,
-rejects all its rows; further columns are ignored by :func:`identify` and kept by :func:`keep_known`.
+rejects all its rows; a null id is an id like others, and rows that share one are judged by their own texts;
+further columns are ignored by :func:`identify` and kept by :func:`keep_known`, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, mix, staged, table, text_buffer
+from .common import U64, lean, mix, staged, table, text_buffer
 
 BITS = 16
 #: Rows of each declared language that the trigram model is fitted on.
@@ -119,26 +123,35 @@ def train(rows: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Trigrams:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["at", "n"])
 
     shares = known.sparkSession.createDataFrame([(x, int(min(1.0, train_docs / often[x]) * (1 << 30))) for x in languages], "declared string, share long")
-    sample = known.join(F.broadcast(shares), "declared").filter(F.pmod(F.xxhash64("id", F.lit(61)), F.lit(1 << 30)) < F.col("share")).select("text", "declared")
+    sample = known.select("id", "text", "declared").join(F.broadcast(shares), "declared").filter(F.pmod(F.xxhash64("id", F.lit(61)), F.lit(1 << 30)) < F.col("share")).select("text", "declared")
     counts = sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().sort_by("at")  # the trigrams seen in each language
     return Trigrams(languages, counts.column("at").to_numpy(), counts.column("n").to_numpy())
 
 
-def evidence(df: DataFrame, *, key: str, text: str, declared: str | None = None, url: str | None = None, host: str | None = None) -> DataFrame:
-    """id, text, declared, suffix, host, domain of each row; missing values are empty."""
+def evidence(df: DataFrame, *, key: str, text: str, declared: str | None = None, url: str | None = None, host: str | None = None, whole: bool = False) -> DataFrame:
+    """row, id, text, declared, host, suffix, domain of each row; missing values are empty.
+
+    ``row`` is a struct of all columns but the text if the row is wanted ``whole``; else it is null.
+    """
 
     def or_empty(name: str | None) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")) if name else F.lit("")
 
     place = F.lower(F.regexp_extract(or_empty(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)) if url else F.lower(or_empty(host))
-    out = df.select(F.col(key).cast("long").alias("id"), or_empty(text).alias("text"), F.lower(F.regexp_extract(or_empty(declared), "^[A-Za-z]{2,8}", 0)).alias("declared"), place.alias("host"))
+    others = [F.col(f"`{c}`") for c in df.columns if c != text]
+    row = F.struct(*others) if whole and others else F.lit(None).cast("struct<none:int>")
+    out = df.select(row.alias("row"), F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.lower(F.regexp_extract(or_empty(declared), "^[A-Za-z]{2,8}", 0)).alias("declared"), place.alias("host"))
     return out.select("*", F.regexp_extract("host", r"\.([a-z]{2,12})$", 1).alias("suffix"), F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.col("host")).alias("domain"))
 
 
 def identify(df: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str | None = "lang", url: str | None = None, host: str | None = "source", least: float = LEAST_POSTERIOR) -> DataFrame:
     """id, language, posterior, n_trigrams and kept for each row."""
-    spark = df.sparkSession
-    rows = evidence(df, key=key, text=text, declared=declared, url=url, host=host)
+    return judged(evidence(df, key=key, text=text, declared=declared, url=url, host=host), least, whole=False).drop("row", "text")
+
+
+def judged(rows: DataFrame, least: float, *, whole: bool) -> DataFrame:
+    """row, text, id, language, posterior, n_trigrams and kept for each row of :func:`evidence`; the text only with its row."""
+    spark = rows.sparkSession
     model = train(rows)
     shared = spark.sparkContext.broadcast(model)
     names = model.languages
@@ -148,11 +161,13 @@ def identify(df: DataFrame, *, key: str = "doc_id", text: str = "text", declared
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, log = shared.value.scores(part.column(1))
+                n, log = shared.value.scores(part.column(2))
                 log = log * np.minimum(1.0, TEMPER / np.maximum(n, 1))[:, None]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(i) for i in range(2, 6)], pa.array(n), pa.array(list(log), pa.list_(pa.float64())), pa.array(np.where(n > 0, log.argmax(1), -1), pa.int32())], names=["id", "declared", "host", "suffix", "domain", "n", "log", "guess"])
+                text = part.column(2) if whole else pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text, *[part.column(i) for i in range(3, 7)], pa.array(n), pa.array(list(log), pa.list_(pa.float64())), pa.array(np.where(n > 0, log.argmax(1), -1), pa.int32())], names=[*part.schema.names, "n", "log", "guess"])
 
-    seen = staged(rows.mapInArrow(run, "id long, declared string, host string, suffix string, domain string, n long, log array<double>, guess int"))
+    kinds = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType()), T.StructField("log", T.ArrayType(T.DoubleType())), T.StructField("guess", T.IntegerType())])
+    seen = staged(rows.mapInArrow(lean(run), kinds))
 
     def numbers(values: list[float]) -> Column:
         return F.array(*[F.lit(float(x)) for x in values])
@@ -199,19 +214,19 @@ def identify(df: DataFrame, *, key: str = "doc_id", text: str = "text", declared
     by_host = held(hosts.select("host", F.zip_with("of", of_domain, lambda c, p: F.log((c + HOST_WEIGHT * p) / (F.col("n_host") + HOST_WEIGHT))).alias("log_host")))
 
     fused = seen.join(by_host, "host", "left").join(likelihoods("declared"), "declared", "left").join(likelihoods("suffix"), "suffix", "left")
-    whole = added(F.col("log"), F.coalesce(F.col("log_host"), numbers([math.log(x) for x in overall])))
+    total_log = added(F.col("log"), F.coalesce(F.col("log_host"), numbers([math.log(x) for x in overall])))
     for column in ("log_declared", "log_suffix"):
-        whole = F.when(F.col(column).isNull(), whole).otherwise(added(whole, F.col(column)))
-    fused = fused.select("id", "n", whole.alias("whole")).withColumn("top", F.array_max("whole"))
-    fused = fused.select("id", "n", (F.array_position("whole", F.col("top")) - 1).cast("int").alias("best"), (1 / F.aggregate("whole", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("posterior"))
+        total_log = F.when(F.col(column).isNull(), total_log).otherwise(added(total_log, F.col(column)))
+    fused = fused.select("row", "text", "id", "n", total_log.alias("whole")).withColumn("top", F.array_max("whole"))
+    fused = fused.select("row", "text", "id", "n", (F.array_position("whole", F.col("top")) - 1).cast("int").alias("best"), (1 / F.aggregate("whole", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("posterior"))
     language = F.array(*map(F.lit, names))[F.col("best")]
-    return fused.select("id", language.alias("language"), "posterior", F.col("n").alias("n_trigrams"), ((F.col("posterior") >= least) & (language != UND)).alias("kept"))
+    return fused.select("row", "text", "id", language.alias("language"), "posterior", F.col("n").alias("n_trigrams"), ((F.col("posterior") >= least) & (language != UND)).alias("kept"))
 
 
-def keep_known(df: DataFrame, *, key: str = "doc_id", **fields) -> DataFrame:
+def keep_known(df: DataFrame, *, key: str = "doc_id", text: str = "text", declared: str | None = "lang", url: str | None = None, host: str | None = "source", least: float = LEAST_POSTERIOR) -> DataFrame:
     """The rows of ``df`` whose language is told."""
-    stay = identify(df, key=key, **fields).filter("kept").select(F.col("id").alias("_stay")).distinct()
-    return df.join(stay, df[key] == F.col("_stay"), "left_semi")
+    stay = judged(evidence(df, key=key, text=text, declared=declared, url=url, host=host, whole=True), least, whole=True).filter("kept")
+    return stay.select(*[F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def visible_text(html: Column) -> Column:

@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_id_pages": language_id.language_id_pages,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

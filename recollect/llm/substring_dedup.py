@@ -219,3 +219,15 @@ def remove_repeated_windows(df: DataFrame, *, key: str = "doc_id", text: str = "
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), emit="digest")
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ each AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+ windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS words FROM each WHERE i + 34 <= len(w)),
+ repeated AS (SELECT words FROM windows GROUP BY 1 HAVING count(*) > 1),
+ starts AS (SELECT r, i, true AS starts FROM windows SEMI JOIN repeated USING (words)),
+ flagged AS (SELECT r, i, w[i] AS word, coalesce(max(CASE WHEN starts THEN i END) OVER (PARTITION BY r ORDER BY i) >= i - 34, false) AS gone FROM each LEFT JOIN starts USING (r, i)),
+ kept AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM flagged GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

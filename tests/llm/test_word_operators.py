@@ -108,13 +108,58 @@ def test_signature_tree_loses_no_pair():
             s.remove(x)
             s.add(r.getrandbits(64))
         sets.append(np.array(sorted(s), dtype=np.uint64))
-    sets.sort(key=len)
-    bits = np.stack([np.frombuffer(jaccard_join.bitmap(s), "<u8") for s in sets])
-    tree = jaccard_join.SignatureTree(bits, np.array([len(s) for s in sets]), np.arange(len(sets)), 85)
-    found = {(min(i, j), max(i, j)) for a, b in tree.pairs() for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    bits = np.stack([jaccard_join.bitmap_words(jaccard_join.bitmap(s)) for s in sets])
+    n, own = np.array([len(s) for s in sets]), np.arange(len(sets))
+    tree = jaccard_join.SignatureTree(bits, n, own)
+    a, b = jaccard_join.dual_traversal(tree, tree, 85)
+    found = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    left, right = (jaccard_join.SignatureTree(bits[h], n[h], own[h]) for h in (slice(0, 50), slice(50, None)))
+    a, b = jaccard_join.dual_traversal(left, right, 85)
+    across = {(i, j + 50) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - c)}
     assert links <= found
+    assert {(i, j) for i, j in links if i < 50 <= j} <= across
     assert links
+    one = jaccard_join.SignatureTree(bits, n, np.zeros(len(sets), dtype=np.int64))
+    assert len(jaccard_join.dual_traversal(one, one, 85)[0]) == 0
+
+
+def test_a_shingle_of_all_documents_is_cut_into_units(spark, monkeypatch):
+    """One passage in every document, relatives above and below the threshold, groups far beyond a block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    r = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for i in range(150):
+        tail = " ".join(f"t{i % 30}x{j}" for j in range(r.choice([4, 8, 12]))) if r.random() < 0.7 else " ".join(f"u{i}x{j}" for j in range(r.randrange(30)))
+        rows.append((i, f"{passage} {tail}"))
+    want = components(rows, 4, 85)
+    got = jaccard_join.near_duplicates(frame(spark, rows), shingle=4, threshold=85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+    assert 1 < len({c for _, c in want.values()}) < 150
+
+
+def test_an_id_with_several_texts(spark):
+    """It has the links of all its texts."""
+    r = random.Random(4)
+    a, b, c = (" ".join(f"{x}{r.randrange(50)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (2, a + " tail"), (7, b + " tail"), (9, c), (1, None), (3, b)]
+    got = {(x.doc_id, x.component_id) for x in jaccard_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(5, 2), (2, 2), (7, 2), (3, 2), (9, 9), (1, 1)}
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep_one, jaccard_join.keep_one_of_each])
+def test_one_row_of_each_stays(spark, keep):
+    """Null ids, rows that repeat, two texts under one id, column names of the operators' own."""
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, text), (1, "other words are these here"), (None, text), (None, "alone w x y z"), (None, "alone w x y z"), (2, None), (3, "k l m n o p q"), (4, "k l m n o p q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS _row", "8 AS row", "9 AS _stay", "'z' AS recipe", "text AS best")
+    kept = keep(df)
+    assert kept.columns == df.columns
+    assert kept.dtypes == df.dtypes
+    best = 4 if keep is exact_dedup.keep_one else 3
+    assert sorted(map(str, ((x.doc_id, x.text, x._row, x.row, x.best) for x in kept.collect()))) == sorted(map(str, ((d, t, 7, 8, t) for d, t in [(1, text), (1, rows[2][1]), (None, rows[4][1]), (2, None), (best, rows[7][1])])))
+    assert keep(df.limit(0)).collect() == []
 
 
 def test_components_of_a_chain(spark):
