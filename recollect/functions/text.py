@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,53 @@ def words(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(WORD), F.lit(0))
 
 
+def _plain_letters() -> dict[str, str]:
+    """Letters with marks (up to U+2FFF) and the letter that canonical decomposition leaves of each."""
+    found = {}
+    for c in map(chr, range(0x80, 0x3000)):
+        rest = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(rest) == 1 and rest != c and unicodedata.category(c)[0] == "L":
+            found[c] = rest
+    return found
+
+
+_PLAIN = _plain_letters()
+
+
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the first plane with a compatible form: of one character, and longer forms of letters."""
+    one, more = {}, {}
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xE000, 0x10000)]):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and len(form) == 1:
+            one[c] = form
+        elif form != c and unicodedata.category(c)[0] == "L" and form.isascii():
+            more[c] = form
+    return one, more
+
+
+_ONE, _MORE = _compatible()
+
+
+def compatible(text: Column) -> Column:
+    """Text with compatible characters (full width, ligatures, ..) in their plain form; longer forms only for letters."""
+    out = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    rare = out
+    for c, form in _MORE.items():
+        rare = F.replace(rare, F.lit(c), F.lit(form))
+    return F.when(out.rlike(f"[{''.join(_MORE)}]"), rare).otherwise(out)
+
+
+def without_marks(text: Column) -> Column:
+    """Text without diacritics: letters lose their marks, and marks of their own go."""
+    return F.regexp_replace(F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{M}+", "")
+
+
+def index_words(text: Column) -> Column:
+    """Words as full-text search compares them: lower case, without diacritics."""
+    return words(without_marks(F.lower(text)), lower=False)
+
+
 def stem(token: Column) -> Column:
     """Light stemming of a lower-case token: -ies, -ing, -ed, -es, -s, the first that fits."""
     n = F.length(token)
@@ -54,9 +103,9 @@ def terms(text: Column) -> Column:
     return without_words(F.transform(words(text), stem), STOP_WORDS)
 
 
-def search_tokens(text: Column, most: int = MAX_SEARCH_TOKENS) -> Column:
-    """The first distinct words of a query that full-text search uses."""
-    return F.slice(F.array_distinct(without_words(words(text), SEARCH_STOP_WORDS)), 1, most)
+def search_tokens(text: Column, most: int = MAX_SEARCH_TOKENS, *, marks: bool = True) -> Column:
+    """The first distinct words of a query that full-text search uses; without ``marks`` as the index has them."""
+    return F.slice(F.array_distinct(without_words(words(text) if marks else index_words(text), SEARCH_STOP_WORDS)), 1, most)
 
 
 def letters_only(token: Column) -> Column:

@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions.text import words
+from recollect.functions.text import compatible, without_marks, words
 
 FOREVER = 9223372036854775807
 MOST_CANDIDATES, MOST_FACTS, MOST_FRAMES = 24, 64, 32
-# Letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def alias_key(alias: Column) -> Column:
-    """Comparable form of an alias: case and marks folded, trimmed, white space collapsed."""
-    return F.translate(F.lower(F.trim(F.regexp_replace(alias, r"\s+", " "))), MARKED, FOLDED)
+    """Comparable form of an alias: compatible forms made one, case and marks folded, trimmed, white space collapsed."""
+    return F.trim(F.regexp_replace(without_marks(F.lower(compatible(alias))), r"\s+", " "))
 
 
 def holds(start: Column, end: Column, at: Column | int) -> Column:

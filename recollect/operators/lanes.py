@@ -5,6 +5,7 @@ Lanes return ``query_id, frame_id, score, rank``; rank is the 1-based position,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions.text import words
+from recollect.functions.text import index_words, without_marks, words
+from recollect.session import spread, staged
+from recollect.sources.index import TextIndex
 
 # Parameters of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_RESULTS = 10_000
 #: Distinct query terms up to this number are broadcast to filter postings; beyond it Spark chooses the join.
 BROADCAST_TERMS = 200_000
+#: Frames beyond which terms of most frames are looked up for candidates only; before it that costs more than it saves.
+PRUNE_FRAMES = 1_000_000
 #: Vectors of one block of queries that a task holds.
 QUERY_BLOCK = 4_096
 
@@ -34,33 +39,89 @@ def top(df: DataFrame, k: int, *keys: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------- text
+#: Term of the one row that each frame has besides its postings; words are never empty.
+EVERY = ""
+
+
 def postings(frames: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """term, frame_id, tf, length of frames (frame_id, content); with ``only`` (term), just those terms."""
-    tokens = frames.filter(F.col("content").isNotNull()).select("frame_id", words(F.col("content")).alias("tokens"))
-    each = tokens.select("frame_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    """term, frame_id, tf, length of frames (frame_id, content); with ``only`` (term), just those terms.
+
+    Each frame has one row more, of the term ``EVERY``, so that their number and mean length need no second pass.
+    """
+    tokens = spread(frames.filter(F.col("content").isNotNull()).select("frame_id", "content")).select("frame_id", index_words(F.col("content")).alias("tokens"))
+    each = tokens.select("frame_id", F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(EVERY)))).alias("term"))
     if only is not None:
+        wanted = only.select("term").unionByName(only.sparkSession.range(1).select(F.lit(EVERY).alias("term")))
         small = only.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        each = each.join(F.broadcast(only) if small else only, "term", "left_semi")
+        each = each.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     return each.groupBy("term", "frame_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(frames: DataFrame, queries: DataFrame, k: int, *, need_all: bool = False) -> DataFrame:
-    """BM25 of queries (query_id, terms); ``need_all`` is AND, else any term counts.
+def bm25(frames: DataFrame | TextIndex, queries: DataFrame, k: int, *, need_all: bool = False) -> DataFrame:
+    """BM25 of queries (query_id, terms) over frames or their index; ``need_all`` is AND, else any term counts.
 
     Statistics cover every frame that is in the index, live or not.
     """
+    want = "all" if need_all else "any"
+    return matches(frames, queries, k, (want,))[want]
+
+
+def matches(frames: DataFrame | TextIndex, queries: DataFrame, k: int, want: tuple[str, ...] = ("any", "all")) -> dict[str, DataFrame]:
+    """Results of ``any`` term and of ``all`` terms, from one pass over the texts (or over an index, without them).
+
+    Terms that most frames have score almost nothing.  Among more than ``PRUNE_FRAMES`` frames they are looked up
+    only for those that may come to be among the first k, and for queries whose other terms find fewer than k.
+    """
+    k = clamped(k)
     asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    found = postings(frames, asked.select("term").distinct())
-    stats = frames.filter(F.col("content").isNotNull()).agg(F.count(F.lit(1)).alias("frames"), F.avg(F.size(words(F.col("content")))).alias("mean"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("frames") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.col("mean")))
-    scored = asked.join(found, "term").join(df, "term").join(F.broadcast(stats)).withColumn("gain", gain)
-    out = scored.groupBy("query_id", "frame_id").agg(F.sum("gain").alias("raw"), F.count(F.lit(1)).alias("hits"), F.first("n_terms").alias("n_terms"))
-    if need_all:
-        out = out.filter("hits = n_terms")
-    out = out.select("query_id", "frame_id", F.round("raw", 6).alias("score"))
-    return top(out, clamped(k), F.desc("score"), F.asc("frame_id"))
+    distinct = asked.select("term").distinct()
+    found = staged(frames.postings(distinct) if isinstance(frames, TextIndex) else postings(frames, distinct))
+    sizes = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean"))
+    own = F.col("term") == EVERY
+    stats = sizes.agg(F.max(F.when(own, F.col("df"))).alias("frames"), F.max(F.when(own, F.col("mean"))).alias("mean"), F.max(F.when(~own, F.col("df"))).alias("largest")).first()
+    n, mean, largest = stats.frames or 0, stats.mean or 1.0, stats.largest or 0
+    df = sizes.filter(~own).select("term", "df")
+    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    known = asked.join(df, "term").withColumn("idf", idf)
+    least = max(math.log((n - largest + 0.5) / (largest + 0.5)), LEAST_IDF)
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.lit(float(mean))))
+
+    def summed(terms: DataFrame) -> DataFrame:
+        scored = terms.join(found, "term").select("query_id", "frame_id", "n_terms", gain.alias("gain"))
+        return scored.groupBy("query_id", "frame_id").agg(F.sum("gain").alias("raw"), F.count(F.lit(1)).alias("hits"), F.first("n_terms").alias("n_terms"))
+
+    def first(scored: DataFrame) -> DataFrame:
+        return top(scored.select("query_id", "frame_id", F.round("raw", 6).alias("score")), k, F.desc("score"), F.asc("frame_id"))
+
+    if least > LEAST_IDF or n <= PRUNE_FRAMES:
+        scored = summed(known)
+        scored = staged(scored) if len(want) > 1 else scored
+        return {"any": first(scored), "all": first(scored.filter("hits = n_terms"))}
+    known = staged(known)
+    rare, common = known.filter(F.col("idf") > LEAST_IDF), known.filter(F.col("idf") <= LEAST_IDF)
+    part = staged(summed(rare))
+    # What the common terms of a query can add at most, and a rounding step.
+    slack = F.col("n_terms") * (LEAST_IDF * (K1 + 1)) + 2e-6
+    last = top(part, k, F.desc("raw")).groupBy("query_id").agg(F.min("raw").alias("last"), F.count(F.lit(1)).alias("n"))
+    full = last.filter(F.col("n") >= k).select("query_id", "last")
+    near = part.join(full, "query_id").filter(F.col("raw") >= F.col("last") - slack).drop("last")
+    extra = near.select("query_id", "frame_id").join(common.select("query_id", "term", "idf"), "query_id").join(found, ["term", "frame_id"]).select("query_id", "frame_id", gain.alias("gain")).groupBy("query_id", "frame_id").agg(F.sum("gain").alias("more"), F.count(F.lit(1)).alias("more_hits"))
+    narrow = near.join(extra, ["query_id", "frame_id"], "left").select("query_id", "frame_id", (F.col("raw") + F.coalesce("more", F.lit(0.0))).alias("raw"))
+    wide = summed(known.join(full, "query_id", "left_anti")).select("query_id", "frame_id", "raw")
+
+    # All terms: frames that have all the rare ones, then those of them that have the common ones too.
+    n_rare = rare.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rare"))
+    whole = part.join(n_rare, "query_id").filter(F.col("hits") == F.col("n_rare"))
+    more = whole.filter(F.col("hits") < F.col("n_terms")).select("query_id", "frame_id").join(common.select("query_id", "term", "idf"), "query_id").join(found, ["term", "frame_id"]).select("query_id", "frame_id", gain.alias("gain")).groupBy("query_id", "frame_id").agg(F.sum("gain").alias("more"), F.count(F.lit(1)).alias("more_hits"))
+    both = whole.join(more, ["query_id", "frame_id"], "left").filter(F.col("hits") + F.coalesce("more_hits", F.lit(0)) == F.col("n_terms")).select("query_id", "frame_id", (F.col("raw") + F.coalesce("more", F.lit(0.0))).alias("raw"))
+    only_common = summed(known.join(n_rare, "query_id", "left_anti")).filter("hits = n_terms").select("query_id", "frame_id", "raw")
+    return {"any": first(narrow.unionByName(wide)), "all": first(both.unionByName(only_common))}
+
+
+def text_lane(frames: DataFrame | TextIndex, queries: DataFrame, k: int) -> DataFrame:
+    """What full-text search gives: frames with all terms first, then frames with any."""
+    found = matches(frames, queries, k)
+    return with_fallback(found["all"], found["any"], k)
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
@@ -73,15 +134,18 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
 def phrase_hits(frames: DataFrame, phrases: DataFrame) -> DataFrame:
     """query_id, frame_id of frames that hold a phrase (query_id, phrase: its words joined by spaces) as adjacent words.
 
-    Frames are first narrowed by the phrase's first and last word; only then is the text compared.
+    Frames are first narrowed, by number alone, to those with the phrase's rarest word; only theirs texts are compared.
     """
-    asked = phrases.select("query_id", "phrase", F.split("phrase", " ").alias("parts"))
-    ends = asked.select("query_id", "phrase", F.element_at("parts", 1).alias("term"), F.element_at("parts", -1).alias("last"))
-    held = frames.select("frame_id", words(F.col("content")).alias("tokens"))
-    each = held.select("frame_id", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    hit = each.join(ends, "term").filter(F.array_contains("tokens", F.col("last")))
-    near = hit.filter(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    return near.select("query_id", "frame_id").distinct()
+    asked = phrases.filter(F.col("phrase") != "").select("query_id", "phrase", F.array_distinct(F.split(without_marks(F.col("phrase")), " ")).alias("terms"))
+    each = asked.select("query_id", F.explode("terms").alias("term"))
+    found = staged(postings(frames, each.select("term").distinct()).filter(F.col("term") != EVERY).select("term", "frame_id"))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = each.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("at")).select("query_id", "at.term")
+    near = rarest.join(found, "term").select("query_id", "frame_id").join(asked.select("query_id", "phrase"), "query_id")
+    texts = frames.select("frame_id", "content")
+    held = texts.join(near, "frame_id").withColumn("line", F.array_join(words(F.col("content")), " "))
+    inside = F.concat(F.lit(" "), F.col("line"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    return held.filter(inside).select("query_id", "frame_id").distinct()
 
 
 def snippets(texts: Column, terms: Column, width: int = 10) -> Column:
@@ -105,55 +169,85 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine
     """Exact nearest vectors (frame_id, embedding) of a batch of queries (query_id, embedding).
 
     Scores: cosine similarity, the inner product, or the negative squared distance; other than finite is 0.
-    Queries are taken in blocks of ``QUERY_BLOCK``; a task multiplies a block of rows with all of a block's
-    queries and passes on at most k rows for each query, before anything is shuffled.
+    Vectors of another length than a query's aren't its candidates.  Up to ``QUERY_BLOCK`` queries are sent to
+    every task, which multiplies a block of rows with them and passes on at most k rows for each, before
+    anything is shuffled.  More queries are dealt into blocks, each of which meets every share of the vectors
+    in a task of its own.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     k = clamped(k)
-    lists = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).toLocalIterator()
-    parts, ids, rows = [], [], []
-
-    def block() -> DataFrame:
-        return _knn_block(vectors, np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64), k, metric)
-
-    for r in lists:
-        ids.append(r.query_id)
-        rows.append(r.v)
-        if len(ids) == QUERY_BLOCK:
-            parts.append(block())
-            ids, rows = [], []
-    if ids or not parts:
-        parts.append(block())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, k, F.desc("score"), F.asc("frame_id"))
-
-
-def _knn_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_, q_ = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids_):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            s = q_ @ x.T
-            if metric == "cosine":
-                length = np.sqrt((q_ * q_).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
-                s = np.divide(s, length, out=np.zeros_like(s), where=length > 0)
-            elif metric == "l2":
-                s = -((q_ * q_).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None])
-            s = np.round(np.where(np.isfinite(s), s, 0.0), 6) + 0.0
-            frame = batch.column(0).to_numpy()
-            for i, one in enumerate(s):
-                best = np.lexsort((frame, -one))[:k] if len(one) <= 4 * k else _best(one, frame, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids_[i])), pa.array(frame[best]), pa.array(one[best])], names=["query_id", "frame_id", "score"])
-
-    plain = vectors.filter(F.col("embedding").isNotNull()).select(F.col("frame_id").cast("long"), "embedding")
-    return plain.mapInArrow(run, "query_id long, frame_id long, score double")
+    plain = vectors.filter(F.col("embedding").isNotNull()).select(F.col("frame_id").cast("long").alias("frame_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    asked = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    n = asked.count()
+    out = "query_id long, frame_id long, score double"
+    if n <= QUERY_BLOCK:
+        shared = vectors.sparkSession.sparkContext.broadcast(_by_length(asked.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROW_BLOCK):
+                    yield from _nearest(shared.value, _by_length(pa.Table.from_batches([batch.slice(at, ROW_BLOCK)])), k, metric)
+
+        found = plain.mapInArrow(run, out)
+    else:
+        shares = max(1, plain.rdd.getNumPartitions())
+        blocks = -(-n // QUERY_BLOCK)
+
+        def every(count: int):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+        left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("share", every(shares))
+        right = plain.withColumn("share", F.pmod(F.xxhash64("frame_id"), F.lit(shares))).withColumn("block", every(blocks))
+
+        def meet(q: pa.Table, x: pa.Table) -> pa.Table:
+            asked_, parts = _by_length(q.select(["query_id", "embedding"])), []
+            for at in range(0, x.num_rows, ROW_BLOCK):
+                parts += _nearest(asked_, _by_length(x.select(["frame_id", "embedding"]).slice(at, ROW_BLOCK)), k, metric)
+            return pa.Table.from_batches(parts, schema=_HITS)
+
+        found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(meet, out)
+    return top(found, k, F.desc("score"), F.asc("frame_id"))
+
+
+#: Rows that meet the queries at once.
+ROW_BLOCK = 4_096
+_HITS = pa.schema([("query_id", pa.int64()), ("frame_id", pa.int64()), ("score", pa.float64())])
+
+
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the rows (id, vector) of each length; vectors with a null component are left out."""
+    ids, lists = rows.column(0).to_numpy(), rows.column(1).combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int64)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == n)
+        part = lists if len(own) == len(lists) else lists.take(pa.array(own))
+        if n and not part.flatten().null_count:
+            out[n] = (ids[own], part.flatten().to_numpy(zero_copy_only=False).reshape(len(own), n))
+        elif n:
+            good = np.array([None not in v for v in part.to_pylist()])
+            out[n] = (ids[own][good], np.array([v for v in part.to_pylist() if None not in v], dtype=np.float64).reshape(-1, n))
+    return out
+
+
+def _nearest(queries: dict, rows: dict, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """The k best of a block of rows for each query, in one batch for each length."""
+    for n in queries.keys() & rows.keys():
+        (ids, q), (frame, x) = queries[n], rows[n]
+        s = q @ x.T
+        if metric == "cosine":
+            length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
+            s = np.divide(s, length, out=np.zeros_like(s), where=length > 0)
+        elif metric == "l2":
+            s = -((q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None])
+        s = np.round(np.where(np.isfinite(s), s, 0.0), 6) + 0.0
+        best = [np.lexsort((frame, -one))[:k] if len(one) <= 4 * k else _best(one, frame, k) for one in s]
+        who = np.repeat(np.arange(len(ids)), [len(b) for b in best])
+        at = np.concatenate(best) if best else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(frame[at]), pa.array(s[who, at])], schema=_HITS)
 
 
 def _best(score: np.ndarray, frame: np.ndarray, k: int) -> np.ndarray:

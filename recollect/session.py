@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Tables up to this size may lie in one piece, and are dealt out over all cores before costly steps.
+SPREAD_BYTES = 64 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -26,6 +29,40 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores if it is so small that it may be a single piece of a file.
+
+    A larger table is left as it is: its files have pieces enough, and its rows would be moved for nothing.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
+def staging_dir(spark: SparkSession) -> str:
+    """A folder of this application in the shared one that ``spark.checkpoint.dir`` names; a temporary one only where unset, on a single machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="recollect-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several parts of a plan read is computed once, and survives lost executors."""
+    path = f"{staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table that :func:`staged` left for this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("recollect")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.fusion import live
+from recollect.session import staged
 
 
 class StoreError(ValueError):
@@ -80,11 +81,11 @@ def surrogates(frames: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, base: int, *order: str) -> DataFrame:
     """Dense frame ids from ``base`` on, in the given order.
 
-    A range sort gives each partition a run of the order; only the partitions' sizes go to the driver, so
-    no single task sees all rows.
+    A range sort gives each partition a run of the order, which is written before it is counted, so that both
+    passes see the same runs; only the partitions' sizes go to the driver, and no single task sees all rows.
     """
     spark = rows.sparkSession
-    run = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    run = staged(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = sorted((r["_part"], r["count"]) for r in run.groupBy("_part").count().collect())
     starts, at = [], base
     for part, n in sizes:
