@@ -38,7 +38,7 @@ def fuse(lanes: dict[str, DataFrame], weights: DataFrame, *, k: int = RRF_K) ->
     parts = []
     for name, lane in lanes.items():
         weighted = lane.join(weights.select("query_id", F.col(name).alias("weight")), "query_id").filter("weight > 0")
-        parts.append(weighted.select("query_id", "frame_id", "rank", F.lit(name).alias("source"), (F.col("weight") / (F.lit(max(0, k)) + F.col("rank"))).alias("part")))
+        parts.append(weighted.select("query_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("rank").cast("int").alias("rank"), F.lit(name).alias("source"), (F.col("weight") / (F.lit(max(0, k)) + F.col("rank"))).alias("part")))
     each = parts[0]
     for p in parts[1:]:
         each = each.unionByName(p)
@@ -83,6 +83,22 @@ def metadata_matches(entries: dict[str, str] | None = None, tags: list[tuple[str
     return out
 
 
+def frame_filter(*, min_score: float | None = None, after: int | None = None, before: int | None = None, only: list[int] | None = None, include_deleted: bool = False, include_superseded: bool = False, include_surrogates: bool = False, metadata: dict[str, str] | None = None, tags: list[tuple[str, str]] | None = None, labels: list[str] | None = None) -> Column:
+    """What a result must pass: score, time, allowed ids, not deleted, not superseded, no surrogate, metadata."""
+    out = in_range(F.col("ts_ms"), after, before)
+    if min_score is not None:
+        out = out & (F.col("score") >= min_score)
+    if only is not None:
+        out = out & F.col("frame_id").isin(only)
+    if not include_deleted:
+        out = out & (F.col("status") == "active")
+    if not include_superseded:
+        out = out & F.col("superseded_by").isNull()
+    if not include_surrogates:
+        out = out & (F.coalesce(F.col("kind"), F.lit("")) != "surrogate")
+    return out & metadata_matches(metadata, tags, labels)
+
+
 def after_ranking(ranked: DataFrame, frames: DataFrame, keep: Column, k: int) -> DataFrame:
     """The first k results that pass, out of candidates that were ranked and cut before: fewer than k may be left.
 

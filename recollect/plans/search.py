@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions.text import query_type, search_tokens
 from recollect.operators import fusion, lanes
 from recollect.operators.context import assemble
+from recollect.session import staged
 
 MODES = ("text", "vector", "hybrid")
 
@@ -27,6 +28,8 @@ class SearchRequest:
     keep: Column | None = None
     rerank: bool = True
     extra_lanes: dict[str, DataFrame] = field(default_factory=dict)
+    #: Newest frames for questions that nothing survives for, in :func:`unified`.
+    fallback: int = 0
 
 
 def search(frames: DataFrame, vectors: DataFrame | None, questions: DataFrame, request: SearchRequest | None = None) -> DataFrame:
@@ -46,7 +49,7 @@ def search(frames: DataFrame, vectors: DataFrame | None, questions: DataFrame, r
     most = fusion.candidate_limit(max(r.top_k, 1))
     found: dict[str, DataFrame] = dict(r.extra_lanes)
     if r.mode != "vector":
-        found["text"] = lanes.bm25(frames, asked.select("query_id", search_tokens(F.col("query")).alias("terms")), most)
+        found["text"] = lanes.bm25(frames, _terms(asked), most)
     if r.mode != "text" and vectors is not None and "embedding" in questions.columns:
         found["vector"] = lanes.knn(vectors, asked.filter("embedding IS NOT NULL").select("query_id", "embedding"), most, metric=r.metric)
     kind = query_type(F.col("query"))
@@ -67,10 +70,71 @@ def search(frames: DataFrame, vectors: DataFrame | None, questions: DataFrame, r
     return cut.select("query_id", "query", "frame_id", "position", "score", "best_rank", "sources", "contributions", "preview")
 
 
+def _terms(asked: DataFrame) -> DataFrame:
+    return asked.select("query_id", search_tokens(F.col("query"), marks=False).alias("terms"))
+
+
+def unified(frames: DataFrame, vectors: DataFrame | None, questions: DataFrame, request: SearchRequest | None = None, *, index: lanes.TextIndex | None = None, structured: DataFrame | None = None) -> DataFrame:
+    """query_id, frame_id, position, score, sources: search composed of all its lanes.
+
+    ``frames`` has frame_id, content, ts_ms, status, superseded_by, kind and metadata; an ``index`` of their texts
+    spares reading them; ``structured`` (query_id, frame_id, rank) is the lane of facts.
+
+    * Text: frames with all terms first, then with any.
+    * One lane alone (text or vector mode) keeps its own order and scores, but for questions with structured hits.
+    * The timeline is a lane of hybrid mode, for questions of a time: the newest live frames that are no surrogates.
+    * In hybrid mode a question without a vector simply has no vector lane; vector mode needs them.
+    * What is left after the filters (by default: live frames that are no surrogates) is cut to ``top_k``; a question
+      with nothing left gets the ``fallback`` newest frames.
+    """
+    r = request or SearchRequest()
+    if r.mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    by_vector = vectors is not None and "embedding" in questions.columns
+    if r.mode == "vector" and not by_vector:
+        raise ValueError("vector mode needs embeddings")
+    asked = questions if r.mode == "vector" else questions.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    if r.top_k <= 0:
+        asked = asked.limit(0)
+    most = fusion.candidate_limit(max(r.top_k, 1))
+    kind = query_type(F.col("query"))
+    found: dict[str, DataFrame] = dict(r.extra_lanes)
+    if r.mode != "vector":
+        found["text"] = lanes.text_lane(frames if index is None else index, _terms(asked), most)
+    if r.mode != "text" and by_vector:
+        found["vector"] = lanes.knn(vectors, asked.filter("embedding IS NOT NULL").select("query_id", "embedding"), most, metric=r.metric)
+    keep = (fusion.frame_filter() if r.keep is None else r.keep) & (F.lit(True) if r.min_score is None else F.col("score") >= r.min_score)
+    newest = frames.filter(fusion.frame_filter()).orderBy(F.desc("ts_ms"), "frame_id").limit(max(most, r.fallback)).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("ts_ms"), "frame_id"))).select("frame_id", "rank")  # a bounded list
+    if r.mode == "hybrid":
+        found["timeline"] = asked.filter(kind == "temporal").select("query_id").join(F.broadcast(newest))
+    if structured is not None:
+        found["structured"] = structured
+    share = {"text": 1.0, "vector": 0.0}.get(r.mode, r.alpha)
+    weights = asked.select("query_id", *[fusion.lane_weight(kind, i, share).alias(n) for i, n in enumerate(("text", "vector", "timeline"))], F.lit(0.5).alias("structured"))
+    several = asked.select("query_id") if r.mode == "hybrid" else structured.select("query_id").distinct() if structured is not None else None
+    columns = ["query_id", "frame_id", "score", "place", "sources"]
+    parts = []
+    if several is not None:
+        mine = {n: lane.join(several, "query_id", "left_semi") for n, lane in found.items()} if r.mode != "hybrid" else found
+        fused = fusion.fuse(mine, weights, k=r.rrf_k).filter(F.col("position") <= most)
+        parts.append(fused.withColumnRenamed("position", "place").select(*columns))
+    if r.mode != "hybrid":
+        alone = found[r.mode] if several is None else found[r.mode].join(several, "query_id", "left_anti")
+        parts.append(alone.select("query_id", F.col("frame_id").cast("long").alias("frame_id"), "score", F.col("rank").cast("int").alias("place"), F.array(F.lit(r.mode)).alias("sources")))
+    ranked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    held = ranked.join(frames.drop("score", "place", "content"), "frame_id").filter(keep)
+    cut = held.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).filter(F.col("position") <= r.top_k).select("query_id", "frame_id", "position", "score", "sources")
+    if r.fallback <= 0:
+        return cut
+    cut = staged(cut)
+    late = fusion.timeline_fallback(cut, asked, newest.withColumnRenamed("rank", "place"), k=r.rrf_k, limit=r.fallback)
+    return cut.unionByName(late.select("query_id", "frame_id", F.col("place").cast("int").alias("position"), F.col("score").cast("double").alias("score"), F.array(F.lit("timeline")).alias("sources")))
+
+
 def recall(frames: DataFrame, vectors: DataFrame | None, questions: DataFrame, request: SearchRequest | None = None, **budget) -> DataFrame:
     """Context items for questions: search, rerank for answers, assemble within the token budget."""
     found = search(frames, vectors, questions, request)
     score = fusion.answer_score(F.col("score"), by_vector=vectors is not None)
     ready = fusion.reranked(fusion.with_features(found), score, 12).withColumn("position", F.col("new_position")).drop("new_position")
-    ready = fusion.without_features(ready).persist()  # top_k rows for each question, read by each part of the assembly
+    ready = staged(fusion.without_features(ready))  # top_k rows for each question, read by each part of the assembly
     return assemble(ready, frames.select("frame_id", "content"), **budget)

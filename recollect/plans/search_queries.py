@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text, vectors as vec
 from recollect.operators import fusion, lanes, maintenance
-from recollect.plans.search import SearchRequest, recall, search
-from recollect.plans.tables import EVENT_FRAMES, event_frames, frames, questions, table, vectors
+from recollect.plans.search import SearchRequest, recall, search, unified
+from recollect.plans.tables import EVENT_FRAMES, MEMORY_FRAMES, event_frames, frames, memory_frames, questions, table, vectors
 from recollect.plans.text_queries import ORACLES as _TEXT
 from recollect.plans.text_queries import sql_words
 
 K = 10
 
-_TOKENS = f"tokens AS (SELECT query_id, string_split(tokens, ' ') AS terms FROM ({_TEXT['text_search_tokens']}))"
-_POSTINGS = f"""w AS (SELECT doc_id, {sql_words('text')} AS w FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+_TOKENS = f"tokens AS (SELECT query_id, string_split(tokens, ' ') AS terms FROM ({_TEXT['text_search_tokens'].replace('lower(text)', 'strip_accents(lower(text))')}))"
+_POSTINGS = f"""w AS (SELECT doc_id, {sql_words('strip_accents(lower(text))')} AS w FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
  p AS (SELECT doc_id, term, count(*) AS tf, any_value(len(w)) AS dl FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY 1, 2),
  df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT query_id, unnest(list_distinct(terms)) AS term, len(list_distinct(terms)) AS nt FROM tokens)"""
 _GAIN = "greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))"
@@ -33,7 +33,7 @@ def sql_knn(name: str, k: int, score: str, queries: str) -> str:
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return questions(spark, sf).select("query_id", text.search_tokens(F.col("query")).alias("terms"))
+    return questions(spark, sf).select("query_id", text.search_tokens(F.col("query"), marks=False).alias("terms"))
 
 
 def text_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,25 +41,18 @@ def text_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_bm25_and(spark: SparkSession, sf: str) -> DataFrame:
-    few = _terms(spark, sf).withColumn("terms", F.slice("terms", 1, 2))
-    return lanes.bm25(frames(spark, sf), few, K, need_all=True)
+    return lanes.bm25(frames(spark, sf), _terms(spark, sf), K, need_all=True)
 
 
 def text_or_fallback_merge(spark: SparkSession, sf: str) -> DataFrame:
-    few = _terms(spark, sf).withColumn("terms", F.slice("terms", 1, 3))
-    f = frames(spark, sf)
-    return lanes.with_fallback(lanes.bm25(f, few, K, need_all=True), lanes.bm25(f, few, K), K)
+    return lanes.text_lane(frames(spark, sf), _terms(spark, sf), K)
 
 
 def text_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    asked = questions(spark, sf).select("query_id", F.array_join(F.slice(text.words(F.col("query")), 1, 2), " ").alias("phrase"))
+    asked = questions(spark, sf).select("query_id", F.array_join(text.words(F.col("query")), " ").alias("phrase"))
     return lanes.phrase_hits(frames(spark, sf), asked)
 
 
-_TOKENS2 = _TOKENS.replace("string_split(tokens, ' ') AS terms", "string_split(tokens, ' ')[1:2] AS terms")
-_TOKENS3 = _TOKENS.replace("string_split(tokens, ' ') AS terms", "string_split(tokens, ' ')[1:3] AS terms")
-
-
 def _every(spark: SparkSession, sf: str, step: int = 25) -> DataFrame:
     v = vectors(spark, sf)
     return v.filter(F.col("frame_id") % step == 0).select(F.col("frame_id").alias("query_id"), "embedding")
@@ -173,7 +166,7 @@ def _sweep() -> str:
 def hybrid_rrf_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     """Lane contributions and why each result stands below the one before."""
     asked = _asked(spark, sf)
-    found = {"text": lanes.bm25(frames(spark, sf), asked.select("query_id", text.search_tokens(F.col("query")).alias("terms")), _MOST), "vector": lanes.knn(vectors(spark, sf), asked.filter("embedding IS NOT NULL").select("query_id", "embedding"), _MOST)}
+    found = {"text": lanes.bm25(frames(spark, sf), asked.select("query_id", text.search_tokens(F.col("query"), marks=False).alias("terms")), _MOST), "vector": lanes.knn(vectors(spark, sf), asked.filter("embedding IS NOT NULL").select("query_id", "embedding"), _MOST)}
     weights = asked.select("query_id", *[fusion.lane_weight(text.query_type(F.col("query")), i, 0.5).alias(n) for i, n in enumerate(("text", "vector"))])
     ranked = fusion.tie_reasons(fusion.fuse(found, weights)).filter(F.col("position") <= K)
     return ranked.select("query_id", "frame_id", F.col("position").cast("long").alias("position"), F.array_join(F.transform("contributions", lambda c: F.concat_ws(":", c["source"], c["rank"].cast("string"))), "+").alias("contributions"), "tie_reason")
@@ -223,15 +216,79 @@ def recall_context(spark: SparkSession, sf: str) -> DataFrame:
     return recall(frames(spark, sf), vectors(spark, sf), _asked(spark, sf), SearchRequest(top_k=24)).select("query_id", "item", "kind", "frame_id", "score", F.md5("text").alias("text_md5"), "tokens")
 
 
-QUERIES = {f.__name__: f for f in (text_bm25_topk, text_bm25_and, text_or_fallback_merge, text_phrase, vector_knn_cosine, vector_knn_dot, vector_knn_l2, vector_math, vector_label_recall_at_k, hybrid_rrf, hybrid_post_filter, hybrid_alpha_sweep, hybrid_rrf_diagnostics, timeline_range, timeline_fallback, snippet_highlights, rerank_head, recall_context)}
+def _found(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "frame_id", F.col("position").cast("long").alias("position"), F.round("score", 6).alias("score"), F.array_join("sources", "+").alias("sources"))
+
+
+def unified_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text alone: frames with all terms, then with any, in the lane's own order and with its scores; live ones only."""
+    return _found(unified(memory_frames(spark, sf), None, questions(spark, sf), SearchRequest(mode="text", top_k=K)))
+
+
+def unified_vector(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(unified(memory_frames(spark, sf), vectors(spark, sf), _asked(spark, sf), SearchRequest(mode="vector", top_k=K)))
+
+
+def unified_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """All lanes, the timeline for questions of a time."""
+    return _found(unified(memory_frames(spark, sf), vectors(spark, sf), _asked(spark, sf), SearchRequest(top_k=K)))
+
+
+def unified_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that nothing survives for get the newest frames instead."""
+    return _found(unified(memory_frames(spark, sf), None, questions(spark, sf), SearchRequest(mode="text", top_k=3, min_score=12.0, fallback=3)))
+
+
+def session_scoped_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of one session's frames only, cut after ranking."""
+    keep = fusion.frame_filter(metadata={"session_id": "2"}, after=100_000, before=900_000_000)
+    return _found(unified(memory_frames(spark, sf), vectors(spark, sf), _asked(spark, sf), SearchRequest(top_k=K, keep=keep)))
+
+
+_LIVE = "m.status = 'active' AND m.superseded_by IS NULL AND m.kind <> 'surrogate'"
+
+
+def sql_lane(name: str, k: int) -> str:
+    """Frames with all terms, then with any: ``name`` (query_id, frame_id, score, rank)."""
+    return f"""{sql_bm25(name + 'a', k, 'HAVING count(*) = any_value(nt)')}, {sql_bm25(name + 'b', k)},
+ {name}u AS (SELECT query_id, frame_id, score, 0 AS src, rank AS r FROM {name}a UNION ALL SELECT query_id, frame_id, score, 1, rank FROM {name}b b WHERE NOT EXISTS (FROM {name}a a WHERE a.query_id = b.query_id AND a.frame_id = b.frame_id)),
+ {name} AS (SELECT * FROM (SELECT query_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY src, r) AS rank FROM {name}u) WHERE rank <= {k})"""
+
+
+def sql_cut(lane: str, source: str, k: int, keep: str = "true") -> str:
+    return f"""SELECT query_id, l.frame_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, score, '{source}' AS sources FROM {lane} l JOIN memory_frames m ON m.frame_id = l.frame_id WHERE {_LIVE} AND {keep} QUALIFY position <= {k}"""
+
+
+def sql_unified(keep: str = "true") -> str:
+    return f"""WITH {MEMORY_FRAMES}, {_TOKENS}, {_POSTINGS}, {sql_lane('tl', _MOST)}, {sql_knn('kn', _MOST, _METRIC['cosine'], _ASKED)}, {_KIND},
+ newest AS (SELECT frame_id, row_number() OVER (ORDER BY ts_ms DESC, frame_id) AS rank FROM memory_frames m WHERE {_LIVE} QUALIFY rank <= {_MOST}),
+ parts AS (SELECT query_id, frame_id, rank, 'text' AS source, 0.5 * wt / (60 + rank) AS part FROM tl JOIN weights USING (query_id)
+  UNION ALL SELECT query_id, frame_id, rank, 'vector', 0.5 * wv / (60 + rank) FROM kn JOIN weights USING (query_id)
+  UNION ALL SELECT query_id, frame_id, rank, 'timeline', 0.5 / (60 + rank) FROM newest CROSS JOIN kinds WHERE kind = 'temporal'),
+ fused AS (SELECT query_id, frame_id, round(sum(part), 9) AS score, min(rank) AS best_rank, string_agg(source, '+' ORDER BY source) AS sources FROM parts GROUP BY 1, 2),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, frame_id) AS place FROM fused QUALIFY place <= {_MOST})
+ SELECT query_id, r.frame_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS position, round(score, 6) AS score, sources FROM ranked r JOIN memory_frames m ON m.frame_id = r.frame_id WHERE {_LIVE} AND {keep} QUALIFY position <= {K}"""
+
+
+_UNIFIED_FALLBACK = f"""WITH {MEMORY_FRAMES}, {_TOKENS}, {_POSTINGS}, {sql_lane('tl', fusion.candidate_limit(3))},
+ hits AS ({sql_cut('tl', 'text', 3, 'score >= 12.0')}), newest AS (SELECT frame_id, row_number() OVER (ORDER BY ts_ms DESC, frame_id) AS position FROM memory_frames m WHERE {_LIVE} QUALIFY position <= 3)
+ SELECT query_id, frame_id, position, score, sources FROM hits UNION ALL SELECT item_id, frame_id, position, round(1.0 / (60 + position), 6), 'timeline' FROM benchmark CROSS JOIN newest WHERE item_id NOT IN (SELECT query_id FROM hits) AND trim(coalesce(text, '')) <> ''"""
+
+
+QUERIES = {f.__name__: f for f in (unified_text, unified_vector, unified_hybrid, unified_fallback, session_scoped_search, text_bm25_topk, text_bm25_and, text_or_fallback_merge, text_phrase, vector_knn_cosine, vector_knn_dot, vector_knn_l2, vector_math, vector_label_recall_at_k, hybrid_rrf, hybrid_post_filter, hybrid_alpha_sweep, hybrid_rrf_diagnostics, timeline_range, timeline_fallback, snippet_highlights, rerank_head, recall_context)}
 ORACLES = {
     "text_bm25_topk": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K)} SELECT query_id, frame_id, score, rank FROM r",
-    "text_bm25_and": f"WITH {_TOKENS2}, {_POSTINGS}, {sql_bm25('r', K, 'HAVING count(*) = any_value(nt)')} SELECT query_id, frame_id, score, rank FROM r",
-    "text_or_fallback_merge": f"""WITH {_TOKENS3}, {_POSTINGS}, {sql_bm25('a', K, 'HAVING count(*) = any_value(nt)')}, {sql_bm25('b', K)},
+    "text_bm25_and": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K, 'HAVING count(*) = any_value(nt)')} SELECT query_id, frame_id, score, rank FROM r",
+    "text_or_fallback_merge": f"""WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('a', K, 'HAVING count(*) = any_value(nt)')}, {sql_bm25('b', K)},
  u AS (SELECT query_id, frame_id, score, 0 AS src, rank AS r FROM a UNION ALL SELECT query_id, frame_id, score, 1, rank FROM b WHERE NOT EXISTS (FROM a WHERE a.query_id = b.query_id AND a.frame_id = b.frame_id))
  SELECT query_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY src, r) AS rank FROM u QUALIFY rank <= {K}""",
-    "text_phrase": f"SELECT item_id AS query_id, doc_id AS frame_id FROM benchmark b JOIN documents d ON contains(' ' || array_to_string({sql_words('d.text')}, ' ') || ' ', ' ' || array_to_string({sql_words('b.text')}[1:2], ' ') || ' ')",
+    "text_phrase": f"SELECT item_id AS query_id, doc_id AS frame_id FROM benchmark b JOIN documents d ON contains(' ' || array_to_string({sql_words('d.text')}, ' ') || ' ', ' ' || array_to_string({sql_words('b.text')}, ' ') || ' ')",
     **{f"vector_knn_{m}": f"WITH {sql_knn('r', K, s, _EVERY)} SELECT query_id, frame_id, score, rank FROM r" for m, s in _METRIC.items()},
+    "unified_text": f"WITH {MEMORY_FRAMES}, {_TOKENS}, {_POSTINGS}, {sql_lane('tl', _MOST)} {sql_cut('tl', 'text', K)}",
+    "unified_vector": f"WITH {MEMORY_FRAMES}, {sql_knn('kn', _MOST, _METRIC['cosine'], _ASKED)} {sql_cut('kn', 'vector', K)}",
+    "unified_hybrid": sql_unified(),
+    "unified_fallback": _UNIFIED_FALLBACK,
+    "session_scoped_search": sql_unified("m.session = 2 AND m.ts_ms >= 100000 AND m.ts_ms < 900000000"),
     "vector_math": _MATH,
     "vector_label_recall_at_k": _RECALL,
     "hybrid_rrf": _HYBRID,
