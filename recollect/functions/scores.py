@@ -52,9 +52,9 @@ def long_words(text: Column) -> Column:
     return F.filter(words(text), lambda t: F.length(t) > 2)
 
 
-def salience(sentence: Column) -> Column:
-    """How much a sentence says: length, digits, colons, bullets, code, variety."""
-    tokens = long_words(sentence)
+def salience(sentence: Column, tokens: Column | None = None) -> Column:
+    """How much a sentence says: length, digits, colons, bullets, code, variety; ``tokens`` are its long words, if they are at hand."""
+    tokens = long_words(sentence) if tokens is None else tokens
     n = F.size(tokens)
     base = F.least(n, F.lit(40)) * F.when(n < 4, 0.25).when(n > 80, 0.7).otherwise(1.0)
     extra = F.when(sentence.rlike(r"\p{Nd}"), 6.0).otherwise(0.0) + F.when(sentence.contains(":"), 4.0).otherwise(0.0)

@@ -10,7 +10,8 @@ from recollect.functions.dates import MONTHS, date_keys, date_literals
 from recollect.functions.text import collapsed, contains_any, entity_terms, intents, terms, year_terms
 from recollect.operators.context import lexical_sentence
 
-_NAME = r"[A-Z][A-Za-z'’\-]*"
+# Fixed value: one name of a person.
+_NAME = r"(?:[A-Z][A-Za-z]*(?:['’\-][A-Z][A-Za-z]*)?)"
 _PERSON = rf"({_NAME}(?:\s+{_NAME}){{0,3}})"
 _MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
 # What an answer looks like (pattern, group, bonus), by kind.

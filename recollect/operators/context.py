@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import scores
+from recollect.functions.tokens import BytePairs
 from recollect.functions.text import segments, terms
+from recollect.session import spread
 
 TARGET_TOKENS, OVERLAP_TOKENS = 400, 40
 # Budgets of a context.
@@ -25,14 +27,18 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def token_count(text: Column) -> Column:
-    return F.size(pieces(text))
+def token_count(text: Column, vocabulary: BytePairs | None = None) -> Column:
+    return F.size(pieces(text)) if vocabulary is None else vocabulary.count(text)
 
 
-def truncated(text: Column, most: int | Column) -> Column:
+def truncated(text: Column, most: int | Column, vocabulary: BytePairs | None = None) -> Column:
     """The first tokens of a text."""
-    p = pieces(text)
-    return F.when(F.size(p) <= most, text).otherwise(F.array_join(F.slice(p, F.lit(1), F.lit(most) if isinstance(most, int) else most), ""))
+    if vocabulary is not None:
+        return vocabulary.truncated(text, most)
+    limit = F.lit(most) if isinstance(most, int) else most
+    # A token has one character at least, so a short text needs no count; in the lambda the pieces are found once.
+    cut = F.get(F.transform(F.array(pieces(text)), lambda p: F.when(F.size(p) <= limit, text).otherwise(F.array_join(F.slice(p, F.lit(1), limit), ""))), F.lit(0))
+    return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
 def window_starts(n: Column, target: int, overlap: int) -> Column:
@@ -42,12 +48,17 @@ def window_starts(n: Column, target: int, overlap: int) -> Column:
     return F.sequence(F.lit(0), last, F.lit(step))
 
 
-def chunks(texts: DataFrame, *, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """doc_id, chunk, chunks, content: a text that fits is one chunk; blank chunks are left out."""
-    cut = texts.filter(F.col("content").isNotNull()).select("doc_id", "content", pieces(F.col("content")).alias("p"))
-    each = cut.select("doc_id", "content", "p", F.posexplode(window_starts(F.size("p"), target, overlap)).alias("chunk", "start"))
-    body = F.when(F.size("p") <= target, F.col("content")).otherwise(F.array_join(F.slice("p", F.col("start") + 1, target), ""))
-    out = each.select("doc_id", "chunk", body.alias("content"), F.size(F.slice("p", F.col("start") + 1, target)).alias("tokens"))
+def chunks(texts: DataFrame, *, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS, vocabulary: BytePairs | None = None) -> DataFrame:
+    """doc_id, chunk, content, tokens: a text that fits is one chunk; blank chunks are left out.
+
+    Windows are over the tokens of a vocabulary, or else over the pieces that a byte-pair tokenizer starts from.
+    """
+    tokens = pieces(F.col("content")) if vocabulary is None else vocabulary.ids(F.col("content"))
+    cut = texts.filter(F.col("content").isNotNull()).select("doc_id", "content", tokens.alias("p"))
+    each = cut.select("doc_id", "content", F.size("p").alias("n"), "p", F.posexplode(window_starts(F.size("p"), target, overlap)).alias("chunk", "start"))
+    each = each.select("doc_id", "chunk", "content", "n", F.slice("p", F.col("start") + 1, target).alias("own"))
+    body = F.array_join("own", "") if vocabulary is None else vocabulary.text(F.col("own"))
+    out = each.select("doc_id", "chunk", F.when(F.col("n") <= target, F.col("content")).otherwise(body).alias("content"), F.size("own").alias("tokens"))
     return out.filter(F.regexp_replace("content", r"\s+", "") != "")
 
 
@@ -87,7 +98,8 @@ def greedy_budget(items: DataFrame, budget: int, most: int, *, by: str = "query_
 # -------------------------------------------------------------- surrogates
 def micro_surrogate(texts: DataFrame) -> DataFrame:
     """doc_id, micro: the sentence that says most, cut to the micro tier's tokens; the first of equals."""
-    ranked = F.transform(segments(F.col("content")), lambda s, i: F.struct(F.round(scores.salience(s), 9).alias("score"), (-i).alias("back"), s.alias("text")))
+    seen = F.transform(segments(F.col("content")), lambda s: F.struct(s.alias("text"), scores.long_words(s).alias("words")))
+    ranked = F.transform(seen, lambda s, i: F.struct(F.round(scores.salience(s["text"], s["words"]), 9).alias("score"), (-i).alias("back"), s["text"].alias("text")))
     best = F.array_max(ranked)
     return texts.filter(F.col("content").isNotNull()).select("doc_id", best["text"].alias("text"), best["score"].alias("score")).select("doc_id", truncated(F.col("text"), TIERS["micro"][1]).alias("micro"), "score")
 
@@ -98,7 +110,9 @@ def surrogate_tiers(texts: DataFrame) -> DataFrame:
     Sentences and scores come from column expressions; the greedy choice runs in Arrow batches, one document
     at a time.  Equal sentences count once, at their first place.
     """
-    ready = texts.select("doc_id", F.transform(F.array_distinct(segments(F.coalesce("content", F.lit("")))), lambda s: F.struct(s.alias("text"), F.array_distinct(scores.long_words(s)).alias("tokens"), scores.salience(s).alias("score"))).alias("sentences"))
+    cut = F.transform(F.array_distinct(segments(F.coalesce("content", F.lit("")))), lambda s: F.struct(s.alias("text"), scores.long_words(s).alias("words")))
+    ready = spread(texts.select("doc_id", "content")).select("doc_id", cut.alias("seen"))
+    ready = ready.select("doc_id", F.transform("seen", lambda s: F.struct(s["text"].alias("text"), F.array_distinct(s["words"]).alias("tokens"), scores.salience(s["text"], s["words"]).alias("score"))).alias("sentences"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,35 +162,40 @@ def outdated(frames: DataFrame, made: DataFrame, *, algorithm: str = "extractive
 
 
 # ----------------------------------------------------------------- context
-def expansion(ranked: DataFrame, contents: DataFrame) -> DataFrame:
+def expansion(ranked: DataFrame, contents: DataFrame, vocabulary: BytePairs | None = None) -> DataFrame:
     """query_id, frame_id, text, tokens: of each query the first result with text that isn't too large, cut to its tokens."""
     held = ranked.join(contents, "frame_id").filter((F.coalesce("content", F.lit("")) != "") & (F.octet_length("content") <= EXPANSION_BYTES))
     first = held.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).filter("n = 1")
-    return first.select("query_id", "frame_id", "score", truncated(F.col("content"), EXPANSION_TOKENS).alias("text")).withColumn("tokens", token_count(F.col("text")).cast("long"))
+    return first.select("query_id", "frame_id", "score", truncated(F.col("content"), EXPANSION_TOKENS, vocabulary).alias("text")).withColumn("tokens", token_count(F.col("text"), vocabulary).cast("long"))
 
 
-def assemble(ranked: DataFrame, contents: DataFrame, *, surrogates: DataFrame | None = None, budget: int = CONTEXT_TOKENS) -> DataFrame:
+def assemble(ranked: DataFrame, contents: DataFrame, *, surrogates: DataFrame | None = None, budget: int = CONTEXT_TOKENS, vocabulary: BytePairs | None = None) -> DataFrame:
     """query_id, item, kind, frame_id, score, text, tokens: expansion, then surrogates (frame_id, text), then snippets.
 
-    ``ranked`` has query_id, frame_id, position, score and preview.  Surrogates are only used if given (dense
-    mode); a frame appears once.
+    ``ranked`` has query_id, frame_id, position, score and preview, and may have query.  Surrogates are only used if
+    given (dense mode); a frame appears once.  A question for a date, place or owner gets whole texts in place of
+    snippets, within their tokens.
     """
-    first = expansion(ranked, contents)
+    first = expansion(ranked, contents, vocabulary)
     rest = ranked.join(first.select("query_id", "frame_id"), ["query_id", "frame_id"], "left_anti")
     options = []
     if surrogates is not None:
-        dense = rest.join(surrogates, "frame_id").withColumn("text", truncated(F.col("text"), SURROGATE_TOKENS))
+        dense = rest.join(surrogates, "frame_id").withColumn("text", truncated(F.col("text"), SURROGATE_TOKENS, vocabulary))
         few = Window.partitionBy("query_id").orderBy("position")
         dense = dense.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= MOST_SURROGATES).drop("n")
         options.append(dense.select("query_id", "frame_id", "score", "text", F.col("position").cast("long"), F.lit(1).alias("lane")))
         rest = rest.join(dense.select("query_id", "frame_id"), ["query_id", "frame_id"], "left_anti")
-    plain = rest.filter(F.coalesce("preview", F.lit("")) != "").withColumn("text", truncated(F.col("preview"), SNIPPET_TOKENS))
+    shown = F.col("preview")
+    if "query" in rest.columns:
+        rest = rest.join(contents.select("frame_id", F.col("content").alias("whole")), "frame_id", "left")
+        shown = F.when(wants_full_text(F.col("query")) & (F.coalesce("whole", F.lit("")) != ""), F.col("whole")).otherwise(F.col("preview"))
+    plain = rest.filter(F.coalesce("preview", F.lit("")) != "").withColumn("text", truncated(shown, SNIPPET_TOKENS, vocabulary))
     options.append(plain.select("query_id", "frame_id", "score", "text", F.col("position").cast("long"), F.lit(2).alias("lane")))
     more = options[0]
     for o in options[1:]:
         more = more.unionByName(o)
     head = first.select("query_id", "frame_id", "score", "text", F.lit(0).cast("long").alias("position"), F.lit(0).alias("lane"))
-    every = head.unionByName(more).withColumn("tokens", token_count(F.col("text")).cast("long"))
+    every = head.unionByName(more).withColumn("tokens", token_count(F.col("text"), vocabulary).cast("long"))
     every = every.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("lane", "position", "frame_id")).cast("long"))
     taken = greedy_budget(every, budget, 1 + MOST_SURROGATES + MOST_SNIPPETS)
     out = taken.select("query_id", "frame_id", "position").join(every, ["query_id", "frame_id", "position"])

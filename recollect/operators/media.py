@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The least overlap of a transcript piece with a segment, cells a degree, metres a degree.
 LEAST_OVERLAP_MS = 250
+# Fixed value: scores that differ by no more are a tie.
+TIE = 1e-3
 CELLS_PER_DEGREE, METRES_PER_DEGREE, MOST_CELLS = 100, 111_000.0, 100_000
 
 
@@ -52,9 +54,19 @@ def root_rollup(hits: DataFrame, frames: DataFrame, root_kind: str) -> DataFrame
 
 
 def best_segments(hits: DataFrame, most: int = 3) -> DataFrame:
-    """The best hit of each (query_id, root_id, index), scores compared to three decimals, and the first ``most`` of a root."""
-    one = Window.partitionBy("query_id", "root_id", "index").orderBy(F.desc(F.round("score", 3)), "frame_id")
-    best = hits.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n")
+    """The best hit of each (query_id, root_id, index), and the first ``most`` of a root.
+
+    Hits are taken from the highest score on; one takes the place of the best so far if its score is higher by more
+    than ``TIE``, or within that and its frame is older.  A query's hits are at most what search returns for it.
+    """
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("back"), "frame_id")))
+
+    def better(acc: Column, x: Column) -> Column:
+        gain = acc["back"] - x["back"]
+        return F.when((gain > TIE) | ((F.abs(gain) <= TIE) & (x["frame_id"] < acc["frame_id"])), x).otherwise(acc)
+
+    best = hits.groupBy("query_id", "root_id", "index").agg(listed.alias("hits")).select("query_id", "root_id", "index", F.aggregate("hits", F.get("hits", F.lit(0)), better).alias("best"))
+    best = best.select("query_id", "root_id", "index", "best.frame_id", (-F.col("best.back")).alias("score"))
     few = Window.partitionBy("query_id", "root_id").orderBy(F.desc(F.round("score", 3)), "index")
     return best.withColumn("place", F.row_number().over(few)).filter(F.col("place") <= most)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions import dates
 from recollect.functions.embed import embed
-from recollect.operators import answers, context, maintenance, media
+from recollect.functions.tokens import BytePairs
+from recollect.operators import answers, context, library, maintenance, media
 from recollect.plans.tables import EVENT_FRAMES, event_frames, frames, table
 from recollect.plans.text_queries import sql_terms
 from recollect.sources import files
@@ -21,6 +22,22 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     return context.chunks(_texts(spark, sf)).select("doc_id", "chunk", "tokens", F.md5("content").alias("digest"))
 
 
+def _vocabulary() -> BytePairs:
+    import public_tokenizers
+
+    return BytePairs.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document in a byte-pair vocabulary (rows only: SQL has none; tested against its library)."""
+    return _texts(spark, sf).select("doc_id", _vocabulary().count(F.col("content")).alias("tokens"))
+
+
+def chunk_windows_of_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of 400 tokens of the vocabulary that share 40 (rows only)."""
+    return context.chunks(_texts(spark, sf), vocabulary=_vocabulary()).select("doc_id", "chunk", "tokens", F.md5("content").alias("digest"))
+
+
 def window_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Starts of windows over every order's price as a number of tokens, with and without overlap."""
     n = F.col("o_totalprice").cast("int") % 5000
@@ -39,8 +56,7 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.col("o_custkey").alias("query_id"), F.row_number().over(order).cast("long").alias("position"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"), F.col("l_quantity").cast("long").alias("tokens"))
 
 
-#: Holds the first 50 lines of a customer only, unlike :func:`_items`: greedy budgets of longer lists can differ from it.
-_ITEMS = """items AS (SELECT * FROM (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS position, l_orderkey * 10 + l_linenumber AS frame_id, l_quantity::bigint AS tokens FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE position <= 50)"""
+_ITEMS = """items AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS position, l_orderkey * 10 + l_linenumber AS frame_id, l_quantity::bigint AS tokens FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
 
 def token_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,11 +248,64 @@ def remembered_frames(spark: SparkSession, sf: str) -> DataFrame:
     return context.remembered(frames(spark, sf).select(F.col("frame_id").alias("doc_id"), "content"), 10_000).select("frame_id", "doc_id", "chunk", "role")
 
 
+def _photos(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    blocks = F.array(F.struct((F.col("p_size") / 50.0).alias("confidence"), F.col("p_type").alias("text")), F.struct(F.lit(0.4).alias("confidence"), F.col("p_brand").alias("text")))
+    return p.select(F.col("p_partkey").alias("asset_id"), (F.col("p_partkey") * 1000).alias("captured_ms"), (F.col("p_partkey") % 5 != 0).alias("is_local"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("caption"), F.lower("p_brand").alias("tags"), blocks.alias("blocks"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("is_local"), F.lit("asked")).alias("metadata"))
+
+
+def photo_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as photos: root, caption, tags, summary of their text, blocks."""
+    made = library.photo_frames(_photos(spark, sf), 100)
+    return made.select("frame_id", "asset_id", "kind", "parent_id", "content", "search_text", "ts_ms", F.col("metadata")["is_local"].alias("is_local"), F.col("metadata")["confidence"].cast("double").alias("confidence"), library.searchable_photo(F.col("kind")).alias("searchable"))
+
+
+_PHOTOS = """WITH p AS (SELECT *, p_size / 50.0 AS c FROM part),
+ parts AS (SELECT p_partkey AS a, 0 AS o, 'photo.root' AS kind, NULL AS content, NULL AS search_text, NULL::double AS confidence FROM p
+  UNION ALL SELECT p_partkey, 1, 'photo.caption.short', p_name, p_name, NULL FROM p WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AND p_name <> ''
+  UNION ALL SELECT p_partkey, 2, 'photo.tags', lower(p_brand), lower(p_brand), NULL FROM p WHERE p_partkey % 5 <> 0
+  UNION ALL SELECT p_partkey, 3, 'photo.ocr.summary', t, t, NULL FROM (SELECT p_partkey, CASE WHEN c > 0.4 OR (c = 0.4 AND (length(p_type) > length(p_brand) OR (length(p_type) = length(p_brand) AND p_type <= p_brand))) THEN p_type || chr(10) || p_brand ELSE p_brand || chr(10) || p_type END AS t FROM p) WHERE p_partkey % 5 <> 0
+  UNION ALL SELECT p_partkey, 4, 'photo.ocr.block', p_type, NULL, c FROM p WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 5, 'photo.ocr.block', p_brand, NULL, 0.4 FROM p WHERE p_partkey % 5 <> 0),
+ n AS (SELECT *, 99 + row_number() OVER (ORDER BY a, o) AS frame_id FROM parts)
+ SELECT frame_id, a AS asset_id, kind, CASE WHEN o > 0 THEN first_value(frame_id) OVER (PARTITION BY a ORDER BY o) END AS parent_id, content, search_text, a * 1000 AS ts_ms, 'asked' AS is_local, confidence, kind <> 'photo.ocr.block' AS searchable FROM n"""
+
+
+def video_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as videos, their lines as pieces of a transcript."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("asset_id"), dates.millis(F.col("o_orderdate")).alias("captured_ms"), (F.col("o_totalprice").cast("long") % 60_000).alias("duration_ms"), (F.col("o_orderstatus") != "P").alias("is_local"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    start = F.col("l_linenumber") * 7_000 - 7_000
+    pieces = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("asset_id"), start.cast("long").alias("from_ms"), (start + 2_000 + F.col("l_quantity").cast("long") * 100).cast("long").alias("to_ms"), F.concat_ws("-", "l_returnflag", F.col("l_partkey").cast("string")).alias("text"))
+    made = library.video_frames(o, pieces, 10, length_ms=10_000, overlap_ms=2_000, most=12)
+    return made.select("frame_id", "asset_id", "kind", "parent_id", F.md5(F.coalesce("search_text", F.lit("-"))).alias("digest"), "ts_ms", F.col("metadata")["segment_index"].cast("long").alias("segment"), F.col("metadata")["segment_count"].cast("long").alias("segments"), F.col("metadata")["mid_ms"].cast("long").alias("mid_ms"))
+
+
+_VIDEOS = """WITH o AS (SELECT o_orderkey AS a, epoch_us(o_orderdate) // 1000 AS ts, trunc(o_totalprice)::bigint % 60000 AS d, o_orderstatus <> 'P' AS is_local FROM orders),
+ i AS (SELECT a, d, unnest(range(0, least(ceil(d / 8000.0)::bigint, 12))) AS i FROM o WHERE is_local AND d > 0), s AS (SELECT a, i, i * 8000 AS x, least(i * 8000 + 10000, d) AS y FROM i),
+ p AS (SELECT l_orderkey AS a, l_linenumber * 7000 - 7000 AS u, l_linenumber * 7000 - 5000 + trunc(l_quantity)::bigint * 100 AS v, concat_ws('-', l_returnflag, l_partkey) AS t FROM lineitem),
+ j AS (SELECT a, i, string_agg(t, chr(10) ORDER BY u, v, t) AS t FROM s JOIN p USING (a) WHERE least(y, v) - greatest(x, u) >= 250 GROUP BY 1, 2),
+ parts AS (SELECT a, -1 AS i, 'video.root' AS kind, NULL AS t, NULL::bigint AS mid FROM o UNION ALL SELECT s.a, s.i, 'video.segment', j.t, (x + y) // 2 FROM s LEFT JOIN j ON j.a = s.a AND j.i = s.i),
+ n AS (SELECT *, 9 + row_number() OVER (ORDER BY a, i) AS frame_id, count(*) OVER (PARTITION BY a) - 1 AS k FROM parts)
+ SELECT frame_id, a AS asset_id, kind, CASE WHEN i >= 0 THEN frame_id - i - 1 END AS parent_id, md5(coalesce(t, '-')) AS digest, ts AS ts_ms, CASE WHEN i >= 0 THEN i END AS segment, CASE WHEN i >= 0 THEN k END AS segments, mid AS mid_ms FROM n JOIN o USING (a)"""
+
+
+def library_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of urgent ones' customers as items that a sync takes, and which previous root each new one replaces."""
+    o = table(spark, sf, "orders")
+    items = o.select(F.col("o_orderkey").alias("asset_id"), dates.millis(F.col("o_orderdate")).alias("created_ms"))
+    taken = library.sync_scope(items, o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("asset_id")))
+    kept = o.filter("o_orderkey % 2 = 0").select((F.col("o_orderkey") * 10).alias("frame_id"), F.lit("photo.root").alias("kind"), F.lit("active").alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.lit(0).cast("long").alias("ts_ms"), F.create_map(F.lit("asset_id"), F.col("o_orderkey").cast("string")).alias("metadata"))
+    new = taken.select("asset_id", F.lit("photo.root").alias("kind"), (F.col("asset_id") * 10 + 1).alias("frame_id"))
+    return library.superseding(new, kept, "photo.root")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (chunk_windows, window_plan, token_budget_prefix, budget_greedy, surrogate_tiers, tier_payloads, budget_clamp, lexical_sentence, answer_extract, segment_windows, interval_overlap_join, root_rollup, best_segment, geo_bin_filter, recognized_lines, current_roots, cascade_delete, photo_fields, degraded_roots, described_images, kept_rewrites, deterministic_embedding, remembered_frames)
+    for f in (token_counts, chunk_windows_of_tokens, photo_ingest, video_ingest, library_sync, chunk_windows, window_plan, token_budget_prefix, budget_greedy, surrogate_tiers, tier_payloads, budget_clamp, lexical_sentence, answer_extract, segment_windows, interval_overlap_join, root_rollup, best_segment, geo_bin_filter, recognized_lines, current_roots, cascade_delete, photo_fields, degraded_roots, described_images, kept_rewrites, deterministic_embedding, remembered_frames)
 }
 ORACLES = {
+    "photo_ingest": _PHOTOS,
+    "video_ingest": _VIDEOS,
+    "library_sync": "SELECT o_orderkey * 10 AS frame_id, o_orderkey * 10 + 1 AS other_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0",
     "window_plan": _WINDOWS,
     "token_budget_prefix": f"WITH {_ITEMS} SELECT query_id, position, frame_id, sum(tokens) OVER (PARTITION BY query_id ORDER BY position)::bigint AS used FROM items QUALIFY used <= 200",
     "budget_greedy": _GREEDY,
