@@ -1,6 +1,6 @@
 """Shared pieces of the training-data operators.
 
-* :func:`staging_dir` / :func:`staged`: cut lineage by writing a compressed Parquet table in
+* :func:`staged`: cut lineage by writing a compressed Parquet table in
   the folder that the session names in ``spark.checkpoint.dir`` (all executors see it).
 * word hashing over whole Arrow buffers with NumPy: a word is a maximal run of bytes outside
   ``{0x20, 0x09-0x0D}``; no per-word Python object is made.
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import ctypes
 import struct
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,35 +21,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.session import staging_dir
+
 U64 = np.uint64
 WORD_SPACE = np.zeros(256, dtype=bool)
 WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 # ----------------------------------------------------------------- staging
-def staging_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset, on a single machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="recollect-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/staged-{spark.sparkContext.applicationId}"
-
-
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back (explicit schema: no listing job)."""
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of staged tables, in order.
+_MADE: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for :func:`forget`."""
+    return len(_MADE)
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Remove the tables staged since a mark, but the newest: nothing may read them any more."""
+    for path in _MADE[since:-1]:
+        remove(spark, path)
+    del _MADE[since:-1]
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table that :func:`staged` left for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, staging_dir(spark))
+    _MADE.clear()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Row numbers up to this count (8 bytes each) are broadcast to drop rows; beyond it both sides are shuffled.

@@ -1,7 +1,7 @@
 """The pipeline's stages against plainer versions of their decisions."""
 
 import corpus_pipeline
-from recollect.llm import language_id
+from recollect.llm import common, language_id
 
 from .test_models import LANGUAGES
 from .test_word_operators import components
@@ -38,6 +38,28 @@ def test_pipeline(spark, tmp_path):
     want = {d for d, (_, c) in components(list(kept[1].items()), 5, 80).items() if c == d}
     assert set(kept[2]) == want
     assert kept[3][104] == "the with thing and that mail <EMAIL> now"
+    before = common.mark()
     packed = corpus_pipeline.run(spark, folder).collect()
+    assert common.mark() - before <= 4  # what earlier stages staged is gone
     assert {p.doc_id for p in packed} == set(kept[3])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "pii", "packing"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, rows that repeat, two texts under one id, an empty table."""
+    german = " ".join(LANGUAGES["de"] * 8)
+    other = " ".join(reversed(LANGUAGES["de"] * 9)) + " auf dem Tisch"
+    rows = [(None, german, "de", "s"), (None, german, "de", "s"), (7, other, "de", "s"), (7, other, "de", "s"), (7, german + " und mehr mit der", "de", "s"), (8, None, "de", "s"), (9, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) AS bigint) AS n_chars", "1 AS _row", "2 AS row")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+        docs = common.staged(docs)
+    texts = [x.text for x in docs.collect() if x.text]
+    assert len(texts) == len(set(texts))
+    assert other in texts
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
