@@ -1,7 +1,12 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage works on what the one before it kept, and is written as Parquet and read again before the
-next one.  All but the last return the columns of ``documents``.
+next one; what a stage staged for itself is removed then.  All but the last return the columns of ``documents``.
+
+Defined cases: a null text is empty (its language isn't told, so it goes in the first stage); rows with a null
+id are documents like others; of rows with equal texts one stays, so rows that repeat do too; two texts under one
+id are judged apart; an empty table gives no sequences; further columns are kept until the last stage, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import exact_dedup, jaccard_join, language_id, packing, pii
-from recollect.llm.common import staged
+from recollect.llm.common import forget, mark, staged
 from recollect.session import ship
 
 
@@ -26,7 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at five words and a similarity of 0.8, the smallest id stays."""
+    """Of documents linked at five words and a similarity of 0.8, that with the smallest id stays."""
     ship(spark)
     return jaccard_join.keep_one_of_each(docs)
 
@@ -52,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = mark()
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        forget(spark, start)
     return STAGES[-1][1](spark, docs, sf_dir)
