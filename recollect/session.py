@@ -29,14 +29,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
     """``df``, dealt out over all cores if it is so small that it may be a single piece of a file.
 
     A larger table is left as it is: its files have pieces enough, and its rows would be moved for nothing.
     """
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
 
 
 def staging_dir(spark: SparkSession) -> str:
