@@ -181,17 +181,14 @@ class Encoder:
                     heappush(heap, s << shift | k)
         return [i for i in ids if i >= 0]
 
-    def split(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece."""
-        return (self.pattern if piece.isascii() or not _NEWER.search(piece) else self.older).findall(piece)
-
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Put pieces into the memo: one batched hash lookup for all their pre-tokens, the heap for what misses.
 
         What is too long for the memo is returned.
         """
         known, long, once = self.known, {}, {}
-        split = [self.split(p) for p in pieces]
+        find, newer, older = self.pattern.findall, _NEWER.search, self.older.findall
+        split = [find(p) if p.isascii() or not newer(p) else older(p) for p in pieces]
         new = [t for t in {t for s in split for t in s} if t not in known]
         if new:
             raw = [t.encode() for t in new]
@@ -202,8 +199,9 @@ class Encoder:
                 else:
                     known[t] = ids
                     self.held += ENTRY_BYTES + len(t) + len(ids)
+        get = (lambda t: long[t] if t in long else known[t]) if long else known.__getitem__
         for p, s in zip(pieces, split, strict=True):
-            ids = b"".join([known[t] if t in known else long[t] for t in s])
+            ids = b"".join(map(get, s)) if len(s) > 1 else get(s[0])
             if len(p) > MEMO_LENGTH:
                 once[p] = ids
             else:

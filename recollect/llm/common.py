@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.session import staging_dir
+from recollect.session import spread, staging_dir
 
+#: Documents up to this size are dealt out anew.
+SPREAD_BYTES = 16 << 20
 U64 = np.uint64
 WORD_SPACE = np.zeros(256, dtype=bool)
 WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -108,8 +110,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_of(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the two columns that an operator needs, under fixed names; null text becomes empty."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """Only the two columns that an operator needs, under fixed names; null text becomes empty.
+
+    A table of a few megabytes may be one piece of a file, and is dealt out over all cores.
+    """
+    return spread(df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), SPREAD_BYTES)
 
 
 # ----------------------------------------------------------------- hashing
