@@ -14,7 +14,8 @@ hash of the id; its size is fixed (2 MB), so that it may be broadcast.  Scoring
 
 Defined cases: null and empty texts have no word features and get a score from their shape; labels
 without a document, null labels and null ids are left out of the sample; with fewer than two grades in
-the sample every document gets the one grade; repeated rows are scored again; further columns are ignored.
+the sample every document gets the one grade; of several texts of a labelled id one is fitted on, so that an
+id of many rows fills no sample; repeated rows are scored again; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,7 +144,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, grades: DataFrame, *, train_docs: int = TRAIN_DOCS) -> CumulativeLink:
     """Fit on a sample of labelled documents; ``docs`` has doc_id and text, ``grades`` doc_id and grade."""
-    chosen = grades.orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(train_docs)
+    drawn = F.xxhash64("doc_id", F.lit(41))
+    share = 2 * train_docs / max(1, grades.count())
+    few = grades if share >= 1 else grades.filter(drawn < F.lit(int(share * 2**64) - 2**63))  # about twice the sample, so that no task orders all labels
+    chosen = few.orderBy(drawn, "doc_id").limit(train_docs)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +155,10 @@ def train(docs: DataFrame, grades: DataFrame, *, train_docs: int = TRAIN_DOCS) -
             rows = features(batch.column(1)) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())], names=["doc_id", "grade", "at", "value"])
 
-    seen = sorted({(r.doc_id, bytes(r["at"])): r for r in sample.mapInArrow(run, "doc_id long, grade int, at binary, value binary").collect()}.items(), key=lambda x: x[0])
-    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for _, r in seen]
-    target = np.array([r["grade"] for _, r in seen], dtype=np.int64)
+    listed = sample.mapInArrow(run, "doc_id long, grade int, at binary, value binary")
+    seen = sorted(listed.groupBy("doc_id", "grade").agg(F.min(F.struct("at", "value")).alias("x")).select("doc_id", "grade", "x.*").collect(), key=lambda r: r.doc_id)
+    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in seen]
+    target = np.array([r["grade"] for r in seen], dtype=np.int64)
     top = int(target.max()) if len(target) else 0
     if len(set(target.tolist())) < 2:
         model = CumulativeLink(max(1, top))

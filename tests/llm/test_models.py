@@ -130,6 +130,19 @@ def test_ordinal_model_orders_grades_on_held_out_rows():
     assert (tails[:, 0] >= tails[:, 1]).all()
 
 
+def test_quality_sample_is_bounded(spark):
+    """Drawn by a share of the labels, and one row of an id with many: the model is that of the sample alone."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word ', if(id % 2 = 0, 'good', 'junk'), ' x', id % 7) AS text")
+    grades = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS grade")
+    first = grades.orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(40)
+    plain = quality.train(docs.join(first.select("doc_id"), "doc_id"), first, train_docs=40)
+    hot = docs.unionByName(docs.filter("doc_id < 200").crossJoin(spark.range(20)).select("doc_id", "text"))
+    for rows in (docs, hot):
+        got = quality.train(rows, grades, train_docs=40)
+        assert np.allclose(got.w, plain.w)
+        assert np.allclose(got.cuts, plain.cuts)
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (3, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 AS kept")
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (3, 0, 1), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
