@@ -71,8 +71,9 @@ def compatible(text: Column) -> Column:
 
 
 def without_marks(text: Column) -> Column:
-    """Text without diacritics: letters lose their marks, and marks of their own go."""
-    return F.regexp_replace(F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{M}+", "")
+    """Text without diacritics: letters lose their marks, and marks of their own go.  ASCII (a byte for each character) has none."""
+    plain = F.regexp_replace(F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{M}+", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(plain)
 
 
 def index_words(text: Column) -> Column:

@@ -76,13 +76,13 @@ def matches(frames: DataFrame | TextIndex, queries: DataFrame, k: int, want: tup
     asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     distinct = asked.select("term").distinct()
     found = staged(frames.postings(distinct) if isinstance(frames, TextIndex) else postings(frames, distinct))
-    sizes = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean"))
+    sizes = staged(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean")))
     own = F.col("term") == EVERY
     stats = sizes.agg(F.max(F.when(own, F.col("df"))).alias("frames"), F.max(F.when(own, F.col("mean"))).alias("mean"), F.max(F.when(~own, F.col("df"))).alias("largest")).first()
     n, mean, largest = stats.frames or 0, stats.mean or 1.0, stats.largest or 0
     df = sizes.filter(~own).select("term", "df")
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    known = asked.join(df, "term").withColumn("idf", idf)
+    known = staged(asked.join(df, "term").withColumn("idf", idf))
     least = max(math.log((n - largest + 0.5) / (largest + 0.5)), LEAST_IDF)
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.lit(float(mean))))
 
@@ -97,7 +97,6 @@ def matches(frames: DataFrame | TextIndex, queries: DataFrame, k: int, want: tup
         scored = summed(known)
         scored = staged(scored) if len(want) > 1 else scored
         return {"any": first(scored), "all": first(scored.filter("hits = n_terms"))}
-    known = staged(known)
     rare, common = known.filter(F.col("idf") > LEAST_IDF), known.filter(F.col("idf") <= LEAST_IDF)
     part = staged(summed(rare))
     # What the common terms of a query can add at most, and a rounding step.
