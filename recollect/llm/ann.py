@@ -16,9 +16,9 @@ Scores are Euclidean distances of the original vectors in double precision; ties
 id.  Vectors that hardly cluster need many leaves: ``Index.share`` is the part of them that calibration chose.
 
 Defined cases: null vectors, zero vectors, vectors with null or non-finite components and
-vectors of another length than the most common one take no part; a repeated row is a candidate of
-its own (a query skips every row of its own id); null ids take no part; empty tables give an empty
-result; further columns are ignored.
+vectors of another length than the most common one take no part; every row of the index has a number, and that is
+what makes it one: a repeated row is a candidate of its own and, as a query, has a list of its own, a query skips its own row
+alone, not others of its id; null ids take no part; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,62 +137,67 @@ class Tree:
         return out
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, rough: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k nearest among x, its own id left out; exact, ties to the smaller id.
+def nearest(queries: np.ndarray, own: np.ndarray, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, rough: np.ndarray | None = None) -> list[tuple[int, list[dict]]]:
+    """(query's place, its k nearest among x), the row with its own number left out; exact, ties to the smaller id, then number.
 
     ``rough``: squared distances up to rounding, infinite where a row isn't to be looked at.
     """
     out = []
     rough = squared(queries, x) if rough is None else rough
     scale = 1e-9 * (1.0 + (x * x).sum(1).max() + (queries * queries).sum(1).max())
-    for i, q in enumerate(query_ids.tolist()):
+    for i, q in enumerate(own.tolist()):
         d = rough[i]
-        d[ids == q] = np.inf
+        d[rows == q] = np.inf
         n = min(k, int(np.isfinite(d).sum()))
         if not n:
             continue
         near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1] + scale)
         exact = np.sqrt(((x[near] - queries[i]) ** 2).sum(1))
-        best = np.lexsort((ids[near], exact))[:k]
-        out += [(q, int(ids[near[j]]), float(exact[j])) for j in best.tolist()]
+        best = np.lexsort((rows[near], ids[near], exact))[:k]
+        out.append((i, [{"score": float(exact[j]), "vec_id": int(ids[near[j]]), "row": int(rows[near[j]])} for j in best.tolist()]))
     return out
 
 
-LISTS = "query_id long, list array<struct<score:double,vec_id:long>>"
+#: What a block finds for a query: its number, its id, and up to k rows in order.
+LISTS = "query long, query_id long, list array<struct<score:double,vec_id:long,row:long>>"
+_LIST = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("row", pa.int64())]))
 
 
-def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """A bounded list of queries against all vectors, a block of rows at a time."""
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], dtype=np.int64), np.array([v for _, v in queries], dtype=np.float64)))
+def lists_of(found: list[tuple[int, list[dict]]], own: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+    at = np.array([i for i, _ in found], dtype=np.int64)
+    return [pa.array(own[at]), pa.array(ids[at]), pa.array([hits for _, hits in found], _LIST)]
+
+
+def brute_force(vectors: DataFrame, queries: list[tuple[int, int, list[float]]], k: int) -> DataFrame:
+    """A bounded list of queries (number, id, vector) against all vectors (row, vec_id, vec), a block of rows at a time."""
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r for r, _, _ in queries], dtype=np.int64), np.array([q for _, q, _ in queries], dtype=np.int64), np.array([v for _, _, v in queries], dtype=np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        own, ids, q = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                rows: dict[int, list[dict]] = {}
-                for query, vec, score in nearest(q, ids, matrix(part.column(1)), part.column(0).to_numpy(), k):
-                    rows.setdefault(query, []).append({"score": score, "vec_id": vec})
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))], names=["query_id", "list"])
+                found = nearest(q, own, matrix(part.column(2)), part.column(0).to_numpy(), part.column(1).to_numpy(), k)
+                yield pa.RecordBatch.from_arrays(lists_of(found, own, ids), names=["query", "query_id", "list"])
 
-    return best(vectors.select("vec_id", "vec").mapInArrow(run, LISTS), k)
+    return best(vectors.select("row", "vec_id", "vec").mapInArrow(run, LISTS), k)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query over what the blocks found: merged by sorted lists of bounded length."""
-    packed = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("list"))), 1, k).alias("list"))
-    return packed.select("query_id", F.posexplode("list").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
+    packed = found.groupBy("query", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("list"))), 1, k).alias("list"))
+    return packed.select("query", "query_id", F.posexplode("list").alias("at", "hit")).select("query", "query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score", "hit.row")
 
 
 class Index:
-    """Tree, calibrated number of visits and the table (leaf, block, vec_id, vec)."""
+    """Tree, calibrated number of visits and the table (leaf, bundle, row, vec_id, vec); ``row`` is a number that no other row has."""
 
     def __init__(self, vectors: DataFrame, *, k: int = K, leaf_vectors: int = LEAF_VECTORS, fit_sample: int = FIT_SAMPLE, target: float = TARGET_RECALL):
         self.k, self.spark = k, vectors.sparkSession
         n = vectors.count()
         self.empty = n == 0
         if self.empty:
-            self.table = vectors
+            self.table, self.measured, self.share = vectors.withColumn("row", F.lit(0).cast("long")), 1.0, 1.0
             return
         share = min(1.0, fit_sample / n)
         drawn = F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -211,10 +216,12 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaf = shared.value.assign(matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), batch.column(1)], names=["leaf", "vec_id", "vec"])
+                leaf = shared.value.assign(matrix(batch.column(2))) if batch.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "row", "vec_id", "vec"])
 
-        assigned = staged(vectors.select("vec_id", "vec").mapInArrow(run, "leaf long, vec_id long, vec array<double>"))
+        # The numbers are fixed by being written.
+        numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
+        assigned = staged(numbered.mapInArrow(run, "leaf long, row long, vec_id long, vec array<double>"))
         # As many rows as the tree has leaves; numbered depth first, so that neighbours share a bundle.
         sizes = {r.leaf: r["count"] for r in assigned.groupBy("leaf").count().collect()}
         most = min(max(n // 256, BUNDLE[0]), BUNDLE[1])
@@ -229,25 +236,27 @@ class Index:
         self.places = self.spark.sparkContext.broadcast({leaf: (b, k) for leaf, b, k in places})
         self.sizes = self.spark.sparkContext.broadcast([sizes.get(leaf, 0) for leaf in range(self.tree.leaves)])
         where = self.spark.createDataFrame(places, "leaf long, first long, blocks int")
-        self.table = assigned.join(F.broadcast(where), "leaf").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("first", "blocks")
-        self.visits = self.calibrate(vectors, target)
+        self.table = assigned.join(F.broadcast(where), "leaf").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("first", "blocks")
+        self.visits = self.calibrate(assigned, target)
         self.share = self.visits / self.tree.leaves
 
     def calibrate(self, vectors: DataFrame, target: float) -> int:
-        probe = vectors.orderBy(F.xxhash64("vec_id", F.lit(29)), "vec_id").limit(CALIBRATION).collect()
+        probe = vectors.orderBy(F.xxhash64("row", F.lit(29)), "row").limit(CALIBRATION).collect()
         distance = self.tree.distances(np.array([r.vec for r in probe])).tolist()
-        ranked = {r.vec_id: {leaf: i for i, leaf in enumerate(self.tree.best_bins(d, self.tree.leaves))} for r, d in zip(probe, distance, strict=True)}
+        ranked = {r.row: {leaf: i for i, leaf in enumerate(self.tree.best_bins(d, self.tree.leaves))} for r, d in zip(probe, distance, strict=True)}
         visits = min(FIRST_VISITS, self.tree.leaves)
         # The leaf of each true neighbour is asked for once; widening then needs no further job.
-        near = brute_force(vectors, [(r.vec_id, r.vec) for r in probe], self.k).join(self.table.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
-        place = [ranked[r.query_id][r.leaf] for r in near]
+        near = brute_force(vectors, [(r.row, r.vec_id, r.vec) for r in probe], self.k).join(vectors.select("row", "leaf"), "row").select("query", "leaf").collect()
+        place = [ranked[r.query][r.leaf] for r in near]
         while place and visits < self.tree.leaves and sum(p < visits for p in place) < target * len(place):
             visits = min(self.tree.leaves, visits + max(1, visits // 16))
         self.measured = sum(p < visits for p in place) / len(place) if place else 1.0
         return visits
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """query_id, rank, vec_id, score for queries (vec_id, vec)."""
+        """query_id, rank, vec_id, score for queries (vec_id, vec), each row a query; rows of the index (with ``row``) aren't their own neighbours."""
+        if not self.empty and "row" not in queries.columns:  # numbers that no row of the index has
+            queries = staged(queries.select("vec_id", "vec", (-1 - F.monotonically_increasing_id()).alias("row")))
         if self.empty:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         shared, places, sizes, visits, k, leaf_count = self.shared, self.places, self.sizes, self.visits, self.k, self.tree.leaves
@@ -258,7 +267,7 @@ class Index:
                 for lo in range(0, batch.num_rows, 128):
                     part = batch.slice(lo, 128)
                     row, bundles, leaves = [], [], []
-                    for i, d in enumerate(tree.distances(matrix(part.column(1))).tolist()):
+                    for i, d in enumerate(tree.distances(matrix(part.column(2))).tolist()):
                         wanted: dict[int, list[int]] = {}
                         for leaf in tree.best_bins(d, visits, sizes.value, k + 1):
                             first, blocks = places.value[leaf]
@@ -268,19 +277,19 @@ class Index:
                         bundles += wanted
                         leaves += wanted.values()
                     picked = part.take(pa.array(row, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), picked.column(0), picked.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=["bundle", "query_id", "q", "leaves"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int64()), *picked.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["bundle", "query", "query_id", "q", "leaves"])
 
         # Many queries go in blocks, each with its own copy of the bundles, so that a task holds a bounded number of either.
         parts = max(1, -(-queries.count() // QUERY_BLOCK))
-        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
-        routed = queries.select("vec_id", "vec").mapInArrow(route, "bundle long, query_id long, q array<double>, leaves array<long>").select("*", part)
-        rows = self.table.select("bundle", "leaf", "vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+        part = F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part")
+        routed = queries.select("row", "vec_id", "vec").mapInArrow(route, "bundle long, query long, query_id long, q array<double>, leaves array<long>").select("*", part)
+        rows = self.table.select("bundle", "leaf", "row", "vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 
         def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-            rows: dict[int, list[tuple[float, int]]] = {}
+            parts = []
             if left.num_rows and right.num_rows:
-                x, ids, leaf = matrix(right.column("vec")), right.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
-                q, own, visited = matrix(left.column("q")), left.column("query_id").to_numpy(), left.column("leaves").to_pylist()
+                x, rows, ids, leaf = matrix(right.column("vec")), *(right.column(c).to_numpy() for c in ("row", "vec_id", "leaf"))
+                q, own, asked, visited = matrix(left.column("q")), left.column("query").to_numpy(), left.column("query_id").to_numpy(), left.column("leaves").to_pylist()
                 step = max(1, (1 << 22) // len(x))
                 for at in range(0, len(q), step):
                     rough = squared(q[at : at + step], x)
@@ -288,15 +297,19 @@ class Index:
                         other = np.ones(leaf_count, dtype=bool)
                         other[wanted] = False
                         rough[i, other[leaf]] = np.inf
-                    for query, vec, score in nearest(q[at : at + step], own[at : at + step], x, ids, k, rough):
-                        rows.setdefault(query, []).append((score, vec))
-            lists = [[{"score": s, "vec_id": v} for s, v in r] for r in rows.values()]
-            return pa.table({"query_id": pa.array(list(rows), pa.int64()), "list": pa.array(lists, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
+                    mine = own[at : at + step]
+                    parts.append(pa.RecordBatch.from_arrays(lists_of(nearest(q[at : at + step], mine, x, rows, ids, k, rough), mine, asked[at : at + step]), schema=_HITS))
+            return pa.Table.from_batches(parts, schema=_HITS)
 
         hits = routed.groupBy("bundle", "part").cogroup(rows.groupBy("bundle", "part")).applyInArrow(scan, LISTS)
-        return best(hits, k)
+        return best(hits, k).select("query_id", "rank", "vec_id", "score")
+
+
+_HITS = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("list", _LIST)])
 
 
 def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = usable(table(spark, sf_dir, "embeddings"))
-    return Index(vectors).search(vectors.filter(F.col("vec_id") % 100 == 0))
+    """With the recall that calibration measured against brute force, and the share of leaves that it visits."""
+    index = Index(usable(table(spark, sf_dir, "embeddings")))
+    found = index.search(index.table.filter(F.col("vec_id") % 100 == 0))
+    return found.withColumns({"measured_recall": F.lit(float(index.measured)), "visited_share": F.lit(float(index.share))})
