@@ -14,8 +14,13 @@ makes the same records.
 A record is one gzip member (with a fixed time stamp); members that follow each other are a WARC file.
 :func:`read_records` and :func:`parse` read them back, :func:`save` writes files.
 
-Defined cases: line ends in a URL become ``%0D`` and ``%0A``, in other header values a space, so that no value can
-end its line; a null URL leaves ``WARC-Target-URI`` out; null or empty HTML gives an empty payload and an
+Responses are read as servers send them: heads may end their lines by LF alone and fold long values, transfer chunks are joined, and the
+content codings gzip and deflate are opened as far as their data goes (what a crawler has opened already is taken as it is); of another
+coding the conversion is empty and the metadata names it.  Malformed records (no length, no version, cut short, broken members, stray
+bytes) become rows with an ``error`` and cost none of the records around them.
+
+Defined cases: line ends in a URL become ``%0D`` and ``%0A``, in other header values a space, and what may not stand in a
+header's name a hyphen, so that neither can end its line; a null URL leaves ``WARC-Target-URI`` out; null or empty HTML gives an empty payload and an
 empty conversion; headers may be absent; ill-formed HTML is read as browsers do roughly (an open tag
 or script runs to the end); repeated rows give equal records again; further columns are ignored.
 """
@@ -78,40 +83,141 @@ def write_record(headers: list[tuple[str, str]], block: bytes, compressed: bool
 
 
 def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of a file, opened one after the other; it is read by small steps, so that none is read again."""
+    """The gzip members of a file, opened one after the other; it is read by small steps, so that none is read again.
+
+    A broken member gives what could be read of it, and reading goes on where the next one seems to begin.
+    """
     view, at = memoryview(data), 0
     while at < len(view):
-        d, parts = zlib.decompressobj(31), []
-        while not d.eof and at < len(view):
-            part = view[at : at + step]
-            parts.append(d.decompress(part))
-            at += len(part)
-        at -= len(d.unused_data)
-        yield b"".join(parts) + d.flush()
+        d, parts, begin = zlib.decompressobj(31), [], at
+        try:
+            while not d.eof and at < len(view):
+                part = view[at : at + step]
+                parts.append(d.decompress(part))
+                at += len(part)
+            at -= len(d.unused_data)
+            parts.append(d.flush())
+        except zlib.error:
+            at = data.find(b"\x1f\x8b\x08", begin + 3)
+            at = len(view) if at < 0 else at
+            parts = parts or [bytes(view[begin:at])]
+        yield b"".join(parts)
+
+
+_NEXT = re.compile(rb"\nWARC/[0-9]")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def fields_of(head: str) -> tuple[str, list[tuple[str, str]]]:
+    """First line, names and values of a head, whose lines end by CRLF or else by LF; one that begins with a space goes on with the value before it."""
+    out: list[tuple[str, str]] = []
+    first, *lines = head.split("\r\n" if "\r\n" in head else "\n")
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return first, out
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (names in lower case), block and error of each record of a WARC file, plain or by gzip members.
+
+    After an error reading goes on at the next line that begins like a record.
+    """
+    for raw in members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        at = 0
+        while True:
+            while raw[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+            if at >= len(raw):
+                break
+            end = _HEAD_END.search(raw, at)
+            headers: dict[str, str] = {}
+            if not raw.startswith(b"WARC/", at):
+                error = "no version"
+            elif not end:
+                error = "no end of headers"
+            else:
+                headers = {k.lower(): v for k, v in fields_of(raw[at : end.start()].decode("utf-8", "replace"))[1]}
+                length = headers.get("content-length", "")
+                if not length.isascii() or not length.isdigit():
+                    error = "no length"
+                elif end.end() + int(length) > len(raw):
+                    error = "cut short"
+                else:
+                    at = end.end() + int(length)
+                    yield headers, raw[end.end() : at], None
+                    continue
+            begin = end.end() if headers and end else at
+            following = _NEXT.search(raw, max(begin - 1, at))
+            stop = following.start() + 1 if following else len(raw)
+            yield headers, raw[begin:stop], error
+            at = stop
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file, plain or by gzip members; header names in lower case."""
-    for raw in members(data) if data[:2] == b"\x1f\x8b" else [data]:
-        at = 0
-        while at < len(raw):
-            end = raw.index(b"\r\n\r\n", at)
-            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError("a record must start with its version")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-            at = end + 4 + int(headers["content-length"])
-            yield headers, raw[end + 4 : at]
-            at += 4
+    """The records of a WARC file that are well formed."""
+    return ((headers, block) for headers, block, error in records_of(data) if error is None)
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of an HTTP response."""
-    head, gap, payload = block.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"HTTP/"):
+    gap = _HEAD_END.search(block)
+    if not gap or not block.startswith(b"HTTP/"):
         return "", [], block
-    status, *lines = head.decode("latin-1").split("\r\n")
-    return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
+    return *fields_of(block[: gap.start()].decode("latin-1")), block[gap.end() :]
+
+
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r?\n")
+
+
+def joined_chunks(payload: bytes) -> bytes:
+    """A payload without the marks of chunked transfer; one that has none is taken as it is, one cut short as far as it goes."""
+    at, parts = 0, []
+    while m := _CHUNK.match(payload, at):
+        size = int(m.group(1), 16)
+        parts.append(payload[m.end() : m.end() + size])
+        at = m.end() + size
+        if not size:
+            return b"".join(parts)
+        at += 2 if payload[at : at + 2] == b"\r\n" else payload[at : at + 1] == b"\n"
+    return b"".join(parts) if parts and at >= len(payload) else payload
+
+
+def opened(payload: bytes, kinds: tuple[int, ...]) -> bytes:
+    """Data of a compressed payload, as far as it goes; what isn't compressed is taken as it is."""
+    for bits in kinds:
+        d, out = zlib.decompressobj(bits), b""
+        try:
+            for at in range(0, len(payload), 1 << 16):
+                out += d.decompress(payload[at : at + (1 << 16)])
+            return out + d.flush()
+        except zlib.error:
+            if out:
+                return out
+    return payload
+
+
+def content(http: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str | None]:
+    """The page that a payload holds, without the codings that its headers name; the first coding that isn't known, if any."""
+    said = lambda name: [c.strip().lower() for k, v in http if k.lower() == name for c in v.split(",") if c.strip()]
+    if "chunked" in said("transfer-encoding"):
+        payload = joined_chunks(payload)
+    for coding in reversed(said("content-encoding")):
+        if coding in ("gzip", "x-gzip"):
+            payload = opened(payload, (31,)) if payload[:2] == b"\x1f\x8b" else payload
+        elif coding == "deflate":
+            payload = opened(payload, (15, -15))
+        elif coding != "identity":
+            return b"", coding
+    return payload, None
+
+
+#: The rest of a tag: quotes count as such where a value begins.
+_REST = re.compile(r"""(?>[^>"'=]+|=\s*(?>"[^"]*"|'[^']*')|[="'])*+>""")
+_NO_NAME = re.compile(r"[^!#$%&'*+.^_`|~0-9A-Za-z-]+")
 
 
 def visible_text(source: str) -> tuple[str, str]:
@@ -134,7 +240,8 @@ def visible_text(source: str) -> tuple[str, str]:
             (title if inside else out).append("<")
             at = tag + 1
             continue
-        end = source.find(">", tag)
+        rest = _REST.match(source, m.end()) if m else None
+        end = rest.end() - 1 if rest else source.find(">", tag)
         at = len(source) if end < 0 else end + 1
         name, closing = (m.group(1).lower() if m else ""), source[tag + 1 : tag + 2] == "/"
         if name == "title":
@@ -177,14 +284,16 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     source = headers["warc-record-id"]
     status, http, payload = split_http(block)
     digest = headers.get("warc-payload-digest") or sha1(payload)
-    text, title = visible_text(decoded(payload, charset_of(http)))
+    page, unread = content(http, payload)
+    text, title = visible_text(decoded(page, charset_of(http)))
     plain = text.encode()
     common = [("WARC-Date", headers.get("warc-date", DEFAULT_DATE))]
     common += [("WARC-Target-URI", headers["warc-target-uri"])] if headers.get("warc-target-uri") else []
     common += [("WARC-Refers-To", source), ("WARC-Source-Payload-Digest", digest)]
     own = {kind: record_id(kind, source) for kind in ("conversion", "metadata")}
-    fields = [("http-status", status), *[(f"source-{k.lower()}", v) for k, v in http], ("source-payload-digest", digest)]
+    fields = [("http-status", status), *[(f"source-{_NO_NAME.sub('-', k).lower()}", v) for k, v in http], ("source-payload-digest", digest)]
     fields += [("source-block-digest", headers["warc-block-digest"])] if headers.get("warc-block-digest") else []
+    fields += [("content-coding-unread", unread)] if unread else []
     fields += [("title", title), ("conversion-record-id", own["conversion"]), ("conversion-length", str(len(plain)))]
     about = b"".join(f"{k}: {one_line(v)}".encode() + CRLF for k, v in fields)
     out = []
@@ -225,7 +334,7 @@ def build(df: DataFrame, *, key: str = "page_id", url: str = "url", html_: str =
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: file, headers (names in lower case) and block.
+    """Records of WARC files: file, headers (names in lower case), block and, of what is malformed, the error.
 
     A file is read whole by one task, so it may have 2 GB at most (the format advises 1 GB); its records
     are passed on a few at a time.
@@ -233,22 +342,32 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                records = parse(content)
+            for file, content_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                records = records_of(content_)
                 while found := list(islice(records, 256)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())], names=["file", "headers", "block"])
+                    headers, blocks, errors = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array([list(h.items()) for h in headers], pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary()), pa.array(errors, pa.string())], names=["file", "headers", "block", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, headers map<string,string>, block binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, headers map<string,string>, block binary, error string")
 
 
 def derive_records(records: DataFrame) -> DataFrame:
-    """Derivatives of the responses among records as :func:`read_records` gives them."""
+    """Derivatives of the well-formed responses among records as :func:`read_records` gives them; a response without an id is a row with an ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of([row_of(None, h, b, True) for headers, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h, b in derive(dict(headers), block)])
-
-    return records.filter(F.col("headers")["warc-type"] == "response").select("headers", "block").mapInArrow(run, RECORD_DDL)
+            rows = []
+            for headers, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = dict(headers)
+                if known.get("warc-record-id"):
+                    rows += [(*row_of(None, h, b, True), None) for h, b in derive(known, block)]
+                else:
+                    rows.append((*[None] * len(RECORD), "no record id"))
+            schema = RECORD.append(pa.field("error", pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    good = F.col("error").isNull() & (F.lower(F.col("headers")["warc-type"]) == "response")
+    return records.filter(good).select("headers", "block").mapInArrow(run, f"{RECORD_DDL}, error string")
 
 
 def save(records: DataFrame, folder: str) -> None:

@@ -1,7 +1,10 @@
 """Language ID, quality, PII, neighbours and WARC: brute force, held-out accuracy, round trips."""
 
+import gzip
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +169,7 @@ def test_neighbours(spark):
     assert usable.count() == 4000
     index = ann.Index(usable, leaf_vectors=40, fit_sample=1500)
     got = {}
-    for h in index.search(usable.filter("vec_id % 50 = 0")).collect():
+    for h in index.search(index.table.filter("vec_id % 50 = 0")).collect():
         got.setdefault(h.query_id, {})[h.rank] = (h.vec_id, h.score)
     y, found = x.astype(float), 0
     for q, hits in got.items():
@@ -187,11 +190,35 @@ def test_neighbours(spark):
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     usable = ann.usable(df)
-    assert [(h.rank, h.vec_id) for h in sorted(ann.Index(usable).search(usable.filter("vec_id = 0")).collect(), key=lambda h: h.rank)] == [(1, 1), (2, 2)]
+    index = ann.Index(usable)
+    assert [(h.rank, h.vec_id) for h in sorted(index.search(index.table.filter("vec_id = 0")).collect(), key=lambda h: h.rank)] == [(1, 1), (2, 2)]
+    # A query from elsewhere isn't one of the rows.
+    assert [(h.rank, h.vec_id) for h in sorted(index.search(usable.filter("vec_id = 0")).collect(), key=lambda h: h.rank)] == [(1, 0), (2, 1), (3, 2)]
     empty = ann.usable(df.limit(0))
     assert ann.Index(empty).search(empty).collect() == []
 
 
+def test_rows_are_what_makes_a_neighbour(spark, tmp_path):
+    """Repeated rows, two vectors of one id, queries among them: the query's result is that of brute force over rows."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    rows += [rows[100]] * 2 + [(200, rows[7][1]), (200, rows[8][1]), (7, rows[200][1]), (300, None)] + [rows[9]] * 12
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    good = [(i, np.array(v, dtype=np.float64)) for i, v in rows if v]
+    want = []
+    for at, (q, v) in enumerate(good):
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for other, (i, x) in enumerate(good) if other != at)[:10]
+            want += [(q, rank + 1, i, round(d, 9)) for rank, (d, i) in enumerate(near)]
+    found = ann.op9_kmeans_tree(spark, str(tmp_path)).collect()
+    got = [(h.query_id, h.rank, h.vec_id, round(h.score, 9)) for h in found]
+    assert Counter(x[:2] for x in got) == Counter(x[:2] for x in want)
+    # A neighbour that is missed moves up those after it.
+    assert sum((Counter((q, i, d) for q, _, i, d in got) & Counter((q, i, d) for q, _, i, d in want)).values()) >= 0.9 * len(want)
+    assert [x for x in got if x[0] == 100 and x[1] < 3] == [(100, rank, 100, 0.0) for _ in range(3) for rank in (1, 2)] or Counter(x for x in got if x[0] == 100 and x[1] < 3) == Counter({(100, 1, 100, 0.0): 3, (100, 2, 100, 0.0): 3})
+    assert {h.measured_recall >= 0.9 and 0 < h.visited_share <= 1 for h in found} == {True}
+
+
 # ----------------------------------------------------------------- WARC
 PAGE = "<!DOCTYPE html><html><head><title>A &amp; B</title><style>p{}</style></head><body><script>var x='<p>';</script><h1>Head</h1><p>One<br>two &lt;3<!-- no --> <b>bold</b></p></body></html>"
 
@@ -224,6 +251,62 @@ def test_warc_round_trip_and_links(spark, tmp_path):
     assert warc.build(df.limit(0)).collect() == []
 
 
+def text_of(headers, block):
+    made = {dict(h)["WARC-Type"]: b.decode() for h, b in warc.derive(headers, block)}
+    return made["conversion"], made["metadata"]
+
+
+SOURCE = {"warc-record-id": "<urn:a>", "warc-type": "response"}
+
+
+def test_captured_responses_as_servers_send_them():
+    """Heads that end their lines by LF, names with line ends, folded values, codings of content and transfer."""
+    text, about = text_of(SOURCE, b"HTTP/1.1 200 OK\nContent-Type: text/html\n\n<p>hi</p>")
+    assert text == "hi" and "http-status: HTTP/1.1 200 OK\r\n" in about and "source-content-type: text/html\r\n" in about
+    _, about = text_of(SOURCE, b"HTTP/1.1 200 OK\r\nX-A\x0bB\rEvil: 1\r\nLong: a\r\n  b\r\n\r\nx")
+    assert all(": " in line for line in about.strip().split("\r\n")) and "source-long: a b\r\n" in about and "\r\nEvil" not in about and "\nEvil" not in about
+    page = "<p>gr\u00fcn</p>".encode()
+    deflate = zlib.compressobj(wbits=-15)
+    raw = deflate.compress(page) + deflate.flush()
+    for name, body in (("gzip", gzip.compress(page)), ("x-gzip", gzip.compress(page)), ("deflate", zlib.compress(page)), ("deflate", raw), ("identity", page), ("deflate, gzip", gzip.compress(zlib.compress(page)))):
+        assert text_of(SOURCE, b"HTTP/1.1 200 OK\r\nContent-Encoding: " + name.encode() + b"\r\n\r\n" + body)[0] == "gr\u00fcn"
+        chunks = b"".join(b"%x;note=1\r\n%s\r\n" % (len(body[i : i + 5]), body[i : i + 5]) for i in range(0, len(body), 5)) + b"0\r\nTrailer: 1\r\n\r\n"
+        assert text_of(SOURCE, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: " + name.encode() + b"\r\n\r\n" + chunks)[0] == "gr\u00fcn"
+    # Decoded by the crawler already, though the headers still say otherwise: taken as it is.
+    assert text_of(SOURCE, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + page)[0] == "gr\u00fcn"
+    text, about = text_of(SOURCE, b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\x8b\x02\x80")
+    assert text == "" and "content-coding-unread: br\r\n" in about
+    assert text_of(SOURCE, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(page * 999)[:60])[0].startswith("gr\u00fcn")
+
+
+def test_tags_with_quoted_ends():
+    assert warc.visible_text('<a title="x>y">link</a> <b data-x=\'a>b\' c>bold</b>')[0] == "link bold"
+    assert warc.visible_text('<a title="open>rest</a> and more')[0] == "rest and more"
+    assert warc.visible_text("<p>it's 1 < 2 > 0</p><i class=a'b>x</i>") [0] == "it's 1 < 2 > 0\nx"
+    assert warc.visible_text('<script src="a>b">var x</script>z<!-- > -->!<!doctype html>')[0] == "z!"
+
+
+def test_malformed_records_are_reported(spark, tmp_path):
+    """One bad record costs neither the job nor the records around it; what is wrong is in its row."""
+    good = warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:b>")], b"HTTP/1.1 200 OK\r\n\r\n<p>b</p>", compressed=False)
+    plain = good + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n" + good.replace(b"urn:b", b"urn:c") + b"trailing bytes"
+    parts = [good, b"nonsense", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", good.replace(b"<urn:b>", b""), good.replace(b"Content-Length: ", b"Content-Length: 9"), good.replace(b"urn:b", b"urn:d")]
+    (tmp_path / "plain.warc").write_bytes(plain)
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts) + b"\x1f\x8b broken")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "lf.warc").write_bytes(good.replace(b"\r\n", b"\n").replace(b"urn:b", b"urn:e").replace(b"Content-Length: 27", b"Content-Length: 25"))
+    records = warc.read_records(spark, str(tmp_path))
+    rows = records.collect()
+    assert {r.headers.get("warc-record-id") for r in rows if r.error is None} == {"<urn:b>", "<urn:c>", "<urn:d>", "<urn:e>", ""}
+    assert len([r for r in rows if r.error]) >= 6 and all(r.file for r in rows)
+    made = warc.derive_records(records).collect()
+    assert {r.refers_to for r in made if not r.error} == {"<urn:b>", "<urn:c>", "<urn:d>", "<urn:e>"}
+    assert {bytes(r.block) for r in made if r.type == "conversion"} == {b"b"}
+    assert [r.error for r in made if r.error] == ["no record id"]
+    headers = dict(SOURCE) | {"warc-target-uri": "u"}
+    assert {dict(h)["WARC-Refers-To"] for h, _ in warc.derive(headers, b"")} == {"<urn:a>"}
+
+
 def test_warc_values_end_no_line(tmp_path):
     """Neither a URL nor a source's header or title can add a header or end a record."""
     url = "http://a.example/\r\nX-Evil: 1\r\n\r\nWARC/1.1"
