@@ -52,11 +52,19 @@ def staging_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: what several parts of a plan read is computed once, and survives lost executors."""
-    path = f"{staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    folder = staging_dir(df.sparkSession)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(df.sparkSession, folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove a folder when the driver ends: results are lazy, so the tables that they read must live as long as they may be asked for."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table that :func:`staged` left for this application."""
     path = spark._jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
