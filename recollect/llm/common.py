@@ -15,13 +15,14 @@ import ctypes
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.session import spread, staging_dir
+from recollect.session import drop_at_exit, spread, staging_dir
 
 #: Documents up to this size are dealt out anew.
 SPREAD_BYTES = 16 << 20
@@ -34,32 +35,37 @@ WORD_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back (explicit schema: no listing job)."""
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
+    folder = staging_dir(spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _MADE.append(path)
+    drop_at_exit(spark, folder)
+    run = _RUN.get()
+    if run is not None:
+        run.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of staged tables, in order.
-_MADE: list[str] = []
+#: Paths that the run of this thread has staged, in order.
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
-def mark() -> int:
-    """A point in time for :func:`forget`."""
-    return len(_MADE)
+def mark() -> list[str]:
+    """A new run: what is staged from now on, in this thread, is its own."""
+    run: list[str] = []
+    _RUN.set(run)
+    return run
 
 
-def forget(spark: SparkSession, since: int) -> None:
-    """Remove the tables staged since a mark, but the newest: nothing may read them any more."""
-    for path in _MADE[since:-1]:
+def forget(spark: SparkSession, run: list[str]) -> None:
+    """Remove the tables of a run but the newest: nothing may read them any more.  Those of other runs stay."""
+    for path in run[:-1]:
         remove(spark, path)
-    del _MADE[since:-1]
+    del run[:-1]
 
 
 def release(spark: SparkSession) -> None:
     """Remove every table that :func:`staged` left for this application."""
     remove(spark, staging_dir(spark))
-    _MADE.clear()
 
 
 def remove(spark: SparkSession, path: str) -> None:
