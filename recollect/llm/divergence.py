@@ -36,12 +36,14 @@ MIN_DOCUMENTS = 30
 SCALE, PRIOR = 1_000_000_000, 5
 MOST_TERMS = 50
 #: Classes of a block, about.
-BLOCK_CLASSES = 20_000
+BLOCK_CLASSES = 2_000
 #: Counts that a task holds before it passes them on.
 HELD_COUNTS = 400_000
 #: Terms: everything but ASCII characters that aren't letters ends one.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+#: More than the words of the documents between two flushes.
+_DOCUMENT = 1 << 36
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
@@ -49,26 +51,27 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it) of documents (lang, source, text); one row without a term for each group, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[str, int]] = {}
         new = 0
         for batch in batches:
             lang, source, text = (batch.column(i) for i in range(3))
             for i in range(batch.num_rows):
-                n, seen = held.setdefault((lang[i].as_py(), source[i].as_py()), (Counter(), Counter()))
-                own = Counter(TERM.findall(text[i].as_py().translate(_LOWER)))
-                before = len(n)
-                n.update(own)
-                seen.update(own.keys())
-                new += len(n) - before
+                # Both counts of a term in one number: documents above, occurrences below.
+                of = held.setdefault((lang[i].as_py(), source[i].as_py()), {})
+                before, known = len(of), of.get
+                for term, n in Counter(TERM.findall(text[i].as_py().translate(_LOWER))).items():
+                    of[term] = known(term, 0) + n + _DOCUMENT
+                new += len(of) - before
                 if new >= HELD_COUNTS:
                     yield from flushed(held)
                     held, new = {}, 0
         yield from flushed(held)
 
     def flushed(held) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, seen) in held.items():
-            terms = [None, *n]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(seen[t] for t in n)], pa.int64())], schema=_COUNTS)
+        for (lang, source), of in held.items():
+            both = np.fromiter((0, *of.values()), dtype=np.int64, count=len(of) + 1)
+            names = [pa.repeat(pa.scalar(x, pa.string()), len(both)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array([None, *of], pa.string()), pa.array(both % _DOCUMENT), pa.array(both // _DOCUMENT)], schema=_COUNTS)
 
     parts = docs.select("lang", "source", "text").mapInArrow(lean(run), "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -112,10 +115,11 @@ def pair_values(totals: DataFrame, shares: DataFrame) -> DataFrame:
     """lang, source, item (each other source), value: sums of |p - q| over all kept terms."""
     signature = F.sort_array(F.collect_list(F.struct("source", "p")))
     classes = staged(shares.groupBy("lang", "term").agg(signature.alias("signature")).groupBy("lang", "signature").agg(F.count(F.lit(1)).alias("terms")))
-    blocks = max(1, -(-classes.count() // BLOCK_CLASSES))
-    dealt = classes.select("lang", F.pmod(F.xxhash64("signature"), F.lit(blocks)).cast("int").alias("block"), "signature", "terms")
-    # Every block gets the sources of its language: as many rows as the result's pairs have columns.
-    sources = totals.select("lang", "source", "none", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # As many blocks as a language's classes need, one at least; a block gets the sources of its language.
+    blocks = classes.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks"))
+    dealt = classes.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int").alias("block"), "signature", "terms")
+    last = F.coalesce("blocks", F.lit(1)) - 1
+    sources = totals.join(blocks, "lang", "left").select("lang", "source", "none", F.explode(F.sequence(F.lit(0), last)).alias("block"))
     partial = sources.groupBy("lang", "block").cogroup(dealt.groupBy("lang", "block")).applyInArrow(_block, "lang string, source string, item string, value long")
     whole = partial.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return whole.select("lang", F.inline(F.array(F.struct(F.col("source"), F.col("item"), F.col("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("value")))))
