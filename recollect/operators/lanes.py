@@ -5,7 +5,6 @@ Lanes return ``query_id, frame_id, score, rank``; rank is the 1-based position,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions.text import index_words, without_marks, words
-from recollect.session import spread, staged
+from recollect.functions.text import without_marks, words
+from recollect.operators.bm25 import EVERY, matches, postings
+from recollect.session import staged
 from recollect.sources.index import TextIndex
 
-# Parameters of the ranking function.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_RESULTS = 10_000
-#: Distinct query terms up to this number are broadcast to filter postings; beyond it Spark chooses the join.
-BROADCAST_TERMS = 200_000
-#: Frames beyond which terms of most frames are looked up for candidates only; before it that costs more than it saves.
-PRUNE_FRAMES = 1_000_000
 #: Vectors of one block of queries that a task holds.
 QUERY_BLOCK = 4_096
 
@@ -39,87 +33,15 @@ def top(df: DataFrame, k: int, *keys: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------- text
-#: Term of the one row that each frame has besides its postings; words are never empty.
-EVERY = ""
-
-
-def postings(frames: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """term, frame_id, tf, length of frames (frame_id, content); with ``only`` (term), just those terms.
-
-    Each frame has one row more, of the term ``EVERY``, so that their number and mean length need no second pass.
-    """
-    tokens = spread(frames.filter(F.col("content").isNotNull()).select("frame_id", "content")).select("frame_id", index_words(F.col("content")).alias("tokens"))
-    each = tokens.select("frame_id", F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(EVERY)))).alias("term"))
-    if only is not None:
-        wanted = only.select("term").unionByName(only.sparkSession.range(1).select(F.lit(EVERY).alias("term")))
-        small = only.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        each = each.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    return each.groupBy("term", "frame_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-
-
 def bm25(frames: DataFrame | TextIndex, queries: DataFrame, k: int, *, need_all: bool = False) -> DataFrame:
-    """BM25 of queries (query_id, terms) over frames or their index; ``need_all`` is AND, else any term counts.
-
-    Statistics cover every frame that is in the index, live or not.
-    """
+    """BM25 of queries (query_id, terms) over frames or their index; ``need_all`` is AND, else any term counts."""
     want = "all" if need_all else "any"
-    return matches(frames, queries, k, (want,))[want]
-
-
-def matches(frames: DataFrame | TextIndex, queries: DataFrame, k: int, want: tuple[str, ...] = ("any", "all")) -> dict[str, DataFrame]:
-    """Results of ``any`` term and of ``all`` terms, from one pass over the texts (or over an index, without them).
-
-    Terms that most frames have score almost nothing.  Among more than ``PRUNE_FRAMES`` frames they are looked up
-    only for those that may come to be among the first k, and for queries whose other terms find fewer than k.
-    """
-    k = clamped(k)
-    asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    distinct = asked.select("term").distinct()
-    found = staged(frames.postings(distinct) if isinstance(frames, TextIndex) else postings(frames, distinct))
-    sizes = staged(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean")))
-    own = F.col("term") == EVERY
-    stats = sizes.agg(F.max(F.when(own, F.col("df"))).alias("frames"), F.max(F.when(own, F.col("mean"))).alias("mean"), F.max(F.when(~own, F.col("df"))).alias("largest")).first()
-    n, mean, largest = stats.frames or 0, stats.mean or 1.0, stats.largest or 0
-    df = sizes.filter(~own).select("term", "df")
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    known = staged(asked.join(df, "term").withColumn("idf", idf))
-    least = max(math.log((n - largest + 0.5) / (largest + 0.5)), LEAST_IDF)
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.lit(float(mean))))
-
-    def summed(terms: DataFrame) -> DataFrame:
-        scored = terms.join(found, "term").select("query_id", "frame_id", "n_terms", gain.alias("gain"))
-        return scored.groupBy("query_id", "frame_id").agg(F.sum("gain").alias("raw"), F.count(F.lit(1)).alias("hits"), F.first("n_terms").alias("n_terms"))
-
-    def first(scored: DataFrame) -> DataFrame:
-        return top(scored.select("query_id", "frame_id", F.round("raw", 6).alias("score")), k, F.desc("score"), F.asc("frame_id"))
-
-    if least > LEAST_IDF or n <= PRUNE_FRAMES:
-        scored = summed(known)
-        scored = staged(scored) if len(want) > 1 else scored
-        return {"any": first(scored), "all": first(scored.filter("hits = n_terms"))}
-    rare, common = known.filter(F.col("idf") > LEAST_IDF), known.filter(F.col("idf") <= LEAST_IDF)
-    part = staged(summed(rare))
-    # What the common terms of a query can add at most, and a rounding step.
-    slack = F.col("n_terms") * (LEAST_IDF * (K1 + 1)) + 2e-6
-    last = top(part, k, F.desc("raw")).groupBy("query_id").agg(F.min("raw").alias("last"), F.count(F.lit(1)).alias("n"))
-    full = last.filter(F.col("n") >= k).select("query_id", "last")
-    near = part.join(full, "query_id").filter(F.col("raw") >= F.col("last") - slack).drop("last")
-    extra = near.select("query_id", "frame_id").join(common.select("query_id", "term", "idf"), "query_id").join(found, ["term", "frame_id"]).select("query_id", "frame_id", gain.alias("gain")).groupBy("query_id", "frame_id").agg(F.sum("gain").alias("more"), F.count(F.lit(1)).alias("more_hits"))
-    narrow = near.join(extra, ["query_id", "frame_id"], "left").select("query_id", "frame_id", (F.col("raw") + F.coalesce("more", F.lit(0.0))).alias("raw"))
-    wide = summed(known.join(full, "query_id", "left_anti")).select("query_id", "frame_id", "raw")
-
-    # All terms: frames that have all the rare ones, then those of them that have the common ones too.
-    n_rare = rare.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rare"))
-    whole = part.join(n_rare, "query_id").filter(F.col("hits") == F.col("n_rare"))
-    more = whole.filter(F.col("hits") < F.col("n_terms")).select("query_id", "frame_id").join(common.select("query_id", "term", "idf"), "query_id").join(found, ["term", "frame_id"]).select("query_id", "frame_id", gain.alias("gain")).groupBy("query_id", "frame_id").agg(F.sum("gain").alias("more"), F.count(F.lit(1)).alias("more_hits"))
-    both = whole.join(more, ["query_id", "frame_id"], "left").filter(F.col("hits") + F.coalesce("more_hits", F.lit(0)) == F.col("n_terms")).select("query_id", "frame_id", (F.col("raw") + F.coalesce("more", F.lit(0.0))).alias("raw"))
-    only_common = summed(known.join(n_rare, "query_id", "left_anti")).filter("hits = n_terms").select("query_id", "frame_id", "raw")
-    return {"any": first(narrow.unionByName(wide)), "all": first(both.unionByName(only_common))}
+    return matches(frames, queries, clamped(k), (want,))[want]
 
 
 def text_lane(frames: DataFrame | TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """What full-text search gives: frames with all terms first, then frames with any."""
-    found = matches(frames, queries, k)
+    found = matches(frames, queries, clamped(k))
     return with_fallback(found["all"], found["any"], k)
 
 
@@ -206,7 +128,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine
             return pa.Table.from_batches(parts, schema=_HITS)
 
         found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(meet, out)
-    return top(found, k, F.desc("score"), F.asc("frame_id"))
+    return top(found, k, F.desc("score"), F.asc("frame_id")).withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
 #: Rows that meet the queries at once.
@@ -233,25 +155,40 @@ def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _nearest(queries: dict, rows: dict, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """The k best of a block of rows for each query, in one batch for each length."""
+    """The k best of a block of rows for each query, in one batch for each length.
+
+    A product of matrices, whose last digits depend on a row's place, tells the candidates; their scores are then taken one by one, so that
+    equal vectors have equal scores, and ranked unrounded.
+    """
     for n in queries.keys() & rows.keys():
         (ids, q), (frame, x) = queries[n], rows[n]
-        s = q @ x.T
+        own, length = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+        rough = q @ x.T
         if metric == "cosine":
-            length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
-            s = np.divide(s, length, out=np.zeros_like(s), where=length > 0)
+            both = own[:, None] * length[None]
+            rough = np.divide(rough, both, out=np.zeros_like(rough), where=both > 0)
         elif metric == "l2":
-            s = -((q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None])
-        s = np.round(np.where(np.isfinite(s), s, 0.0), 6) + 0.0
-        best = [np.lexsort((frame, -one))[:k] if len(one) <= 4 * k else _best(one, frame, k) for one in s]
-        who = np.repeat(np.arange(len(ids)), [len(b) for b in best])
-        at = np.concatenate(best) if best else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(frame[at]), pa.array(s[who, at])], schema=_HITS)
-
-
-def _best(score: np.ndarray, frame: np.ndarray, k: int) -> np.ndarray:
-    near = np.flatnonzero(score >= -np.partition(-score, k - 1)[k - 1])
-    return near[np.lexsort((frame[near], -score[near]))[:k]]
+            rough = -((own * own)[:, None] - 2 * rough + (length * length)[None])
+        rough = np.where(np.isfinite(rough), rough, 0.0)
+        slack = 1e-9 * (1.0 + (0.0 if metric == "cosine" else float(np.nanmax(np.abs(rough), initial=0.0))))
+        at, scores = [], []
+        for i, one in enumerate(rough):
+            near = np.arange(len(one)) if len(one) <= k else np.flatnonzero(one >= -np.partition(-one, k - 1)[k - 1] - slack)
+            exact = _scores(q[i], x[near], own[i], length[near], metric)
+            best = np.lexsort((frame[near], -exact))[:k]
+            at.append(near[best])
+            scores.append(exact[best])
+        who = np.repeat(np.arange(len(ids)), [len(b) for b in at])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(frame[np.concatenate(at)]), pa.array(np.concatenate(scores))] if at else [pa.array([], f.type) for f in _HITS], schema=_HITS)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, own: float, length: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        s = -((x - q) ** 2).sum(1)
+    else:
+        s = (x * q).sum(1)
+        s = np.divide(s, own * length, out=np.zeros_like(s), where=own * length > 0) if metric == "cosine" else s
+    return np.where(np.isfinite(s), s, 0.0)
 
 
 # --------------------------------------------------------------- timeline

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text, vectors as vec
 from recollect.operators import fusion, lanes, maintenance
+from recollect.operators.bm25 import UNIT
 from recollect.plans.search import SearchRequest, recall, search, unified
 from recollect.plans.tables import EVENT_FRAMES, MEMORY_FRAMES, event_frames, frames, memory_frames, questions, table, vectors
 from recollect.plans.text_queries import ORACLES as _TEXT
@@ -22,14 +23,14 @@ _GAIN = "greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2
 
 
 def sql_bm25(name: str, k: int, having: str = "") -> str:
-    """Common table ``name`` (query_id, frame_id, score, rank)."""
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, doc_id AS frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
- FROM (SELECT query_id, doc_id, round(sum({_GAIN}), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2 {having})) WHERE rank <= {k})"""
+    """Common table ``name`` (query_id, frame_id, score, rank); sums of whole numbers don't depend on their order."""
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, doc_id AS frame_id, round(raw / {UNIT}.0, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank
+ FROM (SELECT query_id, doc_id, sum(round_even({_GAIN} * {UNIT}.0, 0)::BIGINT) AS raw FROM q JOIN p USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2 {having})) WHERE rank <= {k})"""
 
 
 def sql_knn(name: str, k: int, score: str, queries: str) -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, vec_id AS frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
- FROM (SELECT query_id, vec_id, round({score}, 6) + 0.0 AS score FROM ({queries}) CROSS JOIN (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE embedding IS NOT NULL))) WHERE rank <= {k})"""
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, vec_id AS frame_id, round(raw, 6) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS rank
+ FROM (SELECT query_id, vec_id, {score} AS raw FROM ({queries}) CROSS JOIN (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE embedding IS NOT NULL))) WHERE rank <= {k})"""
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -62,43 +62,75 @@ class _Segments:
         return out if out is not None else self.spark.createDataFrame([], f"{schema}, segment long")
 
 
+#: Frames of a block, about: the unit that block maxima bound.
+BLOCK_FRAMES = 128
+
+
 class TextIndex(_Segments):
-    """Postings (term, frame_id, tf, length) in order of terms, and the frames that they come from."""
+    """Postings (term, block, frame_id, tf, length) in order of terms and blocks, the maxima of each (term, block), and the frames that they come from."""
 
-    POSTINGS, FRAMES = "term string, frame_id long, tf long, length int", "frame_id long, length int"
+    POSTINGS, FRAMES = "term string, block long, frame_id long, tf long, length int", "frame_id long, length int, block long"
+    BLOCKS = "term string, block long, df long, max_tf long, min_length int"
 
-    def add(self, frames: DataFrame, *, seq: tuple[int | None, int | None] = (None, None)) -> int:
+    def add(self, frames: DataFrame, *, seq: tuple[int | None, int | None] = (None, None), folder: str | None = None) -> int:
         """Index frames (frame_id, content); null content removes a frame.  The number of the new segment."""
-        from recollect.operators.lanes import EVERY, postings
-
-        folder = self._folder()
-        every = postings(frames)
-        every.write.parquet(f"{folder}/raw")
-        made = self.spark.read.schema(every.schema).parquet(f"{folder}/raw")
-        rows = made.filter(F.col("term") != EVERY)
-        files = max(1, rows.count() // FILE_POSTINGS)
-        rows.repartitionByRange(files, "term", "frame_id").sortWithinPartitions("term", "frame_id").write.parquet(f"{folder}/postings")
-        gone = frames.filter(F.col("content").isNull()).select(F.col("frame_id").cast("long").alias("frame_id"), F.lit(None).cast("int").alias("length"))
-        made.filter(F.col("term") == EVERY).select("frame_id", "length").unionByName(gone).write.parquet(f"{folder}/frames")
+        from recollect.functions.text import index_words
+
+        folder = folder or self._folder()
+        tokens = frames.filter(F.col("content").isNotNull()).select(F.col("frame_id").cast("long").alias("frame_id"), index_words(F.col("content")).alias("tokens"))
+        # Frames of about equal length share a block, so that its bounds are close.
+        number = F.floor(F.monotonically_increasing_id() / BLOCK_FRAMES)
+        sorted_ = tokens.withColumn("length", F.size("tokens")).sortWithinPartitions("length", "frame_id").withColumn("block", number)
+        made = self._write(sorted_, f"{folder}/raw")
+        gone = frames.filter(F.col("content").isNull()).select(F.col("frame_id").cast("long").alias("frame_id"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("block"))
+        self._write(made.select("frame_id", "length", "block").unionByName(gone), f"{folder}/frames")
+        self._segment(made.select("block", "frame_id", "length", F.explode("tokens").alias("term")).groupBy("term", "block", "frame_id", "length").agg(F.count(F.lit(1)).alias("tf")), folder)
+        self._drop(f"{folder}/raw")
         return self._commit(folder, seq=seq)
 
+    def _segment(self, rows: DataFrame, folder: str) -> None:
+        """Write postings and their maxima."""
+        rows = rows.select("term", "block", "frame_id", F.col("tf").cast("long").alias("tf"), "length")
+        made = self._write(rows, f"{folder}/unsorted")
+        files = max(1, made.count() // FILE_POSTINGS)
+        kept = self._write(made.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block", "frame_id"), f"{folder}/postings")
+        maxima = kept.groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+        self._write(maxima.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term", "block"), f"{folder}/blocks")
+        self._drop(f"{folder}/unsorted")
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def blocks(self, terms: DataFrame) -> DataFrame:
+        """term, segment, block, df, max_tf, min_length of some terms; df counts the frames that count, the maxima bound them."""
+        rows = self._of(self._table("blocks", self.BLOCKS), terms)
+        if len(self.segments()) < 2:
+            return rows
+        # Frames that a newer segment has, or none: their postings don't count.
+        dead = self._table("frames", self.FRAMES).join(self.frames().select("frame_id", "segment"), ["frame_id", "segment"], "left_anti").select("frame_id", "segment")
+        lost = self._of(self._table("postings", self.POSTINGS), terms).join(dead, ["frame_id", "segment"], "left_semi").groupBy("term", "segment", "block").agg(F.count(F.lit(1)).alias("lost"))
+        return rows.join(lost, ["term", "segment", "block"], "left").withColumn("df", F.col("df") - F.coalesce("lost", F.lit(0))).drop("lost").filter("df > 0")
+
+    def opened(self, blocks: DataFrame, terms: DataFrame) -> DataFrame:
+        """term, segment, block, frame_id, tf, length of some blocks (segment, block) and terms, of the frames that count."""
+        rows = self._of(self._table("postings", self.POSTINGS), terms).join(blocks, ["segment", "block"], "left_semi")
+        return rows.join(self.frames().select("frame_id", "segment"), ["frame_id", "segment"], "left_semi") if len(self.segments()) > 1 else rows
+
+    def _of(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
+        few = [r.term for r in terms.select("term").limit(PUSHED_TERMS + 1).collect()]
+        return rows.filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else rows.join(terms.select("term"), "term", "left_semi")
+
     def frames(self) -> DataFrame:
-        """frame_id, length and segment of the frames that count."""
+        """frame_id, length, block and segment of the frames that count."""
         every = self._table("frames", self.FRAMES)
-        newest = every.groupBy("frame_id").agg(F.max_by(F.struct("length", "segment"), "segment").alias("at")) if len(self.segments()) > 1 else every.select("frame_id", F.struct("length", "segment").alias("at"))
-        return newest.select("frame_id", "at.length", "at.segment").filter("length IS NOT NULL")
-
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """term, frame_id, tf, length of the frames that count, one row of the empty term for each of them among these."""
-        rows = self._table("postings", self.POSTINGS)
-        if terms is not None:
-            few = [r.term for r in terms.select("term").limit(PUSHED_TERMS + 1).collect()]
-            rows = rows.filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else rows.join(terms.select("term"), "term", "left_semi")
-        live = self.frames()
         if len(self.segments()) > 1:
-            rows = rows.join(live.select("frame_id", "segment"), ["frame_id", "segment"], "left_semi")
-        every = live.select(F.lit("").alias("term"), "frame_id", F.lit(1).cast("long").alias("tf"), "length")
-        return rows.select("term", "frame_id", "tf", "length").unionByName(every)
+            every = every.groupBy("frame_id").agg(F.max_by(F.struct("length", "block", "segment"), "segment").alias("at")).select("frame_id", "at.*")
+        return every.filter("length IS NOT NULL").select("frame_id", "length", "block", "segment")
 
     def compact(self) -> bool:
         """Make one segment of all, if there are several; whether anything was written."""
@@ -106,10 +138,13 @@ class TextIndex(_Segments):
         if len(seen) < 2:
             return False
         folder = self._folder()
-        rows = self.postings().filter("term <> ''")
-        files = max(1, rows.count() // FILE_POSTINGS)
-        rows.repartitionByRange(files, "term", "frame_id").sortWithinPartitions("term", "frame_id").write.parquet(f"{folder}/postings")
-        self.frames().select("frame_id", "length").write.parquet(f"{folder}/frames")
+        # Blocks of all segments are made anew, of frames of about equal length.
+        numbered = self.frames().repartition(F.col("frame_id")).sortWithinPartitions("length", "frame_id").select("frame_id", "length", "segment", F.floor(F.monotonically_increasing_id() / BLOCK_FRAMES).alias("block"))
+        live = self._write(numbered, f"{folder}/numbered")
+        self._write(live.select("frame_id", "length", "block"), f"{folder}/frames")
+        rows = self._table("postings", self.POSTINGS).drop("block", "length").join(live, ["frame_id", "segment"])
+        self._segment(rows, folder)
+        self._drop(f"{folder}/numbered")
         self._commit(folder, seq=(seen[0].first_seq, seen[-1].last_seq), replaces=seen[-1].segment)
         return True
 

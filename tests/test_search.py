@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from recollect import session
 from recollect.functions import text
 from recollect.functions.tokens import BytePairs, WordPieces
-from recollect.operators import context, facts, fusion, lanes, library, media
+from recollect.operators import bm25, context, facts, fusion, lanes, library, media
 from recollect.plans.search import SearchRequest, unified
+from recollect.sources import index as index_module
 from recollect.sources.index import IndexRuleError, TextIndex, VectorIndex
 
 
@@ -34,26 +35,90 @@ def plain_bm25(rows, terms, need_all):
     for i, d in docs.items():
         hits = [t for t in terms if t in d]
         if hits and (not need_all or len(hits) == len(terms)):
-            out.append((round(sum(max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for t in hits), 6), i))
-    return [(i, s) for s, i in sorted(out, key=lambda x: (-x[0], x[1]))]
+            out.append((sum(round(max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) * 2**40) for t in hits), i))
+    return [(i, round(s / 2**40, 6)) for s, i in sorted(out, key=lambda x: (-x[0], x[1]))]
 
 
-@pytest.mark.parametrize("pruned", [False, True])
+def hits_of(df):
+    got = {}
+    for x in sorted(df.collect(), key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append((x.frame_id, x.score))
+    return got
+
+
+def same_hits(got, rows, queries, k, need_all):
+    for query, terms in queries:
+        want = plain_bm25(rows, terms, need_all)[:k]
+        assert [i for i, _ in got.get(query, [])] == [i for i, _ in want]
+        assert [s for _, s in got.get(query, [])] == pytest.approx([s for _, s in want], abs=2e-6)
+
+
+@pytest.mark.parametrize("path", ["batch", "small blocks", "joined", "index"])
 @pytest.mark.parametrize("need_all", [False, True])
-def test_bm25_is_exact(spark, monkeypatch, pruned, need_all):
-    """With and without looking up common terms for candidates only."""
-    if pruned:
-        monkeypatch.setattr(lanes, "PRUNE_FRAMES", 0)
+def test_bm25_is_exact(spark, monkeypatch, tmp_path, path, need_all):
+    """All paths rank alike, and as the plain version does."""
     rows = corpus()
     f = spark.createDataFrame(rows, "frame_id long, content string")
     q = spark.createDataFrame(QUERIES, "query_id long, terms array<string>")
-    got = {}
-    for x in lanes.bm25(f, q, 7, need_all=need_all).orderBy("query_id", "rank").collect():
-        got.setdefault(x.query_id, []).append((x.frame_id, x.score))
-    for query, terms in QUERIES:
-        want = plain_bm25(rows, terms, need_all)[:7]
-        assert [s for _, s in got.get(query, [])] == pytest.approx([s for _, s in want], abs=2e-6)
-        assert [i for i, _ in got.get(query, [])] == [i for i, _ in want]
+    if path == "small blocks":
+        monkeypatch.setattr(bm25, "CELLS", 17)
+    if path == "joined":
+        monkeypatch.setattr(bm25, "BATCH_TERMS", 1)
+    if path == "index":
+        monkeypatch.setattr(index_module, "BLOCK_FRAMES", 4)
+        index = TextIndex(spark, str(tmp_path / "i"))
+        index.add(f)
+        f = index
+    same_hits(hits_of(lanes.bm25(f, q, 7, need_all=need_all)), rows, QUERIES, 7, need_all)
+
+
+def adversarial():
+    """One term in just under half of the frames, fifteen terms in all others: what only common terms find may still come first."""
+    n = 2001
+    return [(i, " ".join(f"c{j}" for j in range(15)) + " " + " ".join(["pad"] * 40)) if i < 1001 else (i, "half") for i in range(n)], [(1, ["half", *(f"c{j}" for j in range(15))]), (2, ["half"]), (3, ["c1", "pad"])]
+
+
+@pytest.mark.parametrize("path", ["batch", "joined", "index"])
+def test_common_terms_count(spark, monkeypatch, tmp_path, path):
+    rows, queries = adversarial()
+    f = spark.createDataFrame(rows, "frame_id long, content string")
+    if path == "joined":
+        monkeypatch.setattr(bm25, "BATCH_TERMS", 1)
+    if path == "index":
+        monkeypatch.setattr(index_module, "BLOCK_FRAMES", 16)
+        index = TextIndex(spark, str(tmp_path / "i"))
+        index.add(f)
+        f = index
+    got = hits_of(lanes.bm25(f, spark.createDataFrame(queries, "query_id long, terms array<string>"), 3))
+    same_hits(got, rows, queries, 3, False)
+    assert [i for i, _ in got[1]] == [1001, 1002, 1003]
+
+
+def test_scores_are_ranked_before_they_are_rounded(spark):
+    """Frames whose scores are equal to six digits are in their true order."""
+    rows = [(i, "x " + "y " * (1_000_000 - i)) for i in range(3)] + [(i, "z") for i in range(5, 9)]
+    got = hits_of(lanes.bm25(spark.createDataFrame(rows, "frame_id long, content string"), spark.createDataFrame([(1, ["x"])], "query_id long, terms array<string>"), 5))
+    assert [i for i, _ in got[1]] == [2, 1, 0] and len({s for _, s in got[1]}) == 1
+    v = spark.createDataFrame([(1, [1.0, 1e-4]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "frame_id long, embedding array<double>")
+    near = lanes.knn(v, spark.createDataFrame([(5, [1.0, 0.0])], "query_id long, embedding array<double>"), 3)
+    assert [(r.frame_id, r.score) for r in near.orderBy("rank").collect()] == [(2, 1.0), (3, 1.0), (1, 1.0)]
+
+
+def test_block_maxima_leave_blocks_closed(spark, tmp_path, monkeypatch):
+    """Blocks that can't reach the k-th score aren't opened, and the result is that of all."""
+    monkeypatch.setattr(index_module, "BLOCK_FRAMES", 8)
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["rare"] if r.random() < 0.001 else ["a", "b", "c", "d"]) for _ in range(r.randrange(5, 60)))) for i in range(3000)]
+    index = TextIndex(spark, str(tmp_path / "i"))
+    index.add(spark.createDataFrame(rows[:1800], "frame_id long, content string"))
+    index.add(spark.createDataFrame(rows[1500:], "frame_id long, content string"))
+    queries = [(1, ["rare", "a"]), (2, ["a"]), (3, ["b", "c", "absent"])]
+    q = spark.createDataFrame(queries, "query_id long, terms array<string>")
+    same_hits(hits_of(lanes.bm25(index, q, 10)), rows, queries, 10, False)
+    opened = {x.query_id: x.opened / x.blocks for x in bm25.by_blocks(index, q, 10)[1].collect()}
+    assert opened[1] < 0.5, opened
+    assert index.compact()
+    same_hits(hits_of(lanes.bm25(index, q, 10, need_all=True)), rows, queries, 10, True)
 
 
 def test_marks_are_folded(spark):
