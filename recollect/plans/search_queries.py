@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text, vectors as vec
 from recollect.operators import fusion, lanes, maintenance
 from recollect.operators.bm25 import UNIT
+from recollect.operators.boolean import boolean
 from recollect.plans.search import SearchRequest, recall, search, unified
 from recollect.plans.tables import EVENT_FRAMES, MEMORY_FRAMES, event_frames, frames, memory_frames, questions, table, vectors
 from recollect.plans.text_queries import ORACLES as _TEXT
 from recollect.plans.text_queries import sql_words
+from recollect.session import staging_dir
+from recollect.sources.index import TextIndex
 
 K = 10
 
@@ -54,6 +59,60 @@ def text_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return lanes.phrase_hits(frames(spark, sf), asked)
 
 
+def text_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over an index, built for the query, by block maxima."""
+    index = TextIndex(spark, f"{staging_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.add(frames(spark, sf).select("frame_id", "content"))
+    return lanes.bm25(index, _terms(spark, sf), K)
+
+
+def _written(spark: SparkSession, sf: str, query) -> DataFrame:
+    """Queries made of the words of each benchmark item."""
+    asked = questions(spark, sf).select("query_id", text.index_words(F.col("query")).alias("w")).filter(F.size("w") >= 6)
+    return asked.select("query_id", query(lambda i: F.get("w", F.lit(i))).alias("query"))
+
+
+def text_boolean(spark: SparkSession, sf: str) -> DataFrame:
+    """A word, a phrase and a word that must not occur; or a word and a prefix."""
+    query = lambda w: F.concat(w(0), F.lit(' AND "'), w(1), F.lit(" "), w(2), F.lit('" NOT '), w(5), F.lit(" OR "), w(3), F.lit(" "), F.substring(w(4), 1, 3), F.lit("*"))
+    return boolean(frames(spark, sf), _written(spark, sf, query), K)
+
+
+def text_near(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the third word, with at most two words between them."""
+    return boolean(frames(spark, sf), _written(spark, sf, lambda w: F.concat(w(0), F.lit(" NEAR/2 "), w(2))), K)
+
+
+def text_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """How many frames each beginning of a question's second word is found in."""
+    found = boolean(frames(spark, sf), _written(spark, sf, lambda w: F.concat(F.substring(w(1), 1, 4), F.lit("*"))))
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("frames"), F.min("frame_id").alias("first"), F.max("frame_id").alias("last"))
+
+
+_WRITTEN = f"words AS (SELECT item_id AS query_id, w FROM (SELECT item_id, {sql_words('strip_accents(lower(text))')} AS w FROM benchmark) WHERE len(w) >= 6)"
+_PLACES = f"""w AS (SELECT doc_id, {sql_words('strip_accents(lower(text))')} AS w FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+ places AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w), p AS (SELECT doc_id, term, count(*) AS tf, any_value(len(w)) AS dl FROM places JOIN w USING (doc_id) GROUP BY 1, 2),
+ df AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"""
+
+
+def _ranked_hits(terms: str) -> str:
+    return f"""q AS (SELECT query_id, unnest(list_distinct({terms})) AS term FROM words), r AS (SELECT h.query_id, h.doc_id AS frame_id, coalesce(sum(round_even({_GAIN} * {UNIT}.0, 0)::BIGINT), 0) AS raw
+ FROM hits h CROSS JOIN st JOIN q USING (query_id) LEFT JOIN p ON p.doc_id = h.doc_id AND p.term = q.term LEFT JOIN df ON df.term = q.term GROUP BY 1, 2)
+ SELECT * FROM (SELECT query_id, frame_id, round(raw / {UNIT}.0, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, frame_id) AS rank FROM r) WHERE rank <= {K}"""
+
+
+_BOOLEAN = f"""WITH {_WRITTEN}, {_PLACES}, a AS (SELECT query_id, doc_id FROM words JOIN p ON term = w[1] JOIN (SELECT x.query_id, x.doc_id FROM
+ (SELECT DISTINCT query_id, doc_id FROM words JOIN places y ON y.term = w[2] JOIN places z USING (doc_id) WHERE z.term = w[3] AND z.pos = y.pos + 1) x) USING (query_id, doc_id)
+ WHERE NOT EXISTS (SELECT 1 FROM p x WHERE x.doc_id = p.doc_id AND x.term = w[6])),
+ b AS (SELECT DISTINCT query_id, p.doc_id FROM words JOIN p ON p.term = w[4] JOIN p y ON y.doc_id = p.doc_id AND starts_with(y.term, substr(w[5], 1, 3))),
+ hits AS (SELECT * FROM a UNION SELECT * FROM b), {_ranked_hits("w[1:4]")}"""
+_NEAR = f"""WITH {_WRITTEN}, {_PLACES}, hits AS (SELECT DISTINCT query_id, doc_id FROM words JOIN places x ON x.term = w[1] JOIN places y USING (doc_id) WHERE y.term = w[3] AND abs(x.pos - y.pos) <= 3),
+ {_ranked_hits("[w[1], w[3]]")}"""
+_PREFIX = f"""WITH {_WRITTEN}, {_PLACES}, b AS (SELECT DISTINCT substr(w[2], 1, 4) AS s FROM words), v AS (SELECT s, doc_id FROM b JOIN p ON starts_with(term, s) GROUP BY ALL),
+ f AS (SELECT s, count(*) AS frames, min(doc_id) AS first, max(doc_id) AS last FROM v GROUP BY 1)
+ SELECT query_id, frames, first, last FROM words JOIN f ON s = substr(w[2], 1, 4)"""
+
+
 def _every(spark: SparkSession, sf: str, step: int = 25) -> DataFrame:
     v = vectors(spark, sf)
     return v.filter(F.col("frame_id") % step == 0).select(F.col("frame_id").alias("query_id"), "embedding")
@@ -276,10 +335,14 @@ _UNIFIED_FALLBACK = f"""WITH {MEMORY_FRAMES}, {_TOKENS}, {_POSTINGS}, {sql_lane(
  SELECT query_id, frame_id, position, score, sources FROM hits UNION ALL SELECT item_id, frame_id, position, round(1.0 / (60 + position), 6), 'timeline' FROM benchmark CROSS JOIN newest WHERE item_id NOT IN (SELECT query_id FROM hits) AND trim(coalesce(text, '')) <> ''"""
 
 
-QUERIES = {f.__name__: f for f in (unified_text, unified_vector, unified_hybrid, unified_fallback, session_scoped_search, text_bm25_topk, text_bm25_and, text_or_fallback_merge, text_phrase, vector_knn_cosine, vector_knn_dot, vector_knn_l2, vector_math, vector_label_recall_at_k, hybrid_rrf, hybrid_post_filter, hybrid_alpha_sweep, hybrid_rrf_diagnostics, timeline_range, timeline_fallback, snippet_highlights, rerank_head, recall_context)}
+QUERIES = {f.__name__: f for f in (unified_text, unified_vector, unified_hybrid, unified_fallback, session_scoped_search, text_bm25_topk, text_bm25_and, text_indexed_topk, text_boolean, text_near, text_prefix, text_or_fallback_merge, text_phrase, vector_knn_cosine, vector_knn_dot, vector_knn_l2, vector_math, vector_label_recall_at_k, hybrid_rrf, hybrid_post_filter, hybrid_alpha_sweep, hybrid_rrf_diagnostics, timeline_range, timeline_fallback, snippet_highlights, rerank_head, recall_context)}
 ORACLES = {
     "text_bm25_topk": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K)} SELECT query_id, frame_id, score, rank FROM r",
     "text_bm25_and": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K, 'HAVING count(*) = any_value(nt)')} SELECT query_id, frame_id, score, rank FROM r",
+    "text_indexed_topk": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K)} SELECT query_id, frame_id, score, rank FROM r",
+    "text_boolean": _BOOLEAN,
+    "text_near": _NEAR,
+    "text_prefix": _PREFIX,
     "text_or_fallback_merge": f"""WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('a', K, 'HAVING count(*) = any_value(nt)')}, {sql_bm25('b', K)},
  u AS (SELECT query_id, frame_id, score, 0 AS src, rank AS r FROM a UNION ALL SELECT query_id, frame_id, score, 1, rank FROM b WHERE NOT EXISTS (FROM a WHERE a.query_id = b.query_id AND a.frame_id = b.frame_id))
  SELECT query_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY src, r) AS rank FROM u QUALIFY rank <= {K}""",

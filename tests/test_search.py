@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -13,6 +15,7 @@ from recollect import session
 from recollect.functions import text
 from recollect.functions.tokens import BytePairs, WordPieces
 from recollect.operators import bm25, context, facts, fusion, lanes, library, media
+from recollect.operators.boolean import boolean
 from recollect.plans.search import SearchRequest, unified
 from recollect.sources import index as index_module
 from recollect.sources.index import IndexRuleError, TextIndex, VectorIndex
@@ -283,3 +286,47 @@ def test_small_tables_are_spread(spark):
     df = spark.range(100).coalesce(1)
     assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(x.id for x in session.spread(df).collect()) == list(range(100))
+
+
+# ------------------------------------------------------------ query syntax
+def plain_boolean(query, docs):
+    """Frames that a written query finds, clause by clause."""
+    def words(t):
+        return re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)))
+
+    def holds(clause, w):
+        if m := re.fullmatch(r"(\S+) NEAR(?:/(\d+))? (\S+)", clause):
+            a, b = words(m[1])[0], words(m[3])[0]
+            return any(x == a and y == b and (a == b or abs(i - j) - 1 <= int(m[2] or 10)) for i, x in enumerate(w) for j, y in enumerate(w))
+        c = words(clause)
+        if clause.endswith("*"):
+            return any(x.startswith(c[0]) for x in w)
+        return any(w[i : i + len(c)] == c for i in range(len(w)))
+
+    found = set()
+    for i, text_ in docs:
+        w = words(text_ or "")
+        for group in re.split(r"\s+OR\s+", query):
+            parts = re.findall(r'-?(?:"[^"]*"|\S+ NEAR\S* \S+|[^\s"]+)', re.sub(r"\bNOT ", "-", re.sub(r"\bAND ", "", group)))
+            parts = [x for x in parts if words(x)]
+            must = [x for x in parts if not x.startswith("-")]
+            if text_ is not None and must and all(holds(x, w) for x in must) and not any(holds(x[1:], w) for x in parts if x.startswith("-")):
+                found.add(i)
+    return found
+
+
+def test_written_queries(spark):
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choice(["red", "Blue", "green", "grün", "bl", "e-mail", "x1"]) for _ in range(r.randrange(1, 12)))) for i in range(80)] + [(90, None), (91, ""), (92, "red"), (92, "red")]
+    queries = ["red", "red AND blue", "red blue NOT green", 'red "blue green"', '-"blue green" red', "bl*", "bl* NOT blue", "red NEAR/1 x1", "x1 NEAR red", "red NEAR/0 blue OR grun NEAR/2 x1", "e-mail", 'red OR "bl bl" OR missing', "-red", "", "red NEAR/3 red", "BLUE grün*", '"red blue red"']
+    f = spark.createDataFrame(docs, "frame_id long, content string")
+    q = spark.createDataFrame([*enumerate(queries), (99, None)], "query_id long, query string")
+    got = {}
+    for x in boolean(f, q).collect():
+        got.setdefault(x.query_id, set()).add(x.frame_id)
+    for i, query in enumerate(queries):
+        assert got.get(i, set()) == plain_boolean(query, docs), query
+    assert 99 not in got
+    first = boolean(f, q, 2).filter("query_id = 0").orderBy("rank").collect()
+    assert [x.rank for x in first] == [1, 2] and first[0].score >= first[1].score
+    assert boolean(f.limit(0), q).collect() == [] and boolean(f, q.limit(0)).collect() == []
