@@ -14,9 +14,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of a text that are looked at; what follows isn't counted.
-MOST_BYTES = 8 << 20
-
 _CODERS: dict[str, object] = {}
 
 
@@ -26,12 +23,6 @@ def _once(key: str, make):
     return _CODERS[key]
 
 
-def _capped(text: str | None) -> str:
-    if not text or len(text) <= MOST_BYTES // 4:
-        return text or ""
-    return text.encode()[:MOST_BYTES].decode("utf-8", "ignore")
-
-
 class BytePairs:
     """A byte-pair vocabulary: the content of a rank file and the pattern that cuts texts."""
 
@@ -59,7 +50,7 @@ class BytePairs:
         @F.pandas_udf("array<int>")
         def encode(texts: pd.Series) -> pd.Series:
             coder = self.coder()
-            return pd.Series([coder.encode_ordinary(_capped(t)) for t in texts], dtype=object)
+            return pd.Series([coder.encode_ordinary(t or "") for t in texts], dtype=object)
 
         return encode(text)
 
@@ -67,7 +58,7 @@ class BytePairs:
         @F.pandas_udf("int")
         def counted(texts: pd.Series) -> pd.Series:
             coder = self.coder()
-            return pd.Series([len(coder.encode_ordinary(_capped(t))) for t in texts], dtype="int32")
+            return pd.Series([len(coder.encode_ordinary(t or "")) for t in texts], dtype="int32")
 
         return counted(text)
 
@@ -88,7 +79,7 @@ class BytePairs:
         def cut(texts: pd.Series) -> pd.Series:
             coder, out = self.coder(), []
             for t in texts:
-                ids = coder.encode_ordinary(_capped(t))
+                ids = coder.encode_ordinary(t or "")
                 out.append(t if len(ids) <= most else coder.decode_bytes(ids[:most]).decode("utf-8", "ignore"))
             return pd.Series(out, dtype=object)
 

@@ -109,19 +109,20 @@ _SENTENCE = f"""WITH l AS (SELECT conv_id, arg_max(text, turn) AS query FROM con
 
 
 def answer_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers to questions about customers, from sentences made of orders, suppliers and nations."""
-    n = table(spark, sf, "nation")
-    name = F.initcap(F.translate(F.col("n_name"), "_0123456789", "xabcdefghij"))
-    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("n_nationkey")), "MMMM d, yyyy")
-    items = F.array(F.concat(name, F.lit(" owns deployment readiness. The public launch is "), day, F.lit(".")), F.concat(F.lit("Last year "), name, F.lit(" moved to Seattle and is allergic to peanuts.")))
-    each = n.select(F.col("n_nationkey").cast("long").alias("key"), name.alias("name"), F.posexplode(items).alias("position", "content"))
-    asks = F.array(F.concat(F.lit("Who owns readiness and when is the launch of "), F.col("name"), F.lit("?")), F.concat(F.lit("Which city did "), F.col("name"), F.lit(" move to?")), F.concat(F.lit("What is "), F.col("name"), F.lit(" allergic to?")))
-    asked = each.select("key", "position", "content", F.posexplode(asks).alias("which", "query"))
-    return answers.answers(asked.select((F.col("key") * 10 + F.col("which")).alias("query_id"), "query", "content", "position", F.lit(0.0).alias("score")))
-
-
-_ANSWER = """WITH n AS (SELECT n_nationkey::bigint AS k, translate(n_name, '_0123456789', 'xabcdefghij') AS raw FROM nation), m AS (SELECT k, upper(raw[1]) || lower(raw[2:]) AS name, strftime(DATE '2026-01-01' + k::int, '%B %-d, %Y') AS day FROM n)
- SELECT k * 10 AS query_id, name || ' and ' || day AS answer FROM m UNION ALL SELECT k * 10 + 1, 'Seattle' FROM m UNION ALL SELECT k * 10 + 2, 'allergic to peanuts' FROM m"""
+    """Answers to three questions about each customer with orders, from sentences made of its name, nation, segment and last order."""
+    letters = lambda c: F.initcap(F.translate(F.col(c), "#_0123456789", "xxabcdefghij"))
+    last = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), letters("n_name").alias("city"))
+    who = table(spark, sf, "customer").join(last, "c_custkey").join(nations, "c_nationkey").select(F.col("c_custkey").cast("long").alias("key"), letters("c_name").alias("name"), "city", F.lower("c_mktsegment").alias("segment"), F.date_format("last", "MMMM d, yyyy").alias("day"))
+    said = F.array(F.concat("name", F.lit(" owns deployment readiness. The public launch is "), "day", F.lit(".")), F.concat(F.lit("Last year "), "name", F.lit(" moved to "), "city", F.lit(" and is allergic to "), "segment", F.lit(".")))
+    asks = F.array(F.concat(F.lit("Who owns readiness and when is the launch of "), "name", F.lit("?")), F.concat(F.lit("Which city did "), "name", F.lit(" move to?")), F.concat(F.lit("What is "), "name", F.lit(" allergic to?")))
+    each = who.select("key", "name", F.posexplode(said).alias("position", "content"), asks.alias("asks")).select("key", "position", "content", F.posexplode("asks").alias("which", "query"))
+    return answers.answers(each.select((F.col("key") * 10 + F.col("which")).alias("query_id"), "query", "content", "position", F.lit(0.0).alias("score")))
+
+
+_ANSWER = """WITH l AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1), c AS (SELECT c_custkey::bigint AS k, translate(c_name, '#_0123456789', 'xxabcdefghij') AS raw, translate(n_name, '#_0123456789', 'xxabcdefghij') AS place,
+ lower(c_mktsegment) AS segment, strftime(last, '%B %-d, %Y') AS day FROM customer JOIN l ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey), m AS (SELECT *, upper(raw[1]) || lower(raw[2:]) AS name, upper(place[1]) || lower(place[2:]) AS city FROM c)
+ SELECT k * 10 AS query_id, name || ' and ' || day AS answer FROM m UNION ALL SELECT k * 10 + 1, city FROM m UNION ALL SELECT k * 10 + 2, 'allergic to ' || segment FROM m"""
 
 
 def segment_windows(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import dates, scores
 from recollect.operators import context, facts, fusion, maintenance
-from recollect.plans.tables import EVENT_FRAMES, event_frames, frames, table
+from recollect.plans.tables import EVENT_FRAMES, event_frames, frames, questions, table
 from recollect.plans.text_queries import sql_words
 from recollect.sources import files
 from recollect.sources import frames as log
@@ -153,13 +153,29 @@ _PIT = f"""WITH {_SPANS}, l AS (SELECT l_orderkey, l_linenumber, o_custkey, epoc
  SELECT l_orderkey, l_linenumber, fact_id, o_orderstatus AS object_text FROM l JOIN sp USING (o_custkey) WHERE vf <= ship AND (vt IS NULL OR vt > ship)"""
 
 
+def _capitalised(text):
+    """The words between blanks that are a capital and small ASCII letters."""
+    return F.filter(F.split(text, "[ \t\n\r]+"), lambda w: w.rlike("^[A-Z][a-z]{2,}$"))
+
+
+def _named_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Aliases and entities: every capitalised ASCII word of the documents names a term."""
+    word = table(spark, sf, "documents").select(F.explode(F.array_distinct(_capitalised(F.col("text")))).alias("word")).distinct()
+    entity = word.select(F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("long").alias("entity_id"), F.concat(F.lit("term:"), F.lower("word")).alias("key"), F.lit("term").alias("kind"), facts.alias_key(F.col("word")).alias("alias_norm"))
+    return entity.select("entity_id", "alias_norm"), entity.select("entity_id", "key", "kind")
+
+
 def entity_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations by alias: their names in other case with blanks."""
-    n = table(spark, sf, "nation")
-    entity = n.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.concat(F.lit("nation:"), F.lower("n_name")).alias("key"), F.lit("nation").alias("kind"))
-    alias = n.select(F.col("n_nationkey").cast("long").alias("entity_id"), facts.alias_key(F.col("n_name")).alias("alias_norm"))
-    asked = n.select(F.col("n_regionkey").cast("long").alias("query_id"), F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")).alias("alias"))
-    return facts.resolve(alias, entity, asked)
+    """The terms that the capitalised words of each benchmark item name, however they are written."""
+    alias, entity = _named_terms(spark, sf)
+    said = questions(spark, sf).select("query_id", F.explode(_capitalised(F.col("query"))).alias("word"))
+    return facts.resolve(alias, entity, said.select("query_id", F.concat(F.lit("  "), F.upper("word"), F.lit(" ")).alias("alias")))
+
+
+_CAPITALISED = r"list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}'))"
+_NAMED = f"""e AS (SELECT ('0x' || substr(md5(word), 1, 15))::BIGINT AS entity_id, 'term:' || lower(word) AS key, lower(word) AS alias FROM (SELECT DISTINCT unnest({_CAPITALISED}) AS word FROM documents))"""
+_RESOLVE = f"""WITH {_NAMED}, q AS (SELECT DISTINCT item_id AS query_id, lower(word) AS alias FROM (SELECT item_id, unnest({_CAPITALISED}) AS word FROM benchmark))
+ SELECT DISTINCT query_id, entity_id, key, 'term' AS kind FROM q JOIN e USING (alias)"""
 
 
 def entity_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,16 +228,14 @@ _EVIDENCE = f"""WITH {_SPANS}, held AS (SELECT * FROM sp WHERE vt IS NULL AND st
 
 
 def structured_lane(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities that benchmark questions name, where every document word of a question may be an alias of a nation."""
-    n = table(spark, sf, "nation")
-    entity = n.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.concat(F.lit("nation:"), F.lower("n_name")).alias("key"))
-    alias = n.select(F.col("n_nationkey").cast("long").alias("entity_id"), facts.alias_key(F.regexp_replace("n_name", "[^A-Za-z0-9]", "")).alias("alias_norm"))
-    asked = n.select(F.col("n_regionkey").cast("long").alias("query_id"), F.concat(F.lit("Who owns "), F.initcap(F.regexp_replace("n_name", "[^A-Za-z0-9]", "")), F.lit("?")).alias("query"))
-    return facts.entity_candidates(asked, alias, entity).select("query_id", "entity_id", "key", "match", "place")
+    """Terms that benchmark items name, among all that the documents have."""
+    alias, entity = _named_terms(spark, sf)
+    return facts.entity_candidates(questions(spark, sf), alias, entity).select("query_id", "entity_id", "key", "match", "place")
 
 
-_STRUCTURED = f"""WITH a AS (SELECT n_nationkey::bigint AS entity_id, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS alias, 'nation:' || lower(n_name) AS key FROM nation), q AS (SELECT n_regionkey::bigint AS query_id, lower('Who owns ' || regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g') || '?') AS query FROM nation),
- m AS (SELECT query_id, entity_id, key, 1 AS match, length(alias) AS long FROM q JOIN a ON list_contains({sql_words('query')}, alias) GROUP BY ALL)
+_STRUCTURED = rf"""WITH {_NAMED}, q AS (SELECT item_id AS query_id, text, list_transform({sql_words('text')}, lambda w: strip_accents(w)) AS w FROM benchmark),
+ u AS (SELECT query_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS alias, 0 AS match FROM q UNION ALL SELECT query_id, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 2))), 1 FROM q),
+ m AS (SELECT query_id, entity_id, key, min(match) AS match, max(length(alias)) AS long FROM u JOIN e USING (alias) GROUP BY ALL)
  SELECT query_id, entity_id, key, match, row_number() OVER (PARTITION BY query_id ORDER BY match, long DESC, key) AS place FROM m QUALIFY place <= 24"""
 
 
@@ -349,7 +363,7 @@ ORACLES = {
     "facts_as_of": _ASOF,
     "facts_ordered": _ORDERED,
     "facts_point_in_time_join": _PIT,
-    "entity_resolve": "SELECT DISTINCT n_regionkey::bigint AS query_id, n_nationkey::bigint AS entity_id, 'nation:' || lower(n_name) AS key, 'nation' AS kind FROM nation",
+    "entity_resolve": _RESOLVE,
     "entity_upsert": _UPSERT,
     "fact_dedupe": _DEDUPE,
     "fact_retract": _RETRACT,
