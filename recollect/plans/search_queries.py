@@ -16,6 +16,7 @@ from recollect.plans.tables import EVENT_FRAMES, MEMORY_FRAMES, event_frames, fr
 from recollect.plans.text_queries import ORACLES as _TEXT
 from recollect.plans.text_queries import sql_words
 from recollect.session import staging_dir
+from recollect.sources.graph import VectorGraph
 from recollect.sources.index import TextIndex
 
 K = 10
@@ -134,6 +135,12 @@ def vector_knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     return lanes.knn(vectors(spark, sf), _every(spark, sf), K, metric="l2")
 
 
+def vector_graph_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by walks over proximity graphs, with the recall that calibration measured and the distances that each walk took."""
+    graph = VectorGraph(vectors(spark, sf), k=K)
+    return graph.search(_every(spark, sf)).withColumn("vectors", F.lit(graph.n))
+
+
 def vector_math(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector against the next one."""
     v = vectors(spark, sf)
@@ -335,7 +342,7 @@ _UNIFIED_FALLBACK = f"""WITH {MEMORY_FRAMES}, {_TOKENS}, {_POSTINGS}, {sql_lane(
  SELECT query_id, frame_id, position, score, sources FROM hits UNION ALL SELECT item_id, frame_id, position, round(1.0 / (60 + position), 6), 'timeline' FROM benchmark CROSS JOIN newest WHERE item_id NOT IN (SELECT query_id FROM hits) AND trim(coalesce(text, '')) <> ''"""
 
 
-QUERIES = {f.__name__: f for f in (unified_text, unified_vector, unified_hybrid, unified_fallback, session_scoped_search, text_bm25_topk, text_bm25_and, text_indexed_topk, text_boolean, text_near, text_prefix, text_or_fallback_merge, text_phrase, vector_knn_cosine, vector_knn_dot, vector_knn_l2, vector_math, vector_label_recall_at_k, hybrid_rrf, hybrid_post_filter, hybrid_alpha_sweep, hybrid_rrf_diagnostics, timeline_range, timeline_fallback, snippet_highlights, rerank_head, recall_context)}
+QUERIES = {f.__name__: f for f in (unified_text, unified_vector, unified_hybrid, unified_fallback, session_scoped_search, text_bm25_topk, text_bm25_and, text_indexed_topk, text_boolean, text_near, text_prefix, text_or_fallback_merge, text_phrase, vector_knn_cosine, vector_knn_dot, vector_knn_l2, vector_graph_knn, vector_math, vector_label_recall_at_k, hybrid_rrf, hybrid_post_filter, hybrid_alpha_sweep, hybrid_rrf_diagnostics, timeline_range, timeline_fallback, snippet_highlights, rerank_head, recall_context)}
 ORACLES = {
     "text_bm25_topk": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K)} SELECT query_id, frame_id, score, rank FROM r",
     "text_bm25_and": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K, 'HAVING count(*) = any_value(nt)')} SELECT query_id, frame_id, score, rank FROM r",

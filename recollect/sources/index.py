@@ -1,14 +1,22 @@
 """Indexes of texts and vectors that outlive a query: folders of segments.
 
-A writer adds a segment for new or changed frames, then its manifest row; readers take the segments that have
-one, so a write that was cut short is never seen.  Of a frame that is in several segments the newest counts, and
-a frame without content (or without a vector) is gone.  :meth:`compact` makes one segment of all.
+A writer adds a segment for new or changed frames, then its manifest entry: a file named by the segment's number, made only if there is none
+of that name.  Of two writers that want one number, the second takes the next, so a commit is never lost; readers take the segments that
+have an entry, so a write that was cut short is never seen.  A micro-batch of a stream commits under its name and number, once: a retry
+finds them and writes nothing.  Of a frame that is in several segments the newest counts, and a frame without content (or without a vector)
+is gone.  :meth:`compact` makes one segment of all, which stands where the last of them stood, so what others add meanwhile is newer;
+:meth:`vacuum` removes what no reader needs any more.
+
+The shared file system must make a file only where there is none (HDFS and local ones do).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,44 +30,118 @@ class IndexRuleError(ValueError):
     """An index's rule is broken: vectors of another dimension, nothing to read."""
 
 
+@dataclass
+class Segment:
+    """A manifest entry; ``batches`` has the last number of each stream that is in the segment or before it."""
+
+    segment: int
+    folder: str
+    first_seq: int | None = None
+    last_seq: int | None = None
+    dimensions: int | None = None
+    replaces: int | None = None
+    batches: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def place(self) -> int:
+        """Where it stands in the order of changes."""
+        return self.segment if self.replaces is None else self.replaces
+
+
 class _Segments:
     """Segments of one kind of rows under a path, with their manifest."""
 
-    MANIFEST = "segment long, folder string, first_seq long, last_seq long, dimensions int, replaces long"
-
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, folder: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _at(self, path: str):
+        """A path and its file system."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def segments(self) -> list:
-        """Manifest rows that count, oldest first: a compacted segment replaces those before it."""
-        if not self._exists(f"{self.path}/manifest"):
+    def _entries(self) -> list[Segment]:
+        folder, fs = self._at(f"{self.path}/manifest")
+        if not fs.exists(folder):
             return []
-        rows = sorted(self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest").collect(), key=lambda r: r.segment)
+        out = []
+        for status in fs.listStatus(folder):
+            if status.getPath().getName().endswith(".json"):
+                stream = fs.open(status.getPath())
+                try:
+                    text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+                if text.endswith("}"):  # else a commit is under way, or was cut short
+                    out.append(Segment(**json.loads(text)))
+        return sorted(out, key=lambda x: x.segment)
+
+    def segments(self) -> list[Segment]:
+        """Entries that count, oldest first: a compacted segment replaces those before it."""
+        rows = self._entries()
         start = max([r.replaces for r in rows if r.replaces is not None], default=-1)
-        return [r for r in rows if r.segment > start]
+        newest = max([r.segment for r in rows if r.replaces == start], default=-1)
+        return sorted([r for r in rows if r.segment == newest or (r.segment > start and r.replaces is None)], key=lambda r: r.place)
 
     def last_seq(self) -> int:
         """The last sequence number that a segment holds, -1 for none."""
         return max([r.last_seq for r in self.segments() if r.last_seq is not None], default=-1)
 
+    def last_batch(self, stream: str) -> int:
+        """The last micro-batch of a stream that is in the index, -1 for none."""
+        return max([r.batches.get(stream, -1) for r in self._entries()], default=-1)
+
     def _folder(self) -> str:
         return f"{self.path}/segments/{uuid.uuid4().hex}"
 
-    def _commit(self, folder: str, *, seq: tuple[int | None, int | None] = (None, None), dimensions: int | None = None, replaces: int | None = None) -> int:
-        number = max([r.segment for r in self.segments()], default=-1) + 1
-        self.spark.createDataFrame([(number, folder, *seq, dimensions, replaces)], self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        return number
+    def _commit(self, folder: str, *, batch: tuple[str, int] | None = None, batches: dict[str, int] | None = None, **entry) -> int | None:
+        """Make the segment count; its number, or None if another writer has committed the batch meanwhile."""
+        number = max([r.segment for r in self._entries()], default=-1) + 1
+        while True:
+            if batch and self.last_batch(batch[0]) >= batch[1]:
+                self._drop(folder)
+                return None
+            made = Segment(number, folder.rsplit("/", 1)[1], batches=batches or ({batch[0]: batch[1]} if batch else {}), **entry)
+            path, fs = self._at(f"{self.path}/manifest/{number:012d}.json")
+            try:
+                stream = fs.create(path, False)
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                number += 1
+                continue
+            try:
+                stream.write(bytearray(json.dumps(asdict(made)).encode()))
+            finally:
+                stream.close()
+            return number
+
+    def vacuum(self) -> int:
+        """Remove the folders of segments that were replaced, and of commits that never came about; how many.  No one may be reading or writing."""
+        folder, fs = self._at(f"{self.path}/segments")
+        known = {r.folder for r in self.segments()}
+        gone = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in known] if fs.exists(folder) else []
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _drop(self, folder: str) -> None:
+        path, fs = self._at(folder)
+        fs.delete(path, True)
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        out = None
-        for r in self.segments():
-            part = self.spark.read.schema(schema).parquet(f"{r.folder}/{name}").withColumn("segment", F.lit(r.segment))
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], f"{schema}, segment long")
+        """Rows of all segments that count, in one scan, with the segment's place."""
+        seen = self.segments()
+        if not seen:
+            return self.spark.createDataFrame([], f"{schema}, segment long")
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/segments/{r.folder}/{name}" for r in seen])
+        if len(seen) == 1:
+            return rows.withColumn("segment", F.lit(seen[0].place).cast("long"))
+        places = F.from_json(F.lit(json.dumps({r.folder: r.place for r in seen})), "map<string,bigint>")
+        return rows.withColumn("segment", F.element_at(places, F.regexp_extract("_metadata.file_path", r"/segments/([0-9a-f]+)/", 1)))
 
 
 #: Frames of a block, about: the unit that block maxima bound.
@@ -72,11 +154,16 @@ class TextIndex(_Segments):
     POSTINGS, FRAMES = "term string, block long, frame_id long, tf long, length int", "frame_id long, length int, block long"
     BLOCKS = "term string, block long, df long, max_tf long, min_length int"
 
-    def add(self, frames: DataFrame, *, seq: tuple[int | None, int | None] = (None, None), folder: str | None = None) -> int:
-        """Index frames (frame_id, content); null content removes a frame.  The number of the new segment."""
+    def add(self, frames: DataFrame, *, seq: tuple[int | None, int | None] = (None, None), batch: tuple[str, int] | None = None) -> int | None:
+        """Index frames (frame_id, content); null content removes a frame.  The number of the new segment.
+
+        With ``batch``, the name of a stream and the number of its micro-batch: None, and nothing is done, if the index has it.
+        """
         from recollect.functions.text import index_words
 
-        folder = folder or self._folder()
+        if batch and self.last_batch(batch[0]) >= batch[1]:
+            return None
+        folder = self._folder()
         tokens = frames.filter(F.col("content").isNotNull()).select(F.col("frame_id").cast("long").alias("frame_id"), index_words(F.col("content")).alias("tokens"))
         # Frames of about equal length share a block, so that its bounds are close.
         number = F.floor(F.monotonically_increasing_id() / BLOCK_FRAMES)
@@ -86,7 +173,7 @@ class TextIndex(_Segments):
         self._write(made.select("frame_id", "length", "block").unionByName(gone), f"{folder}/frames")
         self._segment(made.select("block", "frame_id", "length", F.explode("tokens").alias("term")).groupBy("term", "block", "frame_id", "length").agg(F.count(F.lit(1)).alias("tf")), folder)
         self._drop(f"{folder}/raw")
-        return self._commit(folder, seq=seq)
+        return self._commit(folder, first_seq=seq[0], last_seq=seq[1], batch=batch)
 
     def _segment(self, rows: DataFrame, folder: str) -> None:
         """Write postings and their maxima."""
@@ -98,14 +185,6 @@ class TextIndex(_Segments):
         self._write(maxima.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term", "block"), f"{folder}/blocks")
         self._drop(f"{folder}/unsorted")
 
-    def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _drop(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def blocks(self, terms: DataFrame) -> DataFrame:
         """term, segment, block, df, max_tf, min_length of some terms; df counts the frames that count, the maxima bound them."""
         rows = self._of(self._table("blocks", self.BLOCKS), terms)
@@ -145,24 +224,32 @@ class TextIndex(_Segments):
         rows = self._table("postings", self.POSTINGS).drop("block", "length").join(live, ["frame_id", "segment"])
         self._segment(rows, folder)
         self._drop(f"{folder}/numbered")
-        self._commit(folder, seq=(seen[0].first_seq, seen[-1].last_seq), replaces=seen[-1].segment)
+        self._commit(folder, **_merged(seen))
         return True
 
 
+def _merged(seen: list[Segment]) -> dict:
+    """What the entry of a compacted segment says of those that it replaces."""
+    names = {n for r in seen for n in r.batches}
+    return {"first_seq": seen[0].first_seq, "last_seq": max([r.last_seq for r in seen if r.last_seq is not None], default=None), "replaces": seen[-1].place, "batches": {n: max(r.batches.get(n, -1) for r in seen) for n in names}}
+
+
 class VectorIndex(_Segments):
     """Vectors (frame_id, embedding), all of one dimension."""
 
     VECTORS = "frame_id long, embedding array<float>"
 
-    def add(self, vectors: DataFrame, *, seq: tuple[int | None, int | None] = (None, None)) -> int:
-        """Add vectors; a null one removes its frame.  Refused if lengths differ from each other or from those before."""
+    def add(self, vectors: DataFrame, *, seq: tuple[int | None, int | None] = (None, None), batch: tuple[str, int] | None = None) -> int | None:
+        """Add vectors; a null one removes its frame.  Refused if lengths differ from each other or from those before; a batch is added once."""
+        if batch and self.last_batch(batch[0]) >= batch[1]:
+            return None
         sizes = [r.n for r in vectors.filter(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("n")).count().limit(2).collect()]
         known = {r.dimensions for r in self.segments() if r.dimensions}
         if len(sizes) > 1 or 0 in sizes or (sizes and known and known != set(sizes)):
             raise IndexRuleError("vectors must not be empty and must have one dimension")
         folder = self._folder()
         vectors.select(F.col("frame_id").cast("long").alias("frame_id"), F.transform("embedding", lambda x: x.cast("float")).alias("embedding")).write.parquet(f"{folder}/vectors")
-        return self._commit(folder, seq=seq, dimensions=sizes[0] if sizes else None)
+        return self._commit(folder, first_seq=seq[0], last_seq=seq[1], dimensions=sizes[0] if sizes else None, batch=batch)
 
     def add_after(self, mutations: DataFrame) -> int | None:
         """Add the vectors of mutations (seq, frame_id, embedding) that are newer than the last segment; None if none are.
@@ -183,7 +270,7 @@ class VectorIndex(_Segments):
             folder = self._folder()
             newest.select("frame_id", F.transform("embedding", lambda x: x.cast("float")).alias("embedding")).write.parquet(f"{folder}/vectors")
             size = newest.filter("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
-            return self._commit(folder, seq=(ends.first, ends.last), dimensions=size.n if size else None, replaces=seen[-1].segment)
+            return self._commit(folder, first_seq=ends.first, last_seq=ends.last, dimensions=size.n if size else None, replaces=seen[-1].place)
         return self.add(newest, seq=(before + 1, ends.last))
 
     def vectors(self) -> DataFrame:
@@ -198,5 +285,11 @@ class VectorIndex(_Segments):
             return False
         folder = self._folder()
         self.vectors().write.parquet(f"{folder}/vectors")
-        self._commit(folder, seq=(seen[0].first_seq, seen[-1].last_seq), dimensions=max(r.dimensions or 0 for r in seen) or None, replaces=seen[-1].segment)
+        self._commit(folder, dimensions=max(r.dimensions or 0 for r in seen) or None, **_merged(seen))
         return True
+
+    def graph(self, **settings):
+        """Proximity graphs of the vectors that count, for approximate search."""
+        from recollect.sources.graph import VectorGraph
+
+        return VectorGraph(self.vectors(), **settings)

@@ -18,7 +18,9 @@ from recollect.operators import bm25, context, facts, fusion, lanes, library, me
 from recollect.operators.boolean import boolean
 from recollect.plans.search import SearchRequest, unified
 from recollect.sources import index as index_module
+from recollect.sources.graph import VectorGraph
 from recollect.sources.index import IndexRuleError, TextIndex, VectorIndex
+from recollect.streaming import ingest
 
 
 def corpus(n=60):
@@ -330,3 +332,102 @@ def test_written_queries(spark):
     first = boolean(f, q, 2).filter("query_id = 0").orderBy("rank").collect()
     assert [x.rank for x in first] == [1, 2] and first[0].score >= first[1].score
     assert boolean(f.limit(0), q).collect() == [] and boolean(f, q.limit(0)).collect() == []
+
+
+# --------------------------------------------------------- streaming index
+def test_index_stream_is_exactly_once(spark, tmp_path):
+    """Killed after a segment was committed and before the stream knew: the restart adds nothing twice, and the index is that of the batch."""
+    schema = "seq long, frame_id long, content string"
+    r = random.Random(7)
+    changes = [(i, r.randrange(12), None if r.random() < 0.15 else " ".join(r.choice(["a", "b", "c", "rare"]) for _ in range(r.randrange(1, 9)))) for i in range(60)]
+    for part in range(6):
+        spark.createDataFrame(changes[part * 10 : part * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    queries = spark.createDataFrame([(1, ["a", "rare"]), (2, ["b"])], "query_id long, terms array<string>")
+    index = TextIndex(spark, str(tmp_path / "index"))
+
+    def run(on, checkpoint="ck", name="changes"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = ingest.index_stream(stream, on, str(tmp_path / checkpoint), name=name, compact_after=3)
+        q.awaitTermination()
+
+    class Killed(TextIndex):
+        left = 2
+
+        def add(self, *args, **more):
+            made = super().add(*args, **more)
+            self.left -= 1
+            if not self.left:
+                raise RuntimeError("killed")
+            return made
+
+    with pytest.raises(Exception, match="killed"):
+        run(Killed(spark, index.path))
+    assert index.last_batch("changes") == 1
+    run(index)
+    run(index)  # nothing is left to do
+    assert index.last_batch("changes") == 5 and len(index.segments()) <= 4
+    newest = {}
+    for seq, frame, content in changes:
+        newest[frame] = content
+    whole = TextIndex(spark, str(tmp_path / "whole"))
+    whole.add(spark.createDataFrame(list(newest.items()), "frame_id long, content string"))
+    want = sorted(map(tuple, lanes.bm25(whole, queries, 20).collect()))
+    assert sorted(map(tuple, lanes.bm25(index, queries, 20).collect())) == want
+    assert index.add(spark.createDataFrame([(99, "rare")], "frame_id long, content string"), batch=("changes", 5)) is None
+    several = len(index.segments()) > 1
+    assert index.compact() is several
+    assert index.vacuum() > 0 and sorted(map(tuple, lanes.bm25(index, queries, 20).collect())) == want
+    # The stream's place survives compaction.
+    assert index.last_batch("changes") == 5
+
+
+def test_two_writers_keep_both_commits(spark, tmp_path, monkeypatch):
+    """Both saw the same last number; a compaction doesn't override what was added meanwhile."""
+    schema = "frame_id long, content string"
+    one, two = TextIndex(spark, str(tmp_path / "i")), TextIndex(spark, str(tmp_path / "i"))
+    one.add(spark.createDataFrame([(1, "old"), (2, "old")], schema))
+    stale = one._entries()
+    two.add(spark.createDataFrame([(1, "middle")], schema))
+    monkeypatch.setattr(one, "_entries", lambda: stale)
+    assert one.add(spark.createDataFrame([(2, "new")], schema)) == 2
+    monkeypatch.undo()
+    seen = two.segments()
+    assert [x.segment for x in seen] == [0, 1, 2]
+    monkeypatch.setattr(one, "segments", lambda: seen)
+    two.add(spark.createDataFrame([(1, "newest")], schema))
+    one.compact()  # of the three that it saw
+    monkeypatch.undo()
+    q = spark.createDataFrame([(i, [w]) for i, w in enumerate(["old", "middle", "new", "newest"])], "query_id long, terms array<string>")
+    assert {(x.query_id, x.frame_id) for x in lanes.bm25(two, q, 5).collect()} == {(2, 2), (3, 1)}
+
+
+# --------------------------------------------------------- proximity graphs
+@pytest.mark.parametrize("metric", lanes.METRICS)
+def test_graph_search(spark, metric):
+    """Most of the true neighbours from a small part of the distances, over several shards; odd vectors stay out."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 16))).round(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7000, None), (7001, [None] * 16), (7002, [float("nan")] * 16), (7003, [1.0])]
+    v = spark.createDataFrame(rows, "frame_id long, embedding array<double>")
+    q = v.filter("frame_id % 60 = 0 AND frame_id < 6000").select(F.col("frame_id").alias("query_id"), "embedding")
+    graph = VectorGraph(v, metric=metric, shard_vectors=3000, k=10)
+    assert graph.n == 6000 and graph.shards == 2
+    got = graph.search(q).collect()
+    want = {(r.query_id, r.frame_id): r.score for r in lanes.knn(v, q, 10, metric=metric).collect()}
+    found = {(r.query_id, r.frame_id): r.score for r in got}
+    assert len(got) == 1000 and len(found) == 1000
+    assert len(found.keys() & want.keys()) >= 950 and graph.measured >= 0.95
+    assert all(found[k] == pytest.approx(want[k], abs=2e-6) for k in found.keys() & want.keys())
+    assert sum(r.taken for r in got) / len(got) < 0.15 * 3000  # of small shards; the larger a shard, the smaller the part
+    assert sorted({r["rank"] for r in got}) == list(range(1, 11))
+
+
+def test_graph_of_few(spark, tmp_path):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.0, 1.0])], "frame_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, None), (7, [1.0])], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.frame_id, r.score) for r in VectorGraph(v, k=5).search(q).orderBy("rank").collect()] == [(9, 1, 1.0), (9, 2, 1.0), (9, 2, 0.0)]
+    assert VectorGraph(v.limit(0)).search(q).collect() == []
+    assert VectorGraph(v.limit(1)).search(q).count() == 1
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.add(v.limit(2))
+    assert {r.frame_id for r in index.graph(k=1).search(q).collect()} == {1}
