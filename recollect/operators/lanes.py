@@ -70,15 +70,22 @@ def phrase_hits(frames: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def snippets(texts: Column, terms: Column, width: int = 10) -> Column:
-    """Up to ``width`` words around the first hit, hits in brackets, ``...`` where text is left out."""
-    tokens = F.filter(F.split(texts, r"\s+"), lambda t: t != "")
-    clean = F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    hit = F.transform(clean, lambda t: F.array_contains(terms, t))
-    first = F.greatest(F.array_position(hit, True).cast("int"), F.lit(1))
-    start = F.greatest(F.least(first - width // 2, F.size(tokens) - width + 1), F.lit(1))
-    marked = F.zip_with(F.slice(tokens, start, width), F.slice(hit, start, width), lambda t, h: F.when(h, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    """The ``width`` words that hold the most different terms (the first such stretch), hits in brackets, ``...`` where text is left out.
+
+    A stretch begins at a hit, or earlier where the text ends before it is full; without hits it is the first one.
+    """
+    tokens = F.filter(F.split(texts, r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
+    clean = F.transform(tokens, lambda t: without_marks(F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
+    hits = F.transform(clean, lambda t: F.when(F.array_contains(terms, t), t).otherwise(""))
+    n = F.size(tokens)
+    last = F.greatest(n - width + 1, F.lit(1))
+    places = F.filter(F.transform(hits, lambda t, i: F.when(t != "", F.least(i + 1, last))), lambda i: i.isNotNull())
+    starts = F.when(F.size(places) > 0, F.array_distinct(places)).otherwise(F.array(F.lit(1)))
+    covered = F.transform(starts, lambda s: F.struct(F.size(F.array_distinct(F.filter(F.slice(hits, s, width), lambda t: t != ""))).alias("n"), (-s).alias("s")))
+    start = -F.array_max(covered)["s"]
+    marked = F.zip_with(F.slice(tokens, start, width), F.slice(hits, start, width), lambda t, h: F.when(h != "", F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
     before = F.when(start > 1, "...").otherwise("")
-    after = F.when(start + width <= F.size(tokens), "...").otherwise("")
+    after = F.when(start + width <= n, "...").otherwise("")
     return F.concat(before, F.array_join(marked, " "), after)
 
 

@@ -267,11 +267,20 @@ _FALLBACK = f"""WITH {EVENT_FRAMES}, {_TOKENS}, {_POSTINGS}, {sql_bm25("hits", K
 
 
 def snippet_highlights(spark: SparkSession, sf: str) -> DataFrame:
-    """Highlighted windows of the best hit of each question (rows only: word edges follow Spark's rules)."""
+    """The stretch of the best hit of each question that holds the most of its terms."""
     hits = lanes.bm25(frames(spark, sf), _terms(spark, sf), 1)
     return hits.join(frames(spark, sf).select("frame_id", "content"), "frame_id").join(_terms(spark, sf), "query_id").select("query_id", "frame_id", lanes.snippets(F.col("content"), F.col("terms")).alias("snippet"))
 
 
+_SNIPPETS = rf"""WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', 1)}, t AS (SELECT query_id, frame_id, list_distinct(terms) AS terms, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS tokens
+  FROM r JOIN tokens USING (query_id) JOIN documents ON doc_id = frame_id),
+ h AS (SELECT *, len(tokens) AS n, list_transform(list_transform(tokens, lambda x: strip_accents(lower(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))), lambda x: CASE WHEN list_contains(terms, x) THEN x ELSE '' END) AS hits FROM t),
+ s AS (SELECT *, list_transform(list_filter(range(1, n + 1), lambda i: hits[i] <> ''), lambda i: least(i, greatest(n - 9, 1))) AS places FROM h),
+ b AS (SELECT *, -(list_sort(list_transform(CASE WHEN len(places) > 0 THEN places ELSE [1] END, lambda s: {{'n': len(list_distinct(list_filter(hits[s:s + 9], lambda x: x <> ''))), 's': -s}}))[-1].s) AS start FROM s)
+ SELECT query_id, frame_id, CASE WHEN start > 1 THEN '...' ELSE '' END || array_to_string(list_transform(range(start, least(start + 9, n) + 1), lambda i: CASE WHEN hits[i] <> '' THEN '[' || tokens[i] || ']' ELSE tokens[i] END), ' ')
+  || CASE WHEN start + 10 <= n THEN '...' ELSE '' END AS snippet FROM b"""
+
+
 def rerank_head(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search with intent-aware reranking."""
     found = search(frames(spark, sf), vectors(spark, sf), _asked(spark, sf), SearchRequest(top_k=K))
@@ -347,6 +356,7 @@ ORACLES = {
     "text_bm25_topk": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K)} SELECT query_id, frame_id, score, rank FROM r",
     "text_bm25_and": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K, 'HAVING count(*) = any_value(nt)')} SELECT query_id, frame_id, score, rank FROM r",
     "text_indexed_topk": f"WITH {_TOKENS}, {_POSTINGS}, {sql_bm25('r', K)} SELECT query_id, frame_id, score, rank FROM r",
+    "snippet_highlights": _SNIPPETS,
     "text_boolean": _BOOLEAN,
     "text_near": _NEAR,
     "text_prefix": _PREFIX,
