@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions import dates
 from recollect.functions.embed import embed
 from recollect.functions.tokens import BytePairs
-from recollect.operators import answers, context, library, maintenance, media
+from recollect.operators import answers, context, geo, library, maintenance, media
 from recollect.plans.tables import EVENT_FRAMES, event_frames, frames, table
 from recollect.plans.text_queries import sql_terms
 from recollect.sources import files
@@ -186,6 +186,18 @@ _GEO = """WITH s AS (SELECT s_suppkey, s_suppkey % 180 - 90 + s_acctbal / 100000
  UNION ALL SELECT s_suppkey FROM s"""
 
 
+def geo_radius_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers within each supplier's radius, all in one plan: both spread over the globe by their numbers, radii from nothing to a quarter of it."""
+    places = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 1801 / 10 - 90).alias("lat"), (F.col("c_custkey") * 7919 % 3600 / 10 - 180).alias("lon"))
+    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") * 101 % 1801 / 10 - 90).alias("lat"), (F.col("s_suppkey") * 733 % 3600 / 10 - 180).alias("lon"), (F.pow(F.col("s_suppkey") % 7, F.lit(3)) * 50_000).alias("radius_m"))
+    return geo.radius_join(places, asked).select("query_id", "c_custkey", F.round("metres", 3).alias("metres"))
+
+
+_RADIUS = f"""WITH c AS (SELECT c_custkey, c_custkey * 37 % 1801 / 10 - 90 AS lat, c_custkey * 7919 % 3600 / 10 - 180 AS lon FROM customer), q AS (SELECT s_suppkey AS query_id, s_suppkey * 101 % 1801 / 10 - 90 AS qlat, s_suppkey * 733 % 3600 / 10 - 180 AS qlon, pow(s_suppkey % 7, 3) * 50000 AS m FROM supplier),
+ d AS (SELECT query_id, c_custkey, m, {media.METRES_PER_DEGREE} * degrees(2 * asin(sqrt(least(pow(sin(radians(lat - qlat) / 2), 2) + cos(radians(qlat)) * cos(radians(lat)) * pow(sin(radians(lon - qlon) / 2), 2), 1.0)))) AS metres FROM c CROSS JOIN q)
+ SELECT query_id, c_custkey, round(metres, 3) AS metres FROM d WHERE metres <= m"""
+
+
 def recognized_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as recognised text, by discount as confidence."""
     l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_discount").alias("confidence"), F.concat_ws("-", "l_returnflag", "l_linestatus", (F.col("l_partkey") % 5).cast("string")).alias("text"))).alias("blocks"))
@@ -301,7 +313,7 @@ def library_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, chunk_windows_of_tokens, photo_ingest, video_ingest, library_sync, chunk_windows, window_plan, token_budget_prefix, budget_greedy, surrogate_tiers, tier_payloads, budget_clamp, lexical_sentence, answer_extract, segment_windows, interval_overlap_join, root_rollup, best_segment, geo_bin_filter, recognized_lines, current_roots, cascade_delete, photo_fields, degraded_roots, described_images, kept_rewrites, deterministic_embedding, remembered_frames)
+    for f in (token_counts, chunk_windows_of_tokens, photo_ingest, video_ingest, library_sync, chunk_windows, window_plan, token_budget_prefix, budget_greedy, surrogate_tiers, tier_payloads, budget_clamp, lexical_sentence, answer_extract, segment_windows, interval_overlap_join, root_rollup, best_segment, geo_bin_filter, geo_radius_join, recognized_lines, current_roots, cascade_delete, photo_fields, degraded_roots, described_images, kept_rewrites, deterministic_embedding, remembered_frames)
 }
 ORACLES = {
     "photo_ingest": _PHOTOS,
@@ -319,6 +331,7 @@ ORACLES = {
     "root_rollup": _ROLLUP,
     "best_segment": _BEST,
     "geo_bin_filter": _GEO,
+    "geo_radius_join": _RADIUS,
     "recognized_lines": _LINES,
     "current_roots": "SELECT o_custkey::varchar AS asset_id, arg_max(o_orderkey * 10, (o_orderdate, o_orderkey)) AS frame_id FROM orders GROUP BY 1",
     "cascade_delete": "SELECT o_orderkey * 10 AS frame_id FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'",

@@ -1,11 +1,14 @@
 """Golden cases of single operators."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import dates, scores, text
 from recollect.functions.embed import embed, hashed_vector
-from recollect.operators import answers, context, facts, fusion, lanes, maintenance, media
+from recollect.operators import answers, context, facts, fusion, geo, lanes, maintenance, media
 from recollect.plans.search import SearchRequest, recall, search
 from recollect.sources import files
 from recollect.sources.frames import Store, StoreError, check_dimensions
@@ -204,3 +207,22 @@ def test_budget_queries_walk_all_lines_of_a_customer(spark, tmp_path):
                 greedy.add((c, i, n))
     assert {(r.query_id, r.position, r.tokens) for r in budget_greedy(spark, str(tmp_path)).collect()} == greedy
     assert {(r.query_id, r.position, r.used) for r in token_budget_prefix(spark, str(tmp_path)).collect()} == prefix
+
+
+def test_radius_join_equals_brute_force(spark):
+    """Poles, the date line, radii from nothing to the whole globe; odd rows take no part."""
+    r = random.Random(6)
+    places = [(i, r.choice([r.uniform(-90, 90), 90.0, -90.0, 89.99, 0.0]), r.choice([r.uniform(-180, 180), 180.0, -180.0, 179.99, 540.0])) for i in range(400)] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, 91.0, 0.0), (903, 5.0, float("inf"))]
+    asked = [(i, *r.choice(places[:400])[1:], r.choice([0.0, 1.0, 500.0, 1e4, 3e5, 2e6, 9e6, 1.2e7, 2e7])) for i in range(150)] + [(900, 0.0, 0.0, -1.0), (901, 0.0, 0.0, None), (902, None, 0.0, 1e9)]
+
+    def apart(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return math.degrees(2 * math.asin(math.sqrt(min(h, 1.0)))) * media.METRES_PER_DEGREE
+
+    p, q = spark.createDataFrame(places, "row long, lat double, lon double"), spark.createDataFrame(asked, "query_id long, lat double, lon double, radius_m double")
+    got = {(x.query_id, x.row): x.metres for x in geo.radius_join(p, q).collect()}
+    want = {(i, j): m for i, a, b, radius in asked[:150] for j, c, d in places[:400] if (m := apart(a, b, c, d)) <= radius}
+    edge = {(i, j) for i, a, b, radius in asked[:150] for j, c, d in places[:400] if abs(apart(a, b, c, d) - radius) < 1e-3}
+    assert got.keys() - edge == want.keys() - edge and len(want) > 5000
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in got.keys() & want.keys())
+    assert geo.radius_join(p, q.limit(0)).collect() == [] and geo.radius_join(p.limit(0), q).collect() == []
