@@ -15,6 +15,7 @@ from recollect import session
 from recollect.functions import text
 from recollect.functions.tokens import BytePairs, WordPieces
 from recollect.operators import bm25, context, facts, fusion, lanes, library, media
+from recollect.operators import boolean as boolean_module
 from recollect.operators.boolean import boolean
 from recollect.plans.search import SearchRequest, unified
 from recollect.sources import index as index_module
@@ -317,7 +318,10 @@ def plain_boolean(query, docs):
     return found
 
 
-def test_written_queries(spark):
+@pytest.mark.parametrize("path", ["batch", "joined"])
+def test_written_queries(spark, monkeypatch, path):
+    if path == "joined":
+        monkeypatch.setattr(boolean_module, "BATCH_TERMS", 1)
     r = random.Random(8)
     docs = [(i, " ".join(r.choice(["red", "Blue", "green", "grün", "bl", "e-mail", "x1"]) for _ in range(r.randrange(1, 12)))) for i in range(80)] + [(90, None), (91, ""), (92, "red"), (92, "red")]
     queries = ["red", "red AND blue", "red blue NOT green", 'red "blue green"', '-"blue green" red', "bl*", "bl* NOT blue", "red NEAR/1 x1", "x1 NEAR red", "red NEAR/0 blue OR grun NEAR/2 x1", "e-mail", 'red OR "bl bl" OR missing', "-red", "", "red NEAR/3 red", "BLUE grün*", '"red blue red"']
@@ -331,6 +335,9 @@ def test_written_queries(spark):
     assert 99 not in got
     first = boolean(f, q, 2).filter("query_id = 0").orderBy("rank").collect()
     assert [x.rank for x in first] == [1, 2] and first[0].score >= first[1].score
+    both = sorted(map(tuple, boolean(f, q).collect()))
+    monkeypatch.setattr(boolean_module, "BATCH_TERMS", 1 if path == "batch" else 1000)
+    assert [x[:2] for x in both] == [tuple(x)[:2] for x in sorted(map(tuple, boolean(f, q).collect()))]
     assert boolean(f.limit(0), q).collect() == [] and boolean(f, q.limit(0)).collect() == []
 
 
