@@ -74,19 +74,26 @@ def snippets(texts: Column, terms: Column, width: int = 10) -> Column:
 
     A stretch begins at a hit, or earlier where the text ends before it is full; without hits it is the first one.
     """
+    def once(value: Column, then) -> Column:
+        """``then`` of a value that is computed a single time, however often it is used."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def hits_of(tokens: Column) -> Column:
+        clean = F.transform(tokens, lambda t: without_marks(F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
+        return F.transform(clean, lambda t: F.when(F.array_contains(terms, t), t).otherwise(""))
+
+    def start_of(hits: Column) -> Column:
+        last = F.greatest(F.size(hits) - width + 1, F.lit(1))
+        places = F.array_distinct(F.filter(F.transform(hits, lambda t, i: F.when(t != "", F.least(i + 1, last))), lambda i: i.isNotNull()))
+        covered = F.transform(places, lambda s: F.struct(F.size(F.array_distinct(F.filter(F.slice(hits, s, width), lambda t: t != ""))).alias("n"), (-s).alias("s")))
+        return F.coalesce(-F.array_max(covered)["s"], F.lit(1))
+
+    def shown(tokens: Column, hits: Column, start: Column) -> Column:
+        marked = F.zip_with(F.slice(tokens, start, width), F.slice(hits, start, width), lambda t, h: F.when(h != "", F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+        return F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(marked, " "), F.when(start + width <= F.size(tokens), "...").otherwise(""))
+
     tokens = F.filter(F.split(texts, r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
-    clean = F.transform(tokens, lambda t: without_marks(F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
-    hits = F.transform(clean, lambda t: F.when(F.array_contains(terms, t), t).otherwise(""))
-    n = F.size(tokens)
-    last = F.greatest(n - width + 1, F.lit(1))
-    places = F.filter(F.transform(hits, lambda t, i: F.when(t != "", F.least(i + 1, last))), lambda i: i.isNotNull())
-    starts = F.when(F.size(places) > 0, F.array_distinct(places)).otherwise(F.array(F.lit(1)))
-    covered = F.transform(starts, lambda s: F.struct(F.size(F.array_distinct(F.filter(F.slice(hits, s, width), lambda t: t != ""))).alias("n"), (-s).alias("s")))
-    start = -F.array_max(covered)["s"]
-    marked = F.zip_with(F.slice(tokens, start, width), F.slice(hits, start, width), lambda t, h: F.when(h != "", F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
-    before = F.when(start > 1, "...").otherwise("")
-    after = F.when(start + width <= n, "...").otherwise("")
-    return F.concat(before, F.array_join(marked, " "), after)
+    return once(tokens, lambda t: once(hits_of(t), lambda h: once(start_of(h), lambda s: shown(t, h, s))))
 
 
 # ---------------------------------------------------------------- vectors
