@@ -81,11 +81,13 @@ def library_recall(frames: DataFrame, vectors: DataFrame, questions: DataFrame,
         newest = around.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ts_ms"), "root_id"))).filter(F.col("rank") <= most)
         timed = timed.unionByName(newest.select("query_id", "root_id", "rank"))
     hits = hits.unionByName(timed.select("query_id", "root_id", F.col("root_id").alias("frame_id"), F.round(1.0 / (F.lit(fusion.RRF_K) + F.col("rank")), 9).alias("score"), F.array(F.lit("timeline")).alias("sources")))
+    hits = staged(hits)  # and so many of roots
     best = hits.groupBy("query_id", "root_id").agg(F.max("score").alias("score"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("evidence"))
     picked = best.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "root_id"))).filter(F.col("position") <= limit)
     picked = staged(picked)
     of_root = Window.partitionBy("query_id", "root_id").orderBy(F.desc("score"), "frame_id")
     few = hits.join(picked.select("query_id", "root_id"), ["query_id", "root_id"], "left_semi").filter("frame_id <> root_id").withColumn("place", F.row_number().over(of_root)).filter(F.col("place") <= parts)
+    few = staged(few.select("query_id", "root_id", "frame_id", "place"))  # its size is known then: texts are moved only if it is too large to be sent to them
     listed = few.join(frames.select("frame_id", "content"), "frame_id").groupBy("query_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("place", "frame_id", "content"))).alias("p"))
     items = picked.join(listed, ["query_id", "root_id"], "left").withColumn("share", F.greatest(F.lit(1), F.floor(F.lit(tokens) / F.count(F.lit(1)).over(Window.partitionBy("query_id")))).cast("int"))
     words = F.filter(F.split(F.array_join(F.transform("p", lambda x: F.coalesce(x["content"], F.lit(""))), "\n"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
