@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Windows of texts that leave a task at once.
+WINDOWS = 1_024
 _CODERS: dict[str, object] = {}
 
 
@@ -72,6 +76,40 @@ class BytePairs:
 
         return decode(ids)
 
+    def windows(self, texts: DataFrame, target: int, step: int) -> DataFrame:
+        """doc_id, chunk, content, tokens: each text (doc_id, content) cut into windows; one that fits is its only window, unchanged.
+
+        A text's ids stay in its task, and windows leave it a few at a time, so memory follows the longest text.
+        """
+        kind = texts.schema["doc_id"].dataType.simpleString()
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder = self.coder()
+            for batch in batches:
+                row, chunk, content, size = [], [], [], []
+
+                def made(ids: pa.Array = batch.column(0)) -> pa.RecordBatch:
+                    out = pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(chunk, pa.int32()), pa.array(content, pa.string()), pa.array(size, pa.int32())], names=["doc_id", "chunk", "content", "tokens"])
+                    for x in (row, chunk, content, size):
+                        x.clear()
+                    return out
+
+                for i, one in enumerate(batch.column(1)):
+                    text = one.as_py()
+                    ids = coder.encode_ordinary(text)
+                    for c, start in enumerate(range(0, max(0, -(-(len(ids) - target) // step)) * step + 1, step)):
+                        own = ids[start : start + target]
+                        row.append(i)
+                        chunk.append(c)
+                        content.append(text if len(ids) <= target else coder.decode_bytes(own).decode("utf-8", "ignore"))
+                        size.append(len(own))
+                        if len(row) == WINDOWS:
+                            yield made()
+                if row:
+                    yield made()
+
+        return texts.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInArrow(cut, f"doc_id {kind}, chunk int, content string, tokens int")
+
     def truncated(self, text: Column, most: int) -> Column:
         """The first tokens of a text."""
 
@@ -98,7 +136,7 @@ class WordPieces:
         @F.pandas_udf("array<int>")
         def encode(texts: pd.Series) -> pd.Series:
             coder = _pieces(words, unknown, letters)
-            found = coder.encode_batch([_capped(t) for t in texts], add_special_tokens=False)
+            found = coder.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return pd.Series([x.ids[:most] for x in found], dtype=object)
 
         return encode(text)

@@ -41,9 +41,13 @@ def truncated(text: Column, most: int | Column, vocabulary: BytePairs | None = N
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
+def window_step(target: int, overlap: int) -> int:
+    return target - overlap if 0 < overlap < target else target
+
+
 def window_starts(n: Column, target: int, overlap: int) -> Column:
     """Zero-based starts of windows over n tokens; with an overlap that would stall, windows don't overlap."""
-    step = target - overlap if 0 < overlap < target else target
+    step = window_step(target, overlap)
     last = F.greatest(F.lit(0), F.ceil((n - target) / F.lit(step)).cast("int")) * step
     return F.sequence(F.lit(0), last, F.lit(step))
 
@@ -53,12 +57,13 @@ def chunks(texts: DataFrame, *, target: int = TARGET_TOKENS, overlap: int = OVER
 
     Windows are over the tokens of a vocabulary, or else over the pieces that a byte-pair tokenizer starts from.
     """
-    tokens = pieces(F.col("content")) if vocabulary is None else vocabulary.ids(F.col("content"))
-    cut = texts.filter(F.col("content").isNotNull()).select("doc_id", "content", tokens.alias("p"))
-    each = cut.select("doc_id", "content", F.size("p").alias("n"), "p", F.posexplode(window_starts(F.size("p"), target, overlap)).alias("chunk", "start"))
-    each = each.select("doc_id", "chunk", "content", "n", F.slice("p", F.col("start") + 1, target).alias("own"))
-    body = F.array_join("own", "") if vocabulary is None else vocabulary.text(F.col("own"))
-    out = each.select("doc_id", "chunk", F.when(F.col("n") <= target, F.col("content")).otherwise(body).alias("content"), F.size("own").alias("tokens"))
+    if vocabulary is not None:
+        out = vocabulary.windows(texts, target, window_step(target, overlap))
+    else:
+        cut = texts.filter(F.col("content").isNotNull()).select("doc_id", "content", pieces(F.col("content")).alias("p"))
+        each = cut.select("doc_id", "content", F.size("p").alias("n"), "p", F.posexplode(window_starts(F.size("p"), target, overlap)).alias("chunk", "start"))
+        each = each.select("doc_id", "chunk", "content", "n", F.slice("p", F.col("start") + 1, target).alias("own"))
+        out = each.select("doc_id", "chunk", F.when(F.col("n") <= target, F.col("content")).otherwise(F.array_join("own", "")).alias("content"), F.size("own").alias("tokens"))
     return out.filter(F.regexp_replace("content", r"\s+", "") != "")
 
 
