@@ -3,9 +3,13 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from recollect.functions.tokens import BytePairs
-from recollect.operators import context, lanes
+from recollect.operators import bm25, context, geo, lanes
+from recollect.operators import boolean as boolean_module
+from recollect.session import bounded
 
 
 def plan_of(df) -> str:
@@ -48,3 +52,42 @@ def test_products_of_many_queries_are_bounded():
     assert peak < 120 << 20
     got = [(a, b) for p in parts for a, b in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)]
     assert got == [(i, j) for i, row in enumerate(np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :3].tolist()) for j in row]
+
+
+def test_batches_are_unpacked_in_stretches():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(6))})
+    assert [b.column(0).to_pylist() for b in bounded(batch, np.array([3, 0, 9, 1, 2, 2]), 4)] == [[0, 1], [2], [3, 4], [5]]
+
+
+def test_stretches_of_tokens_change_no_result(spark, monkeypatch):
+    rows = [(i, None if i == 5 else " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(40)]
+    frames = spark.createDataFrame(rows, "frame_id long, content string").coalesce(2).cache()
+    asked = spark.createDataFrame([(1, ["w1", "w2"]), (2, ["w3"])], "query_id long, terms array<string>")
+    written = spark.createDataFrame([(1, 'w1 AND "w2 w3" OR w4 w5*'), (2, "w0 NEAR/2 w2")], "query_id long, query string")
+    found = lambda: (sorted(map(tuple, lanes.bm25(frames, asked, 9).collect())), sorted(map(tuple, boolean_module.boolean(frames, written, 9).collect())))
+    want = found()
+    assert want[0] and want[1]
+    monkeypatch.setattr(bm25, "TOKENS", 3)
+    monkeypatch.setattr(boolean_module, "TOKENS", 3)
+    assert found() == want
+
+
+def test_tiers_unpack_one_document_at_a_time(spark):
+    """The scan of a batch holds no list of all its documents."""
+    import inspect
+
+    assert "to_pylist()" not in inspect.getsource(context.surrogate_tiers)
+    got = context.surrogate_tiers(spark.createDataFrame([(1, "A first sentence here. Another sentence there."), (2, None), (3, "")], "doc_id long, content string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3]
+
+
+def test_wide_radii_are_dealt_into_many_tasks(spark):
+    """Radii of a quarter of the globe have two cells; their places are dealt over all tasks, and none is lost or found twice."""
+    places = spark.range(2_000).select(F.col("id").alias("place"), (F.col("id") * 37 % 1801 / 10 - 90).alias("lat"), (F.col("id") * 7919 % 3600 / 10 - 180).alias("lon"))
+    asked = spark.createDataFrame([(1, 0.0, 0.0, 1.08e7), (2, 45.0, 170.0, 1.08e7), (3, -90.0, 0.0, 4e5)], "query_id long, lat double, lon double, radius_m double")
+    got = geo.radius_join(places, asked).withColumn("part", F.spark_partition_id()).collect()
+    at = {r.place: (r.lat, r.lon) for r in places.collect()}
+    apart = lambda a, b: np.degrees(2 * np.arcsin(np.sqrt(min(1.0, np.sin(np.radians(b[0] - a[0]) / 2) ** 2 + np.cos(np.radians(a[0])) * np.cos(np.radians(b[0])) * np.sin(np.radians(b[1] - a[1]) / 2) ** 2))))
+    want = [(q.query_id, p) for q in asked.collect() for p, x in at.items() if apart((q.lat, q.lon), x) <= q.radius_m / 111_000.0]
+    assert sorted((r.query_id, r.place) for r in got) == sorted(want)
+    assert len({r.part for r in got}) >= 16
