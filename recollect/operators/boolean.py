@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import index_words
-from recollect.operators.bm25 import BATCH_TERMS, UNIT, gain_column, gain_of, idf_column, idf_of, ranked
-from recollect.session import spread, staged
+from recollect.operators.bm25 import BATCH_TERMS, TOKENS, UNIT, gain_column, gain_of, idf_column, idf_of, ranked
+from recollect.session import bounded, spread, staged
 
 #: Words between both sides of a NEAR without a number.
 NEAR_DISTANCE = 10
@@ -191,7 +192,7 @@ def _in_batch(frames: DataFrame, rows: list[dict], kind: str, k: int) -> DataFra
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         n, words, df = 0, 0, np.zeros(len(asked.terms), dtype=np.int64)
-        for part in batches:
+        for part in (x for whole in batches for x in bounded(whole, pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), TOKENS)):
             frame, places = part.column(0).to_numpy(), Places(part.column(1))
             n, words = n + part.num_rows, words + len(places.codes)
             counts = []  # rows and numbers of occurrences of each word that counts
