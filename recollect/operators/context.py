@@ -121,8 +121,9 @@ def surrogate_tiers(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [choose(s or []) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in zip(*rows, strict=True)]], names=["doc_id", *TIERS])
+            if batch.num_rows:
+                rows = [choose(s.as_py() or []) for s in batch.column(1)]  # one document is unpacked at a time
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in zip(*rows, strict=True)]], names=["doc_id", *TIERS])
 
     out = ready.mapInArrow(run, "doc_id long, full string, gist string, micro string")
     return out.select("doc_id", *[truncated(F.col(k), v[1]).alias(k) for k, v in TIERS.items()])
