@@ -6,7 +6,8 @@ pairs over doubly linked bytes: the lowest rank, then the leftmost pair, is take
 
 Texts are cut at single spaces between non-space characters before the pre-tokenizer runs: its
 pattern always starts a pre-token there, so the pieces encode independently and can be memoised in a
-table of each Python worker, bounded in bytes; long pieces aren't memoised.  There is no shuffle.
+table of each Python worker, bounded in bytes; long pieces aren't memoised.  The table has two halves: once
+the newer one is full, the older one goes, and what is met again moves to the newer.  There is no shuffle.
 
 Defined cases: null and empty texts have no ids; lone surrogates can't occur (Arrow strings are
 UTF-8); rows that repeat are encoded again; further columns are ignored.
@@ -19,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
@@ -35,7 +37,7 @@ RANKS_FILE = "byte_bpe_50k.tiktoken"
 NEWER_LETTERS = "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11df1-11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 NEWER_NUMBERS = "11de0-11de9 1246f-1246f 12475-1247f 12550-12686 16ff4-16ff6"
 #: About the bytes that one Python worker remembers, and the letters of the longest piece or pre-token among them.
-MEMO_BYTES, MEMO_LENGTH = 128 << 20, 200
+MEMO_BYTES, MEMO_LENGTH = 256 << 20, 200
 #: What an entry takes besides its letters and ids.
 ENTRY_BYTES = 200
 #: Texts with any of these, or with space beside space, are cut by the slower, general rule.
@@ -137,24 +139,29 @@ class Encoder:
         rank = {t: i for i, t in enumerate(self.tokens)}
         self.byte = [rank[bytes([i])] for i in range(256)]
         # Which two tokens make a third, whatever the cut: a pair's rank is that of its bytes.
-        n = self.base = len(self.tokens)
-        self.pairs = {rank[t[:k]] * n + rank[t[k:]]: i for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
+        self.pairs: list[dict[int, int]] = [{} for _ in self.tokens]
+        for i, t in enumerate(self.tokens):
+            for k in range(1, len(t)):
+                if t[:k] in rank and t[k:] in rank:
+                    self.pairs[rank[t[:k]]][rank[t[k:]]] = i
+        # The same of two bytes, -1 for none.
+        self.bytes = [[self.pairs[a].get(b, -1) for b in self.byte] for a in self.byte]
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}", f"[^{SPACE}\\p{{L}}").replace(r"\s+(?!\S)|\s+", f"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"))
         older = self.pattern.pattern.replace(r"\p{L}", f"[\\p{{L}}--[{_class(NEWER_LETTERS)}]]").replace(r"\p{N}", f"[\\p{{N}}--[{_class(NEWER_NUMBERS)}]]")
         self.older = regex.compile(older, regex.V1)  # for pieces that hold what the library doesn't know yet
-        self.memo: dict[str, bytes] = {}  # of pieces
-        self.known: dict[str, bytes] = {}  # of pre-tokens
-        self.held = 0
+        self.memo: dict[str, bytes] = {}  # of pieces and pre-tokens, the newer half
+        self.known: dict[str, bytes] = {}  # the older half
+        self.held = self.older_held = 0
 
     def merge(self, word: bytes) -> list[int]:
         """Heap over linked bytes; for pre-tokens that aren't tokens."""
-        get, n = self.pairs.get, self.base
-        ids = list(map(self.byte.__getitem__, word))
+        pairs, two = self.pairs, self.bytes
+        ids = [self.byte[x] for x in word]
         end = len(ids)
         shift = end.bit_length()
         mask = (1 << shift) - 1
         # rank[i]: of the pair that starts at i just now; a heap entry with another rank is stale.
-        rank = [get(a * n + b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        rank = [two[a][b] for a, b in pairwise(word)]
         heap = [r << shift | i for i, r in enumerate(rank) if r >= 0]
         rank.append(-1)
         heapify(heap)
@@ -169,44 +176,57 @@ class Encoder:
             ids[i], ids[j], rank[j] = r, -1, -1
             if k < end:
                 before[k] = i
-                rank[i] = s = get(r * n + ids[k], -1)
+                rank[i] = s = pairs[r].get(ids[k], -1)
                 if s >= 0:
                     heappush(heap, s << shift | i)
             else:
                 rank[i] = -1
             k = before[i]
             if k >= 0:
-                rank[k] = s = get(ids[k] * n + r, -1)
+                rank[k] = s = pairs[ids[k]].get(r, -1)
                 if s >= 0:
                     heappush(heap, s << shift | k)
         return [i for i in ids if i >= 0]
 
+    def remember(self, text: str, ids: bytes) -> None:
+        if text not in self.memo:
+            self.memo[text] = ids
+            self.held += ENTRY_BYTES + len(text) + len(ids)
+
+    def cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece."""
+        return self.pattern.findall(piece) if piece.isascii() or not _NEWER.search(piece) else self.older.findall(piece)
+
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Put pieces into the memo: one batched hash lookup for all their pre-tokens, the heap for what misses.
 
-        What is too long for the memo is returned.
+        A piece that is one pre-token has one entry for both.  What is too long for the memo is returned.
         """
-        known, long, once = self.known, {}, {}
-        find, newer, older = self.pattern.findall, _NEWER.search, self.older.findall
-        split = [find(p) if p.isascii() or not newer(p) else older(p) for p in pieces]
-        new = [t for t in {t for s in split for t in s} if t not in known]
-        if new:
-            raw = [t.encode() for t in new]
-            for t, b, i in zip(new, raw, self.hash.lookup(raw), strict=True):
-                ids = pack("<I", i) if i >= 0 else pack(f"<{len(ids := self.merge(b))}I", *ids)
-                if len(t) > MEMO_LENGTH:
-                    long[t] = ids
-                else:
-                    known[t] = ids
-                    self.held += ENTRY_BYTES + len(t) + len(ids)
-        get = (lambda t: long[t] if t in long else known[t]) if long else known.__getitem__
+        memo, older = self.memo, self.known
+        split = [self.cut(p) for p in pieces]
+        whole = {s[0] for s in split if len(s) == 1}
+        inner = {t for s in split if len(s) > 1 for t in s} - whole
+        # Pre-tokens that would be cut further if they stood alone can't share an entry with a piece.
+        own: dict[str, bytes] = {t: b"" for t in inner if self.cut(t) != [t]}
+        for t in inner - own.keys():
+            if t not in memo and t in older:
+                self.remember(t, older[t])
+        new = [*whole, *own, *(t for t in inner if t not in own and t not in memo)]
+        raw = [t.encode() for t in new]
+        for t, b, i in zip(new, raw, self.hash.lookup(raw) if raw else [], strict=True):
+            ids = pack("<I", i) if i >= 0 else pack(f"<{len(ids := self.merge(b))}I", *ids)
+            if len(t) > MEMO_LENGTH or t in own:
+                own[t] = ids
+            else:
+                self.remember(t, ids)
+        get = (lambda t: own[t] if t in own else memo[t]) if own else memo.__getitem__
+        once = {}
         for p, s in zip(pieces, split, strict=True):
             ids = b"".join(map(get, s)) if len(s) > 1 else get(s[0])
             if len(p) > MEMO_LENGTH:
                 once[p] = ids
             else:
-                self.memo[p] = ids
-                self.held += ENTRY_BYTES + len(p) + len(ids)
+                self.remember(p, ids)
         return once
 
     @staticmethod
@@ -219,13 +239,17 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; what is new is learnt for all texts at once."""
-        if self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.known.clear()
-            self.held = 0
+        if self.held - self.older_held > MEMO_BYTES // 2:
+            self.held -= self.older_held
+            self.known, self.older_held, self.memo = self.memo, self.held, {}
         parts = [self.pieces(t) if t else [] for t in texts]
-        memo = self.memo
-        new = list({p for ps in parts for p in ps if p not in memo})
+        memo, older = self.memo, self.known
+        new = []
+        for p in {p for ps in parts for p in ps if p not in memo}:
+            if p in older:
+                self.remember(p, older[p])
+            else:
+                new.append(p)
         once = self.learn(new) if new else {}
         get = (lambda p: once[p] if p in once else memo[p]) if once else memo.__getitem__
         return [b"".join(map(get, ps)) for ps in parts]

@@ -141,3 +141,16 @@ def test_packing_takes_added_tokens_as_the_library_does(spark):
         got.setdefault(p.doc_id, []).append((p.start, list(struct.unpack(f"<{p.length}I", p.ids))))
     for d, x in enumerate(texts):
         assert [i for _, own in sorted(got[d]) for i in own] == [*t.encode(x or "", add_special_tokens=False).ids, 0]
+
+
+def test_words_in_use_outlast_a_full_memo(reference, monkeypatch):
+    """What every batch holds is merged once, however often new words fill the memo; a piece that is one pre-token has one entry."""
+    own = bpe.Encoder(bpe.default_ranks(), bpe.default_pattern())
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    merged, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda word: merged.append(word) or merge(word))
+    for i in range(60):
+        text = " ".join([f"qzxv{chr(97 + i % 26)}{chr(97 + i // 26)}{'jkw'[j % 3]}{chr(97 + j)}" for j in range(20)] + ["x sttible's", "sttible!", "  sttible"])
+        assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+    assert merged.count(b" sttible") == 1
+    assert own.held < 20_000 + 25 * (bpe.ENTRY_BYTES + 5 * bpe.MEMO_LENGTH)
