@@ -41,12 +41,17 @@ BLOCK_CLASSES = 2_000
 HELD_COUNTS = 400_000
 #: Terms: everything but ASCII characters that aren't letters ends one.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+_LOWER = bytes(c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
 #: More than the words of the documents between two flushes.
 _DOCUMENT = 1 << 36
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
+def terms_of(text: bytes) -> list[str]:
+    """Terms of a text in UTF-8.  Its bytes are lower-cased, by a table: only ASCII letters change, and a string with other letters takes many times as long."""
+    return TERM.findall(text.translate(_LOWER).decode())
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents with it) of documents (lang, source, text); one row without a term for each group, too."""
 
@@ -54,12 +59,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
         held: dict[tuple[str, str], dict[str, int]] = {}
         new = 0
         for batch in batches:
-            lang, source, text = (batch.column(i) for i in range(3))
+            lang, source, text = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
             for i in range(batch.num_rows):
                 # Both counts of a term in one number: documents above, occurrences below.
                 of = held.setdefault((lang[i].as_py(), source[i].as_py()), {})
                 before, known = len(of), of.get
-                for term, n in Counter(TERM.findall(text[i].as_py().translate(_LOWER))).items():
+                for term, n in Counter(terms_of(text[i].as_py())).items():
                     of[term] = known(term, 0) + n + _DOCUMENT
                 new += len(of) - before
                 if new >= HELD_COUNTS:

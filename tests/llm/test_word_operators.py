@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from recollect.llm import common, exact_dedup, jaccard_join, substring_dedup
+from recollect.llm import common, divergence, exact_dedup, jaccard_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,3 +206,10 @@ def test_null_ids(spark):
     assert len(jaccard_join.near_duplicates(frame(spark, rows, extra=False)).collect()) == 3
     got = exact_dedup.exact_duplicates(frame(spark, rows, extra=False)).collect()
     assert sum(r.kept for r in got if r.keep_id == 5) == 1
+
+
+def test_terms_of_bytes_are_those_of_the_text():
+    """Only ASCII letters are lower-cased; those of other alphabets, which are costly in strings, stay."""
+    for text in ("", "ABZ abz", "Ünïcode ÀÉ İ ẞ ΑΒΓ Ж", "a_B-c\x00D E\U0001F600Z", "KK[A]`z{Q}"):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        assert divergence.terms_of(text.encode()) == divergence.TERM.findall(lower)
