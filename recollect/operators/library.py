@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators import media
-from recollect.sources.frames import numbered
+from recollect.sources.frames import in_runs, placed
 
 # Kinds of frames.
 PHOTO = {"root": "photo.root", "caption": "photo.caption.short", "tags": "photo.tags", "summary": "photo.ocr.summary", "block": "photo.ocr.block", "region": "photo.region"}
@@ -39,14 +39,24 @@ def photo_frames(photos: DataFrame, base: int = 0) -> DataFrame:
     ``photos`` has asset_id, captured_ms, is_local, caption, tags, blocks (array of confidence, text) and metadata.  A
     photo that isn't on this device has a root only.  Only captions, tags and the summary of its text are indexed.
     """
-    about = merged_metadata(F.col("metadata"), F.create_map(F.lit("asset_id"), F.col("asset_id").cast("string"), F.lit("is_local"), F.col("is_local").cast("string")))
     nothing = F.lit(None).cast("string")
-    lines = media.recognized_lines(F.col("blocks"), MOST_LINES)
-    summary = F.nullif(F.array_join(lines, "\n"), F.lit(""))
-    single = [_part(PHOTO["root"], nothing, nothing, F.col("about")), *[F.when(F.coalesce(c, F.lit("")) != "", _part(PHOTO[k], c, c, F.col("about"))) for k, c in (("caption", F.col("caption")), ("tags", F.col("tags")), ("summary", summary))]]
+    summary = F.array_join(media.recognized_lines(F.col("blocks"), MOST_LINES), "\n")
+    # Photos are sorted before their parts are made; a generator, so that both columns are made once for each.
+    once = F.inline(F.array(F.struct(_about().alias("about"), summary.alias("summary"))))
+    single = [_part(PHOTO["root"], nothing, nothing, F.col("about")), *[F.when(F.coalesce(c, F.lit("")) != "", _part(PHOTO[k], c, c, F.col("about"))) for k, c in (("caption", F.col("caption")), ("tags", F.col("tags")), ("summary", F.col("summary")))]]
     each = F.transform(F.slice(F.coalesce("blocks", F.array()), 1, MOST_BLOCKS), lambda b: _part(PHOTO["block"], b["text"], nothing, F.map_concat(F.col("about"), F.create_map(F.lit("confidence"), b["confidence"].cast("string")))))
     parts = F.when(F.col("is_local"), F.concat(F.array_compact(F.array(*single)), each)).otherwise(F.array(single[0]))
-    return _numbered(photos.withColumn("about", about).withColumn("parts", parts), base, "captured_ms")
+    each = in_runs(photos, "asset_id").select("asset_id", "captured_ms", "is_local", "caption", "tags", "blocks", once)
+    made = placed(each.select("asset_id", F.col("captured_ms").alias("ts_ms"), F.posexplode(parts).alias("part", "p")).select("asset_id", "part", "ts_ms", "p.*"), base)
+    return made.select("frame_id", "asset_id", "kind", _parent(), "content", "search_text", "ts_ms", "metadata")
+
+
+def _about() -> Column:
+    return merged_metadata(F.col("metadata"), F.create_map(F.lit("asset_id"), F.col("asset_id").cast("string"), F.lit("is_local"), F.col("is_local").cast("string")))
+
+
+def _parent() -> Column:
+    return F.when(F.col("part") > 0, F.col("frame_id") - F.col("part")).alias("parent_id")
 
 
 def video_frames(videos: DataFrame, pieces: DataFrame, base: int = 0, *, length_ms: int = 10_000, overlap_ms: int = 0, most: int = 360) -> DataFrame:
@@ -55,27 +65,27 @@ def video_frames(videos: DataFrame, pieces: DataFrame, base: int = 0, *, length_
     ``videos`` has asset_id, captured_ms, duration_ms, is_local and metadata; ``pieces`` of transcripts asset_id,
     from_ms, to_ms and text.  Segments have their video's time; only those with text are indexed.
     """
-    about = merged_metadata(F.col("metadata"), F.create_map(F.lit("asset_id"), F.col("asset_id").cast("string"), F.lit("is_local"), F.col("is_local").cast("string")))
-    windows = media.segment_windows(F.col("duration_ms"), length_ms, overlap_ms, most)
-    each = videos.filter("is_local").select(F.col("asset_id").alias("video_id"), F.explode(windows).alias("s")).select("video_id", "s.*")
-    said = media.overlap_join(each, pieces.withColumnRenamed("asset_id", "video_id"), cell_ms=max(length_ms, 1000)).select("video_id", "index", "transcript")
-    listed = each.join(said, ["video_id", "index"], "left").groupBy(F.col("video_id").alias("asset_id")).agg(F.array_sort(F.collect_list(F.struct("index", "start_ms", "end_ms", "mid_ms", F.coalesce("transcript", F.lit("")).alias("text")))).alias("segments"))
-    nothing = F.lit(None).cast("string")
-
-    def segment(s: Column) -> Column:
-        place = F.map_from_arrays(F.array(*map(F.lit, ("segment_index", "segment_count", "start_ms", "end_ms", "mid_ms"))), F.array(s["index"].cast("string"), F.size("segments").cast("string"), s["start_ms"].cast("string"), s["end_ms"].cast("string"), s["mid_ms"].cast("string")))
-        return _part(VIDEO["segment"], s["text"], F.when(F.regexp_replace(s["text"], r"\s+", "") != "", s["text"]), F.map_concat(F.col("about"), place))
-
-    rows = videos.join(listed, "asset_id", "left").withColumn("about", about)
-    root = F.array(_part(VIDEO["root"], nothing, nothing, F.col("about")))
-    parts = F.when(F.col("segments").isNull(), root).otherwise(F.concat(root, F.transform("segments", segment)))
-    return _numbered(rows.withColumn("parts", parts), base, "captured_ms")
-
-
-def _numbered(rows: DataFrame, base: int, ts: str) -> DataFrame:
-    each = rows.select("asset_id", F.col(ts).alias("ts_ms"), F.posexplode("parts").alias("part", "p")).select("asset_id", "part", "ts_ms", "p.*")
-    made = numbered(each, base, "asset_id", "part")
-    return made.select("frame_id", "asset_id", "kind", F.when(F.col("part") > 0, F.col("frame_id") - F.col("part")).alias("parent_id"), "content", "search_text", "ts_ms", "metadata")
+    windows = F.when(F.col("is_local"), media.segment_windows(F.col("duration_ms"), length_ms, overlap_ms, most))
+    # Ids follow from the videos alone: they are numbered with their windows, before any text is joined.
+    once = F.inline(F.array(F.struct(_about().alias("about"), F.coalesce(windows, F.array()).alias("windows"))))
+    each = in_runs(videos, "asset_id").select("asset_id", F.col("captured_ms").alias("ts_ms"), once)
+    parts = F.concat(F.array(F.lit(None).cast("struct<index:bigint,start_ms:bigint,end_ms:bigint,mid_ms:bigint>")), F.col("windows"))
+    made = placed(each.select("asset_id", "ts_ms", "about", F.size("windows").alias("windows"), F.posexplode(parts).alias("part", "s")).select("asset_id", "ts_ms", "about", "windows", "part", "s.*"), base)
+    segments = made.filter("part > 0").select(F.col("asset_id").alias("video_id"), "index", "start_ms", "end_ms")
+    said = media.overlap_join(segments, pieces.withColumnRenamed("asset_id", "video_id"), cell_ms=max(length_ms, 1000)).select(F.col("video_id").alias("asset_id"), "index", "transcript")
+    is_root = F.col("part") == 0
+    text = F.when(~is_root, F.coalesce("transcript", F.lit("")))
+    place = F.map_from_arrays(F.array(*map(F.lit, ("segment_index", "segment_count", "start_ms", "end_ms", "mid_ms"))), F.array(*[F.col(c).cast("string") for c in ("index", "windows", "start_ms", "end_ms", "mid_ms")]))
+    return made.join(said, ["asset_id", "index"], "left").select(
+        "frame_id",
+        "asset_id",
+        F.when(is_root, VIDEO["root"]).otherwise(VIDEO["segment"]).alias("kind"),
+        _parent(),
+        text.alias("content"),
+        F.when(F.regexp_replace(text, r"\s+", "") != "", text).alias("search_text"),
+        "ts_ms",
+        F.when(is_root, F.col("about")).otherwise(F.map_concat("about", place)).alias("metadata"),
+    )
 
 
 def superseding(new: DataFrame, frames: DataFrame, root_kind: str) -> DataFrame:

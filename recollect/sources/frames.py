@@ -84,8 +84,20 @@ def numbered(rows: DataFrame, base: int, *order: str) -> DataFrame:
     A range sort gives each partition a run of the order, which is written before it is counted, so that both
     passes see the same runs; only the partitions' sizes go to the driver, and no single task sees all rows.
     """
+    return placed(rows.orderBy(*order), base)
+
+
+def in_runs(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows in order, each partition a run.  The ranges are found by a pass over ``rows`` of its own, so sort what is cheap to make, and derive the rest after it."""
     spark = rows.sparkSession
-    run = staged(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def placed(ordered: DataFrame, base: int) -> DataFrame:
+    """Dense frame ids from ``base`` on for rows whose partitions are runs of the order."""
+    spark = ordered.sparkSession
+    run = staged(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = sorted((r["_part"], r["count"]) for r in run.groupBy("_part").count().collect())
     starts, at = [], base
     for part, n in sizes:

@@ -91,3 +91,20 @@ def test_wide_radii_are_dealt_into_many_tasks(spark):
     want = [(q.query_id, p) for q in asked.collect() for p, x in at.items() if apart((q.lat, q.lon), x) <= q.radius_m / 111_000.0]
     assert sorted((r.query_id, r.place) for r in got) == sorted(want)
     assert len({r.part for r in got}) >= 16
+
+
+def test_media_are_sorted_before_their_parts_are_made(spark, monkeypatch):
+    """Only items are sorted by range, which reads them twice; parts are made, and texts joined, once."""
+    from recollect.operators import library
+
+    plans, placed = [], library.placed
+    monkeypatch.setattr(library, "placed", lambda df, base: plans.append(plan_of(df)) or placed(df, base))
+    videos = spark.createDataFrame([(7, 5, 15_000, True, None), (3, 6, 15_000, False, {"a": "b"}), (9, 8, 0, True, None)], "asset_id long, captured_ms long, duration_ms long, is_local boolean, metadata map<string,string>")
+    pieces = spark.createDataFrame([(7, 0, 9_000, "one"), (7, 8_500, 14_000, "two"), (3, 0, 900, "no")], "asset_id long, from_ms long, to_ms long, text string")
+    got = {(r.frame_id, r.asset_id, r.parent_id, r.content, r.search_text, r.metadata.get("segment_index"), r.metadata.get("segment_count")) for r in library.video_frames(videos, pieces, 4, length_ms=10_000).collect()}
+    assert got == {(4, 3, None, None, None, None, None), (5, 7, None, None, None, None, None), (6, 7, 5, "one\ntwo", "one\ntwo", "0", "2"), (7, 7, 5, "two", "two", "1", "2"), (8, 9, None, None, None, None, None)}
+    photos = spark.createDataFrame([(2, 5, True, "c", None, [(0.5, "x"), (0.9, "y")], None)], "asset_id long, captured_ms long, is_local boolean, caption string, tags string, blocks array<struct<confidence:double,text:string>>, metadata map<string,string>")
+    assert [(r.frame_id, r.kind, r.content) for r in library.photo_frames(photos).orderBy("frame_id").collect()] == [(0, "photo.root", None), (1, "photo.caption.short", "c"), (2, "photo.ocr.summary", "y\nx"), (3, "photo.ocr.block", "x"), (4, "photo.ocr.block", "y")]
+    for plan in plans:
+        assert plan.count("rangepartitioning") == 1 and "Join" not in plan
+        assert plan.rindex("Generate") < plan.index("rangepartitioning")
