@@ -95,8 +95,11 @@ def current_roots(frames: DataFrame, kind: str) -> DataFrame:
 
 
 def with_children(frames: DataFrame, roots: DataFrame) -> DataFrame:
-    """frame_id of roots and of frames below them: what a cascading delete removes."""
-    named = roots.select(F.col("frame_id").alias("root_id"))
+    """frame_id of roots and of frames below them: what a cascading delete removes.
+
+    Roots grow with the input, so they aren't broadcast; a task hashes its share of them, and frames pass by without a sort.
+    """
+    named = roots.select(F.col("frame_id").alias("root_id")).hint("shuffle_hash")
     return frames.select("frame_id", F.coalesce("parent_id", "frame_id").alias("root_id")).join(named, "root_id", "left_semi").select("frame_id")
 
 

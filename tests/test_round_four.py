@@ -108,3 +108,14 @@ def test_media_are_sorted_before_their_parts_are_made(spark, monkeypatch):
     for plan in plans:
         assert plan.count("rangepartitioning") == 1 and "Join" not in plan
         assert plan.rindex("Generate") < plan.index("rangepartitioning")
+
+
+def test_roots_of_a_cascade_are_dealt_out(spark):
+    """No task holds all roots, and none sorts the frames."""
+    from recollect.operators import media
+
+    frames = spark.createDataFrame([(1, None), (2, 1), (3, None), (4, 3), (5, 1)], "frame_id long, parent_id long")
+    got = media.with_children(frames, spark.createDataFrame([(1,), (1,), (9,)], "frame_id long"))
+    plan = plan_of(got)
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "Sort " not in plan
+    assert sorted(r.frame_id for r in got.collect()) == [1, 2, 5]
