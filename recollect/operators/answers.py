@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scores
 from recollect.functions.dates import MONTHS, date_keys, date_literals
-from recollect.functions.text import collapsed, contains_any, entity_terms, intents, terms, year_terms
-from recollect.operators.context import lexical_sentence
+from recollect.functions.text import collapsed, contains_any, entity_terms, intents, once, terms, year_terms
+from recollect.operators.context import scored_sentences
 
 # Fixed value: one name of a person.
 _NAME = r"(?:[A-Z][A-Za-z]*(?:['’\-][A-Z][A-Za-z]*)?)"
@@ -29,50 +29,73 @@ OWNS = rf"\b{_PERSON}\s+owns\s+([^.,;\n]+?)(?=\s+and\s+{_PERSON}\s+owns\b|[.,;\n
 LAUNCH = r"(?i)\bpublic\s+launch[^.\n]*"
 
 
-def _share(q: Column, t: Column, gain: float, loss: float, always: bool) -> Column:
-    hits = F.size(F.array_intersect(q, t))
-    miss = (hits == 0) if always else (hits == 0) & (F.size(t) > 0)
-    return F.when(F.size(q) > 0, hits / F.greatest(F.size(q), F.lit(1)) * gain - F.when(miss, loss).otherwise(0.0)).otherwise(0.0)
+def _share(query: Column, text: Column, gain: float, loss: float, always: bool) -> Column:
+    """Gain for the query's terms that a text has, loss for none; the text's are found only if the query has any, and once."""
+
+    def of(q: Column, t: Column, hits: Column) -> Column:
+        miss = (hits == 0) if always else (hits == 0) & (F.size(t) > 0)
+        return hits / F.size(q) * gain - F.when(miss, loss).otherwise(0.0)
+
+    return once(query, lambda q: F.when(F.size(q) > 0, once(text, lambda t: once(F.size(F.array_intersect(q, t)), lambda hits: of(q, t, hits)))).otherwise(0.0))
 
 
 def relevance(query: Column, text: Column, base: Column) -> Column:
     """How well an item fits a question."""
-    q, t = F.array_distinct(terms(query)), F.array_distinct(terms(text))
-    recall, precision = scores.overlap(q, t)
-    out = base + F.when((F.size(q) > 0) & (F.size(t) > 0), recall * 0.70 + precision * 0.30).otherwise(0.0)
+
+    def shared(q: Column, t: Column) -> Column:
+        recall, precision = scores.overlap(q, t)
+        return F.when((F.size(q) > 0) & (F.size(t) > 0), recall * 0.70 + precision * 0.30).otherwise(0.0)
+
+    out = base + once(F.array_distinct(terms(query)), lambda q: once(F.array_distinct(terms(text)), lambda t: shared(q, t)))
     out += _share(entity_terms(query), entity_terms(text), 0.95, 0.70, True)
     out += _share(year_terms(query), year_terms(text), 1.45, 1.35, False)
     return out + _share(date_keys(query), date_keys(text), 1.25, 1.10, False)
 
 
 def answers(items: DataFrame) -> DataFrame:
-    """query_id, answer from items (query_id, query, frame_id, position, score, content); empty where nothing has text."""
-    clean = items.withColumn("content", collapsed(F.col("content"))).filter("content <> ''")
-    fit = clean.withColumn("fit", relevance(F.col("query"), F.col("content"), F.col("score")))
-    q_terms = F.array_distinct(terms(F.col("query")))
-
-    found = [F.struct(F.lit(kind).alias("kind"), F.nullif(F.regexp_extract("content", pattern, group), F.lit("")).alias("text"), F.lit(bonus).alias("bonus")) for kind, (pattern, group, bonus) in PATTERNS.items()]
+    """query_id, answer from items (query_id, query, frame_id, position, score, content); empty where nothing has text.
+
+    Items of a query meet in one task before anything is computed: rows are small and costly, so the number of tasks is
+    fixed rather than left to their size.  Each row then says all it has at once: candidates by kind, sentences, its text.
+    """
+    spark = items.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = items.filter(F.col("content").isNotNull()).select("query_id", "query", "content", "position", "score").repartition(tasks, "query_id")
+    clean = dealt.withColumn("content", collapsed(F.col("content"))).filter("content <> ''")
+    known = clean.withColumns({"q_terms": terms(F.col("query")), "days": date_literals(F.col("content"))})
+    fit = known.withColumn("fit", relevance(F.col("query"), F.col("content"), F.col("score")))
+
+    def candidate(kind: str, value: Column, score: Column, *, at: Column | None = None) -> Column:
+        place = F.lit(None) if at is None else F.col("position")
+        return F.struct(F.lit(kind).alias("kind"), value.alias("text"), score.cast("double").alias("score"), place.cast("long").alias("position"), (F.lit(None) if at is None else at).cast("int").alias("at"))
+
+    def rated(bonus: Column | float) -> Column:
+        return F.round(F.col("fit") + bonus, 9)
+
+    found = [candidate("owner" if kind == "owner_of_readiness" else kind, F.nullif(F.regexp_extract("content", pattern, group), F.lit("")), rated(bonus)) for kind, (pattern, group, bonus) in PATTERNS.items()]
     clause = F.filter(F.transform(F.regexp_extract_all("content", F.lit(LAUNCH), F.lit(0)), lambda c: F.get(date_literals(c), F.lit(0))), lambda d: d.isNotNull())
-    found.append(F.struct(F.lit("launch").alias("kind"), F.get(clause, F.lit(0)).alias("text"), F.lit(0.55).alias("bonus")))
-    found.append(F.struct(F.lit("date").alias("kind"), F.get(date_literals(F.col("content")), F.lit(0)).alias("text"), F.lit(0.20).alias("bonus")))
+    found.append(candidate("launch", F.get(clause, F.lit(0)), rated(0.55)))
+    found.append(candidate("date", F.get("days", F.lit(0)), rated(0.20)))
     owners, topics = F.regexp_extract_all("content", F.lit(OWNS), F.lit(1)), F.regexp_extract_all("content", F.lit(OWNS), F.lit(2))
 
     def owned(owner: Column, topic: Column) -> Column:
-        t = F.array_distinct(terms(topic))
-        recall, precision = scores.overlap(q_terms, t)
-        bonus = 0.40 + F.when((F.size(q_terms) > 0) & (F.size(t) > 0), recall * 0.80 + precision * 0.25).otherwise(0.0) + F.when(F.lower(topic).contains("deployment readiness"), 0.20).otherwise(0.0)
-        return F.struct(F.lit("owner").alias("kind"), owner.alias("text"), bonus.alias("bonus"))
-
-    each = fit.select("query_id", "query", "fit", F.explode(F.concat(F.array(*found), F.zip_with(owners, topics, owned))).alias("c")).filter("c.text IS NOT NULL")
-    kind = F.when(F.col("c.kind") == "owner_of_readiness", "owner").otherwise(F.col("c.kind"))
-    scored = each.select("query_id", kind.alias("kind"), F.col("c.text").alias("text"), F.round(F.col("fit") + F.col("c.bonus"), 9).alias("score"))
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), F.length("text"), "text"))).filter("n = 1")
-    by_kind = best.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "text"))).alias("best"))
-
-    fallback = lexical_sentence(fit.select("query_id", "query", "content", "position")).select("query_id", F.col("answer").alias("sentence"))
-    first = fit.groupBy("query_id").agg(F.min_by("content", "position").alias("first"), F.first("query").alias("query"))
-    joined = first.join(by_kind, "query_id", "left").join(fallback, "query_id", "left")
-    return joined.select("query_id", F.coalesce(chosen(F.col("query"), F.col("best")), F.col("sentence"), F.col("first")).alias("answer"))
+        def of(q: Column, t: Column) -> Column:
+            recall, precision = scores.overlap(q, t)
+            return 0.40 + F.when((F.size(q) > 0) & (F.size(t) > 0), recall * 0.80 + precision * 0.25).otherwise(0.0) + F.when(F.lower(topic).contains("deployment readiness"), 0.20).otherwise(0.0)
+
+        return candidate("owner", owner, rated(once(F.array_distinct("q_terms"), lambda q: once(F.array_distinct(terms(topic)), lambda t: of(q, t)))))
+
+    said = F.transform(scored_sentences(F.col("q_terms"), F.col("content")), lambda s: candidate("_sentence", s["sentence"], s["score"], at=s["at"]))
+    whole = candidate("_first", F.col("content"), F.lit(0.0), at=F.lit(0))
+    every = fit.select("query_id", "query", F.filter(F.concat(F.array(*found, whole), F.zip_with(owners, topics, owned), said), lambda c: c["text"].isNotNull()).alias("every"))
+    # Never empty; explode would have Spark filter by the list's size first, which computes all of it again.
+    each = every.select("query_id", "query", F.explode_outer("every").alias("c")).select("query_id", F.when(F.col("c.kind") == "_first", F.col("query")).alias("query"), "c.*")
+    # Of the first texts the position counts before all else: their scores are equal, and so must be their lengths here.
+    length = F.when(F.col("kind") == "_first", 0).otherwise(F.length("text"))
+    order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), length, "position", "at", "text")
+    best = each.withColumn("n", F.row_number().over(order)).filter("n = 1")
+    by_kind = best.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "text"))).alias("best"), F.max("query").alias("query"))
+    return by_kind.select("query_id", F.coalesce(chosen(F.col("query"), F.col("best")), F.col("best")["_sentence"], F.col("best")["_first"]).alias("answer"))
 
 
 def chosen(query: Column, best: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scores
 from recollect.functions.tokens import BytePairs
-from recollect.functions.text import segments, terms
+from recollect.functions.text import segments, sentences, terms
 from recollect.session import spread
 
 TARGET_TOKENS, OVERLAP_TOKENS = 400, 40
@@ -237,13 +237,20 @@ def latest(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
 
 def lexical_sentence(texts: DataFrame) -> DataFrame:
     """query_id, answer: the sentence that shares most of its terms with the query (query_id, query, content, position)."""
-    from recollect.functions.text import sentences
-
-    each = texts.select("query_id", "query", F.posexplode(sentences(F.col("content"))).alias("at", "sentence"), "position")
-    own = terms(F.col("sentence"))
-    common = F.size(F.array_intersect(own, terms(F.col("query"))))
-    score = F.round(common / F.greatest(F.size(own), F.lit(1)) + F.when(F.col("sentence").rlike(r"\p{Nd}"), 0.15).otherwise(0.0), 9)
-    scored = each.filter(F.size(own) > 0).withColumn("score", score)
+    asked = texts.select("query_id", "position", terms(F.col("query")).alias("q"), "content")
+    # explode would have Spark filter by the list's size first, which computes it again.
+    each = asked.select("query_id", "position", F.explode_outer(scored_sentences(F.col("q"), F.col("content"))).alias("s"))
+    scored = each.filter("s IS NOT NULL").select("query_id", "position", "s.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("sentence"), "position", "at")
     return scored.withColumn("n", F.row_number().over(order)).filter("n = 1").select("query_id", F.col("sentence").alias("answer"), "score")
 
+
+def scored_sentences(q_terms: Column, content: Column) -> Column:
+    """at, sentence, score of the sentences of a text that have terms: the share of them that the query has, and a little for digits."""
+
+    def score(s: Column, own: Column) -> Column:
+        return F.round(F.size(F.array_intersect(own, q_terms)) / F.greatest(F.size(own), F.lit(1)) + F.when(s.rlike(r"\p{Nd}"), 0.15).otherwise(0.0), 9)
+
+    cut = F.transform(sentences(content), lambda s, i: F.struct(i.alias("at"), s.alias("sentence"), terms(s).alias("own")))
+    held = F.filter(cut, lambda x: F.size(x["own"]) > 0)
+    return F.transform(held, lambda x: F.struct(x["at"].alias("at"), x["sentence"].alias("sentence"), score(x["sentence"], x["own"]).alias("score")))
