@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.session import staged
+
 #: A cell has 2**CELL_BITS numbers; a fact with more events than that is cut, LEVELS times over.
 CELL_BITS, LEVELS = 10, 3
 NOTHING = -9223372036854775808  # no span is open
@@ -71,6 +73,8 @@ def played(events: DataFrame) -> DataFrame:
 
     * A span is asserted once: its first row (ties: the earliest end, an open one last) counts, later ones only add to ``assertions``, even if it is closed by then.
     * ``outcome`` of a retraction: ``closed``, ``nothing`` (no open span) or ``rejected``.
+    The log is read once and staged while the plan is built, which also tells whether any fact is large enough to be cut.
+
     * Rows without what their kind needs, or of another kind, are left out (see :func:`ill_formed`).
     """
     good = events.filter(_valid())
@@ -83,15 +87,22 @@ def played(events: DataFrame) -> DataFrame:
     gone_row = F.struct("seq", *[_long(None).alias(c) for c in ("valid_from_ms", "valid_to_ms", "system_from_ms", "system_to_ms", "assertions")], "at_ms")
     units = spans.select("fact_hash", (F.col("first.seq") * 2).alias("at"), _step(_long(NOTHING), _long(NOTHING), opens).alias("f"), span_row.alias("row"))
     units = units.unionByName(gone.select("fact_hash", (F.col("seq") * 2 + 1).alias("at"), _step(F.col("at_ms"), _long(NOTHING), _long(NOTHING)).alias("f"), gone_row.alias("row")))
+    units = staged(units)
     sizes = units.groupBy("fact_hash").agg((F.count(F.lit(1)) > (1 << CELL_BITS)).alias("large")).filter("large")
-    units = units.join(sizes, "fact_hash", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    levels = LEVELS if sizes.take(1) else 0
+    if levels:
+        units = staged(units.join(sizes, "fact_hash", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+    else:  # no fact is cut: each is one cell
+        units = units.withColumn("large", F.lit(False))
     none = _long(NOTHING)
-    seen = _before(units, _step(none, none, none), _both, _after, none)
+    seen = _before(units, _step(none, none, none), _both, _after, none, levels)
+    if levels:
+        seen = staged(seen)  # read once for each level
     at_ms = F.col("row.at_ms")
     outcome = F.when(at_ms.isNotNull(), F.when(F.col("state") == NOTHING, "nothing").when(F.col("state") < at_ms, "closed").otherwise("rejected"))
     # Backwards: the next retraction that closes.
     back = seen.select("fact_hash", "large", (-F.col("at")).alias("at"), F.when(outcome == "closed", at_ms).alias("f"), F.struct("row.*", outcome.alias("outcome")).alias("row"))
-    last = _before(back, _long(None), lambda f, g: F.coalesce(g, f), lambda f, m: F.coalesce(f, m), _long(None))
+    last = _before(back, _long(None), lambda f, g: F.coalesce(g, f), lambda f, m: F.coalesce(f, m), _long(None), levels)
     return last.select("fact_hash", "row.seq", "row.valid_from_ms", "row.valid_to_ms", "row.system_from_ms", F.when(F.col("row.at_ms").isNull(), F.coalesce("row.system_to_ms", "state")).alias("system_to_ms"), "row.assertions", "row.at_ms", "row.outcome")
 
 

@@ -40,3 +40,15 @@ def test_alias_keys_are_made_of_distinct_words(spark, tmp_path):
     assert sorted((r.word, r.alias_norm) for r in found.collect()) == [("naïve", "naive"), ("été", "ete"), ("ﬁn", "fin"), ("ｎ１", "n1")]
     # The key is made above the aggregate, so once for each word.
     assert plan.index("translate(") < plan.index("HashAggregate") and "translate(" not in plan[plan.rindex("Exchange") :]
+
+
+def test_a_log_of_small_facts_is_read_once(spark):
+    from recollect.operators.history import history
+
+    none = None
+    rows = [(1, "assert", "a", 0, none, 10, none, none), (2, "assert", "b", 0, 5, 20, none, none), (3, "retract", "a", none, none, none, none, 15), (4, "retract", "b", none, none, none, none, 20), (5, "assert", "a", 0, none, 10, none, none)]
+    log = spark.createDataFrame(rows, "seq long, op string, fact_hash string, valid_from_ms long, valid_to_ms long, system_from_ms long, system_to_ms long, at_ms long")
+    found = history(log)
+    plan = _plan(found)
+    assert sorted((r.fact_hash, r.seq, r.system_to_ms, r.assertions) for r in found.collect()) == [("a", 1, 15, 2), ("b", 2, None, 1)]
+    assert "Join" not in plan and len(re.findall(r"Scan", plan)) == 1
