@@ -52,3 +52,15 @@ def test_a_log_of_small_facts_is_read_once(spark):
     plan = _plan(found)
     assert sorted((r.fact_hash, r.seq, r.system_to_ms, r.assertions) for r in found.collect()) == [("a", 1, 15, 2), ("b", 2, None, 1)]
     assert "Join" not in plan and len(re.findall(r"Scan", plan)) == 1
+
+
+def test_sweep_computes_each_lane_once(spark, monkeypatch):
+    from recollect.operators import lanes
+    from recollect.plans import search_queries
+
+    calls = []
+    for name in ("bm25", "knn"):
+        monkeypatch.setattr(lanes, name, lambda *a, name=name, real=getattr(lanes, name), **k: (calls.append(name), real(*a, **k))[1])
+    found = search_queries.hybrid_alpha_sweep(spark, "/root/testdata/sf0.001")
+    assert sorted(calls) == ["bm25", "knn"]
+    assert {r.alpha for r in found.select("alpha").distinct().collect()} == {0.0, 0.25, 1.0}
