@@ -31,8 +31,8 @@ ROUNDS, STILL = 12, 0.002
 ENTRIES = 16
 PROBES, TARGET = 64, 0.96
 FIRST_BEAM, MOST_BEAM = 16, 1_024
-#: Queries of one block.
-QUERY_BLOCK = 1_024
+#: Queries of one block, which meets a copy of each shard; those of them that walk at once; tasks that groups are dealt over, at most.
+QUERY_BLOCK, WALKERS, MOST_TASKS = 4_096, 1_024, 4_096
 METRICS = ("cosine", "dot", "l2")
 
 
@@ -47,6 +47,14 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return s
 
 
+def prepared(x: np.ndarray, metric: str) -> tuple[np.ndarray, str]:
+    """Vectors and metric that graphs are made and walked by: of unit length and half the size for the cosine, whose lengths are then taken once."""
+    if metric != "cosine":
+        return x, metric
+    length = np.sqrt((x * x).sum(-1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0).astype(np.float32), "dot"
+
+
 def _kept(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best distinct ids of each row, best first, and where they stood."""
     order = np.lexsort((-s, ids), axis=1)
@@ -61,6 +69,7 @@ def _kept(ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 def near_lists(x: np.ndarray, degree: int, metric: str, seed: int = 3) -> np.ndarray:
     """NN-descent: about the ``degree`` nearest of each vector."""
+    x, metric = prepared(x, metric)
     n, rng = len(x), np.random.default_rng(seed)
     degree = min(degree, n - 1)
     step = max(1, (1 << 22) // max(1, (2 * SAMPLE) ** 2 * x.shape[1]))
@@ -114,6 +123,8 @@ def graph_of(x: np.ndarray, metric: str, degree: int = DEGREE) -> np.ndarray:
 
 def walk(q: np.ndarray, x: np.ndarray, edges: np.ndarray, beam: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors and scores in the beams of all queries at the end (-1: none), and the number of distances that each took."""
+    exact, asked, of = x, q, metric
+    (x, metric), (q, _) = prepared(x, metric), prepared(q, metric)
     n, many = len(x), len(q)
     seen = np.zeros((many, n), dtype=bool)
     start = np.unique(np.linspace(0, n - 1, min(n, max(ENTRIES, int(n**0.5)))).astype(np.int64))
@@ -129,7 +140,7 @@ def walk(q: np.ndarray, x: np.ndarray, edges: np.ndarray, beam: int, metric: str
     while True:
         who = np.flatnonzero(~done.all(1))
         if not len(who):
-            return ids, s, taken
+            break
         at = (~done[who]).argmax(1)  # beams are sorted: the nearest that isn't expanded
         done[who, at] = True
         near = edges[ids[who, at]]
@@ -142,6 +153,12 @@ def walk(q: np.ndarray, x: np.ndarray, edges: np.ndarray, beam: int, metric: str
         ids[who], s[who] = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
         old = np.concatenate((done[who], np.zeros_like(fresh)), 1)
         done[who] = np.take_along_axis(old, order, 1) | (ids[who] < 0)
+    if exact is not x:
+        s = s.astype(np.float64)
+        step = max(1, (1 << 22) // (width * exact.shape[1]))
+        for i in range(0, many, step):
+            s[i : i + step] = np.where(ids[i : i + step] >= 0, scores(asked[i : i + step], exact[np.maximum(ids[i : i + step], 0)], of), -np.inf)
+    return ids, s, taken
 
 
 _NODES = "shard long, frame_id long, embedding array<double>, edges array<int>"
@@ -171,7 +188,8 @@ class VectorGraph:
 
         # A shard by a hash of the row: rows of one id don't fill one.
         dealt = plain.select(F.pmod(F.xxhash64("frame_id", "embedding"), F.lit(self.shards)).alias("shard"), "frame_id", "embedding")
-        self.nodes = staged(dealt.groupBy("shard").applyInArrow(build, _NODES)) if self.n else dealt
+        # The rows are few and each is long work: adaptive execution would leave the shards to few tasks.
+        self.nodes = staged(dealt.repartition(_tasks(self.shards), "shard").groupBy("shard").applyInArrow(build, _NODES)) if self.n else dealt
         if self.n:
             self.calibrate(target)
 
@@ -206,7 +224,9 @@ class VectorGraph:
                 return schema.empty_table()
             rows = rows.sort_by("frame_id")
             x, frame, edges = _matrix(rows.column("embedding")), rows.column("frame_id").to_numpy(), _matrix(rows.column("edges"))
-            ids, s, taken = walk(_matrix(q.column("embedding")), x, edges, min(beam, len(x)), metric)
+            asked_ = _matrix(q.column("embedding"))
+            parts = [walk(asked_[i : i + WALKERS], x, edges, min(beam, len(x)), metric) for i in range(0, len(asked_), WALKERS)]
+            ids, s, taken = (np.concatenate(c) for c in zip(*parts))
             who = np.repeat(np.arange(q.num_rows), ids.shape[1])
             at, s = ids.ravel(), s.ravel()
             order = np.lexsort((frame[np.maximum(at, 0)], -s, who))
@@ -214,6 +234,8 @@ class VectorGraph:
             few = (at >= 0) & (np.arange(len(who)) - np.searchsorted(who, who) < k)
             return pa.table([q.column("query_id").combine_chunks().take(pa.array(who[few])), pa.array(frame[at[few]]), pa.array(np.where(np.isfinite(s[few]), s[few], 0.0)), pa.array(taken[who[few]])], schema=schema)
 
+        tasks = _tasks(blocks * shards)
+        left, right = (side.repartition(tasks, "block", "shard") for side in (left, right))
         hits = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(meet, _FOUND)
         rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id)")
         return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "frame_id", F.round("score", 6).alias("score"), "rank", "taken")
@@ -225,6 +247,11 @@ class VectorGraph:
         return self._found(queries).withColumns({"measured_recall": F.lit(float(self.measured)), "beam": F.lit(int(self.beam))})
 
 
+def _tasks(groups: int) -> int:
+    """Tasks for groups that are dealt by hash: few of them get several."""
+    return min(MOST_TASKS, 1 if groups == 1 else 4 * groups)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
