@@ -1,10 +1,13 @@
-"""Open blocks pass on few rows, whichever way they are scored; shards are built apart and walked by unit vectors."""
+"""Open blocks pass on few rows, whichever way they are scored; shards are built apart and walked by unit vectors; texts are lower-cased once."""
 
 import random
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from recollect.functions import text
 from recollect.operators import bm25, lanes
 from recollect.sources import graph as graph_module
 from recollect.sources import index as index_module
@@ -61,3 +64,10 @@ def test_shards_are_built_in_tasks_of_their_own(spark):
     want = {(r.query_id, r.frame_id) for r in lanes.knn(v, q, 3).collect()}
     got = {(r.query_id, r.frame_id) for r in graph.search(q).collect()}
     assert len(got) == 18 and len(got & want) >= 16
+
+
+def test_texts_are_lower_cased_once(spark):
+    """Without diacritics or not, a text is lower-cased a single time before its words are taken."""
+    made = spark.createDataFrame([("CAFÉ été, Tea",), ("",), (None,)], "c string").select(text.index_words(F.col("c")).alias("w"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r.w for r in made.collect()] == [["cafe", "ete", "tea"], [], None]
