@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scores
 from recollect.functions.tokens import BytePairs
-from recollect.functions.text import segments, sentences, terms
+from recollect.functions.text import once, segments, sentences, terms
 from recollect.session import spread
 
 TARGET_TOKENS, OVERLAP_TOKENS = 400, 40
@@ -102,11 +102,12 @@ def greedy_budget(items: DataFrame, budget: int, most: int, *, by: str = "query_
 
 # -------------------------------------------------------------- surrogates
 def micro_surrogate(texts: DataFrame) -> DataFrame:
-    """doc_id, micro: the sentence that says most, cut to the micro tier's tokens; the first of equals."""
+    """doc_id, micro, score: the sentence that says most, cut to the micro tier's tokens; the first of equals (to nine digits); the highest
+    score as it is.  Both are null where a text has no sentence."""
     seen = F.transform(segments(F.col("content")), lambda s: F.struct(s.alias("text"), scores.long_words(s).alias("words")))
-    ranked = F.transform(seen, lambda s, i: F.struct(F.round(scores.salience(s["text"], s["words"]), 9).alias("score"), (-i).alias("back"), s["text"].alias("text")))
-    best = F.array_max(ranked)
-    return texts.filter(F.col("content").isNotNull()).select("doc_id", best["text"].alias("text"), best["score"].alias("score")).select("doc_id", truncated(F.col("text"), TIERS["micro"][1]).alias("micro"), "score")
+    scored = F.transform(seen, lambda s: F.struct(s["text"].alias("text"), scores.salience(s["text"], s["words"]).alias("score")))
+    best = once(scored, lambda all_: F.struct(F.array_max(F.transform(all_, lambda s, i: F.struct(F.round(s["score"], 9).alias("near"), (-i).alias("back"), s["text"].alias("text"))))["text"].alias("text"), F.array_max(F.transform(all_, lambda s: s["score"])).alias("score")))
+    return texts.filter(F.col("content").isNotNull()).select("doc_id", best.alias("best")).select("doc_id", truncated(F.col("best.text"), TIERS["micro"][1]).alias("micro"), F.col("best.score").alias("score"))
 
 
 def surrogate_tiers(texts: DataFrame) -> DataFrame:
